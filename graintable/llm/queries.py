@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from graintable.llm.decontaminate import op10_decontamination
+from graintable.llm.language import op8_language
 from graintable.llm.line_dedup import op4_line_dedup
+from graintable.llm.neighbours import op6_neighbours
 from graintable.llm.pieces import op7_sentencepiece
+from graintable.llm.quality import op2_quality
+from graintable.llm.rans import op1_token_ids
 from graintable.llm.simhash import op9_simhash
 from graintable.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_ids": op1_token_ids,
+        "op2_quality": op2_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_neighbours": op6_neighbours,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
