@@ -1,8 +1 @@
 """graintable: Spark DataFrame operators for document collections and the measurements taken from them."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions sent to executors travel whole, so that executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
