@@ -14,6 +14,7 @@ from graintable.llm.neighbours import op6_neighbours
 from graintable.llm.pieces import op7_sentencepiece
 from graintable.llm.quality import op2_quality
 from graintable.llm.rans import op1_token_ids
+from graintable.llm.secrets import op3_secrets
 from graintable.llm.simhash import op9_simhash
 from graintable.llm.toxicity import op5_toxicity
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op2_quality": op2_quality,
+        "op3_secrets": op3_secrets,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_neighbours": op6_neighbours,
