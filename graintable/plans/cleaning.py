@@ -165,7 +165,7 @@ def mp9_is_class(spark, d):
     return table(spark, d, "documents").select("doc_id", C.is_class(F.col("text"), ["license", "copyright"], ["apache"]).alias("is_legal"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(concat_ws(' ', source, lang, text)), '(^|[^a-zA-Z0-9_])(license|mit|src1)($|[^a-zA-Z0-9_])') AS on_topic FROM documents")
+@query("SELECT doc_id, regexp_matches(lower(concat_ws(' ', source, lang, text)), '(^|[^\\p{L}\\p{N}_])(license|mit|src1)($|[^\\p{L}\\p{N}_])') AS on_topic FROM documents")
 def mp10_topic_mask(spark, d):
     return table(spark, d, "documents").select("doc_id", C.topic_mask([F.col("source"), F.col("lang"), F.col("text")], ["license", "mit", "src1"]).alias("on_topic"))
 

@@ -98,11 +98,11 @@ def tx12_ratio_spans(spark, d):
     return X.ratio_spans(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t", r"([A-Za-z]+)[:/]([A-Za-z]+) ?= ?([0-9.]+):([0-9.]+)")
 
 
-@query("""WITH m AS (SELECT page_id, regexp_extract_all(html, '([A-Za-z]+)/([A-Za-z]+)', 1) AS a, regexp_extract_all(html, '([A-Za-z]+)/([A-Za-z]+)', 2) AS b FROM pages), p AS (SELECT page_id, lower(unnest(a)) AS a, lower(unnest(b)) AS b FROM m)
-SELECT page_id, a, b, (a IN ('text', 'html') AND b IN ('text', 'html')) AS both_known FROM p WHERE a || '/' || b NOT IN ('g/l', 'mol/l')""")
+@query("""WITH m AS (SELECT page_id, regexp_extract_all(url, '([A-Za-z]+)/([A-Za-z]+)', 1) AS a, regexp_extract_all(url, '([A-Za-z]+)/([A-Za-z]+)', 2) AS b FROM pages), p AS (SELECT page_id, lower(unnest(a)) AS a, lower(unnest(b)) AS b FROM m)
+SELECT page_id, a, b, (a IN ('com', 'en') AND b IN ('com', 'en')) AS both_known FROM p WHERE a || '/' || b NOT IN ('org/de', 'net/fr')""")
 def tx13_slash_pairs(spark, d):
-    words = spark.createDataFrame([("text",), ("html",)], "word string")
-    return X.slash_pairs(table(spark, d, "pages"), "page_id", "html", words, ["g/l", "mol/l"])
+    words = spark.createDataFrame([("com",), ("en",)], "word string")
+    return X.slash_pairs(table(spark, d, "pages"), "page_id", "url", words, ["org/de", "net/fr"])
 
 
 _WORDS = "SELECT doc_id, unnest(w) AS word, CAST(generate_subscripts(w, 1) AS INTEGER) AS nth FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM documents)"

@@ -15,14 +15,30 @@ def test_folds_are_disjoint(spark):
     assert df.groupBy("k").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
 
 
-def test_regressor_beats_the_mean(spark):
-    rows = {r.model: r.mae for r in Q["ml16_ablation"](spark, DATA).collect()}
-    assert rows["boosted trees"] < rows["global mean"]
+def synthetic(spark):
+    """y follows x; z is noise."""
+    return spark.range(600).select("id", (F.col("id") % 40).alias("x"), F.pmod(F.xxhash64("id"), F.lit(17)).alias("z")).withColumn("y", F.exp(F.col("x") / 10.0) + 1)
 
 
-def test_importance_finds_the_driver(spark):
-    rows = {r.column: r.importance for r in Q["ml6_permutation_importance"](spark, DATA).collect()}
-    assert rows["quantity"] > rows["p_size"]
+def test_regressor_learns_and_importance_finds_the_driver(spark):
+    data = synthetic(spark)
+    model = M.fit_regressor(data, "y", ["x", "z"], rounds=5)
+    assert M.regression_metrics(M.predict(model, data, ["x", "z"]), "y", "p").first()["log_r2"] > 0.9
+    rows = {r.column: r.importance for r in M.permutation_importance(model, data, "y", ["x", "z"], [], ["x", "z"], 1).collect()}
+    assert rows["x"] > 0.5 > abs(rows["z"])
+
+
+def test_ladder_and_search(spark):
+    data = synthetic(spark).withColumn("g", (F.col("x") % 4).cast("string"))
+    rows = {r.model: r.mae for r in M.ablation(data, "y", "g", ["x", "z"], "id").collect()}
+    assert rows["boosted trees"] < rows["global mean"] and rows["ridge"] < rows["group mean"]
+    points = {r.point: r.rmse for r in M.tune(data, "y", ["x", "z"], "id", {"regParam": [0.0, 10.0]}).collect()}
+    assert points["regParam=0.0"] < points["regParam=10.0"]
+
+
+def test_registered_model_queries_give_rows(spark):
+    for name in ("ml5_fit_classifier", "ml9_interval_score", "ml10_fit_per_group", "st4_sample_keys"):
+        assert Q[name](spark, DATA).count() > 0
 
 
 def test_candidates_stay_in_range(spark):
