@@ -108,6 +108,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred (a learned language; 'und' for null texts and texts without a letter) and lang_score (0 to 1; 0 for und)."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])  # such columns are replaced
     names = docs.columns
     at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.slots, model.landmarks, model.weights))

@@ -112,6 +112,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", neighbours: int = 15) -> DataFrame:
     """docs with quality_score (double, 0 to 1). Null and empty texts are scored as a text without terms: the labelled share of 1."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("quality_score",)])  # such columns are replaced
     names = docs.columns
     at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.axes, model.vectors, model.labels, model.weight, model.prior))

@@ -199,13 +199,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 8
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                 held_out_mod: int = 5, sample_rows: int = 4000) -> ToxicityModel:
-    """Fit on at most sample_rows labelled rows whose crc32(id) mod held_out_mod isn't 0: half of them toxic, if there are as many."""
+                 held_out_mod: int = 5, sample_rows: int = 4000, max_chars: int = 50_000) -> ToxicityModel:
+    """Fit on at most sample_rows labelled rows whose crc32(id) mod held_out_mod isn't 0: half of them toxic, if there are as many.
+
+    Training rows have max_chars characters at most, so that the sample has a bounded size; scoring reads whole texts.
+    """
     known = labels.where(id_crc(F.col(id_col)) % held_out_mod != 0).select(id_col, F.col(label_col).alias("_y")).where("_y is not null").dropDuplicates([id_col])
     half = sample_rows // 2
     toxic = bounded_sample(known.where("_y = 1"), id_col, half)
     picked = toxic.unionByName(bounded_sample(known.where("_y <> 1"), id_col, half))
-    found = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(picked), id_col).select("_t", "_y")
+    short = docs.select(id_col, F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
+    found = short.join(F.broadcast(picked), id_col).select("_t", "_y")
     counts = {r[0]: r[1] for r in known.groupBy((F.col("_y") == 1).alias("y")).count().collect()}
     rows = [(r[0], int(r[1])) for r in found.collect()]
     model = fit(sorted(rows, key=lambda r: (r[0] or "", r[1])))
@@ -219,6 +223,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """docs with tox_score (double, 0 to 1) and tox_clauses (matched clauses, long). Null and empty texts have no clause."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tox_score", "tox_clauses")])  # such columns are replaced
     names = docs.columns
     m = model  # a few thousand stems at most: it travels with the function
 
