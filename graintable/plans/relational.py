@@ -29,10 +29,10 @@ def dv2_backfill_label(spark, d):
     return part_orders(spark, d).select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 2 == 0, "set"), F.when(F.col("l_tax").isNotNull(), "line").when(F.col("o_totalprice") > 100000, "price")).alias("label"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice IS NULL OR l_extendedprice / l_quantity <= p_retailprice * 1.5 THEN round(l_extendedprice / l_quantity, 6) END AS unit_price FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice IS NULL OR l_extendedprice / l_quantity <= p_retailprice * 1.5 THEN l_extendedprice / l_quantity END AS unit_price FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def dv3_null_if_inconsistent(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left").withColumn("u", F.col("l_extendedprice") / F.col("l_quantity"))
-    return lines.select("l_orderkey", "l_linenumber", F.round(C.null_if_inconsistent(F.col("u"), F.col("p_retailprice"), 1.5), 6).alias("unit_price"))
+    return lines.select("l_orderkey", "l_linenumber", C.null_if_inconsistent(F.col("u"), F.col("p_retailprice"), 1.5).alias("unit_price"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount <> 0 AND l_tax / l_discount BETWEEN 0.1 AND 2 THEN l_tax / l_discount END, 6) AS ratio FROM lineitem")
