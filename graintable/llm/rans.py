@@ -57,7 +57,7 @@ def quantise(counts: np.ndarray, bits: int = 20) -> Frequencies:
     return Frequencies(freq, bits)
 
 
-def encode_block(ids: np.ndarray, lengths: np.ndarray, table_: Frequencies, lanes: int = 512, every: int = 128) -> bytes:
+def encode_block(ids: np.ndarray, lengths: np.ndarray, table_: Frequencies, lanes: int = 2048, every: int = 128) -> bytes:
     """One self-contained block: header, document lengths, lane states at every checkpoint with their stream positions, words.
 
     Id i goes to lane i mod lanes; a checkpoint is the decoder's state before each `every`-th step.
@@ -142,15 +142,24 @@ class Block:
         return out
 
 
+#: White space other than the space and the line end: texts that hold any go to the library whole.
+OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+OTHER_SPACE_WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+#: Pairs of white space, which the pre-tokenizer splits by what follows them.
+SPACE_RUNS = ("  ", "\n\n", " \n", "\n ")
+MARKS = ".,;:!?"
+
+
 class CachedTokenizer:
     """The tokenizers library's ids of whole texts, as little-endian 16-bit bytes.
 
     The byte-level pre-tokenizer never joins text across a single space or line end between visible
-    characters, so such texts are cut there and each distinct cut is encoded once while it is held; other
-    texts are encoded whole.
+    characters, so texts with no other white space are cut there, and each distinct cut is encoded once while it is
+    held: a run of letters, with a mark behind it or not, by the library's model alone, as it is one pre-token (and a
+    mark); other cuts, and other texts as a whole, by the library's encoder.
     """
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 350_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -158,33 +167,62 @@ class CachedTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.held = held
-        self.cache: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = iter(range(256, 512))
+        self.bytes = {b: chr(b) if b in kept else chr(next(moved)) for b in range(256)}  # the byte-level alphabet
+        self.marks = dict(zip(MARKS, self.library_ids(list(MARKS)), strict=True))
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def add(self, cuts: list[str]) -> None:
+        """Ids of cuts (a space in front of them, or as they are behind a NUL, or behind their line end) into the newer half."""
+        rest = []
+        for w in cuts:
+            if w.isalpha():
+                stem, tail = w, b""
+            elif w[:-1].isalpha() and w[-1] in self.marks:
+                stem, tail = w[:-1], self.marks[w[-1]]
+            else:
+                rest.append(w)
+                continue
+            text = " " + stem
+            mapped = text.replace(" ", self.bytes[32]) if text.isascii() else "".join(map(self.bytes.__getitem__, text.encode()))
+            self.new[w] = struct.pack(f"<{len(t)}H", *[x.id for x in t]) + tail if (t := self.model.tokenize(mapped)) else tail
+        if rest:
+            self.new.update(zip(rest, self.library_ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [x for at in range(0, len(texts), 64) for x in self.encode_some(texts[at:at + 64])]
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         wanted: set[str] = set()
         for t in texts:
-            parts = (" " + t.replace("\n", " \n")).split(" ")[1:]
-            whole = t.split()
-            # as many parts as visible runs: every white space is one space or line end between two of them
-            plain = len(parts) == len(whole) and "" not in parts and "\n" not in parts
-            if plain:
-                parts[0] = "\0" + parts[0]
-                wanted.update(parts)
-            cut.append(parts if plain else None)
-        missing = list(wanted - self.cache.keys())
-        if len(missing) + len(self.cache) > self.held:
-            self.cache.clear()
-            missing = list(wanted)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at:at + 20_000]
-            self.cache.update(zip(some, self.library_ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in some]), strict=True))
-        get = self.cache.__getitem__
+            has = t.__contains__
+            if not t or t[0] in " \n" or t[-1] in " \n" or any(map(has, SPACE_RUNS)) or any(map(has, OTHER_SPACE)) or (not t.isascii() and any(map(has, OTHER_SPACE_WIDE))):
+                cut.append(None)
+                continue
+            parts = t.replace("\n", " \n").split(" ")
+            parts[0] = "\0" + parts[0]
+            wanted.update(parts)
+            cut.append(parts)
+        if len(self.new) > self.held:  # what is used again moves over from the older half
+            self.old, self.new = self.new, {}
+        missing = []
+        for w in wanted.difference(self.new):
+            x = self.old.get(w)
+            if x is None:
+                missing.append(w)
+            else:
+                self.new[w] = x
+        self.add(missing)
+        get = self.new.__getitem__
         odd = iter(self.library_ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
 
@@ -263,7 +301,7 @@ def count_ids(blocks: DataFrame, size: int = 1 << 16) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-              end_id: int = 0, block_tokens: int = 1 << 18, bits: int = 20) -> None:
+              end_id: int = 0, block_tokens: int = 1 << 19, bits: int = 20) -> None:
     """Write folder/frequencies and folder/blocks: the ids of every whole text, in ascending id order, as rANS blocks.
 
     Null texts count as empty, so each has the end id alone; null ids come first; repeated rows are
@@ -281,7 +319,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str | None = None, i
         t = Frequencies(*shared.value)
         for b in batches:
             for i in range(b.num_rows):
-                lengths = np.array(b.column(3)[i].as_py(), dtype=np.int64)
+                lengths = b.column(3)[i].values.to_numpy().astype(np.int64)
                 data = encode_block(np.frombuffer(b.column(4)[i].as_buffer(), dtype="<u2"), lengths, t)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([int(lengths.sum())], pa.int64()), b.column(2).slice(i, 1), pa.array([data], pa.binary())],
                                                  ["part", "block", "n_tokens", "doc_ids", "data"])
