@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,12 +98,13 @@ def usable(df: DataFrame, vec_col: str) -> DataFrame:
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16,
-            sample_rows: int = 20_000, leaf: int = 24, visits: int = 400, seed: int = 7) -> DataFrame:
+            sample_rows: int = 20_000, leaf: int = 24, visits: int = 480, part_rows: int = 5_000, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows of base found for each row of queries but itself.
 
     Score is the Euclidean distance in double precision, ties to the smaller id. The trees are fit on at most
     sample_rows distinct vectors, by hash; every row is indexed. Equal vectors are one entry of the index, kept with
-    its k + 1 smallest ids, which are all that can be among k nearest. Null, zero, non-finite vectors and null ids
+    its k + 1 smallest ids, which are all that can be among k nearest. Each visited leaf ranks its vectors for its
+    queries by matrix products, checked by exact distances, in parts of about part_rows rows. Null, zero, non-finite vectors and null ids
     take no part; vectors of another length than most are not compared with those; an empty table gives no rows.
     """
     spark = base.sparkSession
@@ -122,14 +124,20 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     forest = [grow(sample, leaf, rng) for _ in range(trees)]
     shared = spark.sparkContext.broadcast([(t.normal.astype(np.float32), t.cut.astype(np.float32), t.left, t.right, t.leaves) for t in forest])
 
+    wanted = materialize(asked.groupBy("_v").agg(F.min("_id").alias("_q")), "ann-queries")
+    leaves = sum(t.leaves for t in forest)
+    # parts of a leaf, so that no task gathers more than about part_rows vectors or queries of it
+    salts = max(1, math.ceil(classes.count() * trees / leaves / part_rows))
+    slices = max(1, math.ceil(wanted.count() * min(visits, leaves) / leaves / part_rows))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = [Tree(*t) for t in shared.value]
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float32)
-            leaves = np.concatenate([tree.assign(x) + (np.int64(i) << np.int64(32)) for i, tree in enumerate(f)])
-            yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(np.tile(b.column(0).to_numpy(), len(f)))], ["leaf", "_c"])
+            for at in range(0, b.num_rows, 2000):
+                some = b.slice(at, 2000)
+                x = some.column(1).flatten().to_numpy().reshape(some.num_rows, -1).astype(np.float32)
+                for i, tree in enumerate(f):
+                    yield pa.RecordBatch.from_arrays([pa.array(tree.assign(x) + (np.int64(i) << np.int64(32))), some.column(0), some.column(1)], ["leaf", "_c", "_w"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = [Tree(*t) for t in shared.value]
@@ -137,22 +145,44 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float32)
-            keys, who = [], []
-            for q, name in zip(x, b.column(0).to_pylist(), strict=True):
+            for i, q in enumerate(x):
                 found = search(f, q, visits)
-                keys += [(t << 32) + leaf_ for t, leaf_ in found]
-                who += [name] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(who, pa.int64())], ["leaf", "_q"])
-
-    wanted = asked.groupBy("_v").agg(F.min("_id").alias("_q"))
-    wanted = materialize(wanted, "ann-queries")
-    entries = classes.select("_c", "_v").mapInArrow(index, "leaf long, _c long")
-    probes = wanted.select("_q", "_v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_q").mapInArrow(probe, "leaf long, _q long")
-    pairs = probes.join(entries, "leaf").select("_q", "_c").distinct()
-    near = (pairs.join(classes.select("_c", F.col("_v").alias("_w"), "_ids"), "_c").join(wanted, "_q")
-            .select("_q", "_ids", F.sqrt(F.aggregate(F.zip_with("_v", "_w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score")))
-    by_class = Window.partitionBy("_q").orderBy("score", F.element_at("_ids", 1))
-    top = near.withColumn("_r", F.row_number().over(by_class)).where(F.col("_r") <= k + 1).select("_q", "score", F.explode("_ids").alias("vec_id"))
+                at = pa.array([i] * len(found))
+                yield pa.RecordBatch.from_arrays([pa.array([(t << 32) + leaf_ for t, leaf_ in found], pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["leaf", "_q", "_v"])
+
+    def rerank(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """The k + 1 nearest of a leaf's part for each of its queries, by exact distances."""
+        out_q, out_c, out_s = [], [], []
+        if left.num_rows and right.num_rows:
+            q, c = left.column("_q").to_numpy(), right.column("_c").to_numpy()
+            x = left.column("_v").combine_chunks().flatten().to_numpy().reshape(len(q), -1)
+            w = right.column("_w").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+            size = (w * w).sum(axis=1)
+            for at in range(0, len(q), 256):
+                some = x[at:at + 256]
+                rough = np.maximum(size[None, :] + (some * some).sum(axis=1)[:, None] - 2 * some @ w.T, 0)
+                n = min(k + 1, len(c))
+                cut = np.partition(rough, n - 1, axis=1)[:, n - 1]
+                slack = 1e-9 * (size.max() + (some * some).sum(axis=1))  # rounding of the product form
+                for i in range(len(some)):
+                    near = np.flatnonzero(rough[i] <= cut[i] + slack[i])
+                    d = np.sqrt(((some[i] - w[near]) ** 2).sum(axis=1))
+                    best = np.lexsort((c[near], d))[:n]
+                    out_q.append(np.full(len(best), q[at + i]))
+                    out_c.append(c[near][best])
+                    out_s.append(d[best])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        return pa.table({"_q": join(out_q, np.int64), "_c": join(out_c, np.int64), "score": join(out_s, np.float64)})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = (classes.select(F.col("_c").cast("long").alias("_c"), "_v").mapInArrow(index, "leaf long, _c long, _w array<double>")
+               .withColumn("s", F.pmod(F.xxhash64("_c"), F.lit(salts))).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+    probes = (wanted.select(F.col("_q").cast("long").alias("_q"), "_v").repartition(n, "_q").mapInArrow(probe, "leaf long, _q long, _v array<double>")
+              .withColumn("z", F.pmod(F.xxhash64("_q"), F.lit(slices)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    near = probes.groupBy("leaf", "s", "z").cogroup(entries.withColumn("s", F.col("s").cast("long")).groupBy("leaf", "s", "z")).applyInArrow(rerank, "_q long, _c long, score double")
+    by_class = Window.partitionBy("_q").orderBy("score", "_c")
+    best = near.groupBy("_q", "_c").agg(F.min("score").alias("score")).withColumn("_r", F.row_number().over(by_class)).where(F.col("_r") <= k + 1)
+    top = best.join(classes.select("_c", "_ids"), "_c").select("_q", "score", F.explode("_ids").alias("vec_id"))
     by_row = Window.partitionBy("_q").orderBy("score", "vec_id")
     top = top.withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1).select("_q", "score", "vec_id")
     lists = top.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))  # k + 1 at most
