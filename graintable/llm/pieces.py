@@ -129,7 +129,7 @@ def fold_merges(lattice: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = 16_000_000, max_unit: int = 200) -> DataFrame:
+           block_chars: int = 4_000_000, max_unit: int = 200) -> DataFrame:
     """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
 
     Ids equal the library's own for BPE models with identity normalisation, a dummy space in front and byte
@@ -152,6 +152,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, set[str]] = {}
+        count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for key, found in held.items():
@@ -164,7 +165,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
         for b in batches:
             for t, key in zip(b.column(0), b.column(1), strict=True):
                 held.setdefault(key.as_py(), set()).update(units(t.as_py()))
-                if sum(map(len, held.values())) > 600_000:
+                count += 1
+                if count % 256 == 0 and sum(map(len, held.values())) > 400_000:
                     yield from flush()
         yield from flush()
 
