@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graintable.llm.common import materialize, table
@@ -36,11 +36,90 @@ def template_lines(docs: DataFrame, id_col: str, text_col: str, lead: int) -> Da
     )
 
 
-def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, similarity: float, min_tokens: int) -> DataFrame:
+#: Candidate pairs that are compared at once, whatever the size of the input.
+FEW_PAIRS = 1_000_000
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Number of positions at which two masked lines have the same token."""
+    return F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
+
+
+def line_parts(lines: DataFrame, similarity: float, lead: int) -> DataFrame:
+    """k1, k2, part (long): lines of a leaf that agree share a part.
+
+    They differ in at most n - ceil(similarity * n) positions, all behind the leading tokens; cut into one
+    more part than that, those positions leave a part without a difference.
+    """
+    def cut(tokens):
+        n = F.size(tokens)
+        differ = (n - F.ceil(F.lit(similarity) * n)).cast("int")
+        behind = F.greatest(n - lead, F.lit(0))
+        start = lambda i: F.floor(i * behind / (differ + 1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), differ), lambda i: F.xxhash64("leaf", i, F.slice(tokens, start(i) + lead + 1, start(i + 1) - start(i))))
+        return F.when(differ >= behind, F.array("leaf")).otherwise(parts)
+
+    # in a lambda, so that a line is split once and not for each part
+    return lines.select("k1", "k2", F.explode(F.flatten(F.transform(F.array(F.split("masked", " ")), cut))).alias("part"))
+
+
+def templates(members: DataFrame, similarity: float, lead: int) -> DataFrame:
+    """k1, k2, t1, t2: each line that agrees with another one, and the leader of its group.
+
+    A leaf has any number of groups. Lines are taken by (docs, k1, k2), greatest first; a line joins the first
+    leader it agrees with, else it leads a group of its own. A leaf's first leader is compared with all its
+    lines, the next with what it leaves, and so on, until the lines that share a part give few pairs;
+    those are compared at once and the leaders among them are settled over the links.
+    """
+    if similarity > 1:
+        return members.select("k1", "k2", F.col("k1").alias("t1"), F.col("k2").alias("t2")).limit(0)
+    rest, found = members, None
+    while True:
+        leaders = rest.groupBy("leaf").agg(F.max(F.struct("docs", "k1", "k2", "masked")).alias("lead"))
+        step = (rest.join(leaders, "leaf").where(agreement(F.col("masked"), F.col("lead.masked")) >= F.lit(similarity) * F.size(F.split("masked", " ")))
+                .select("k1", "k2", F.col("lead.k1").alias("t1"), F.col("lead.k2").alias("t2")))
+        step = materialize(step, "line-step")
+        found = step if found is None else found.unionByName(step)
+        rest = rest.join(step, ["k1", "k2"], "left_anti")
+        rest = rest.join(rest.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"), "leaf", "left_semi").select(*members.columns)
+        rest = materialize(rest, "line-rest")
+        parts = materialize(line_parts(rest, similarity, lead), "line-parts")
+        crowded = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
+        rows, pairs = crowded.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
+        if not rows:
+            return found
+        parts = parts.join(crowded.select("part"), "part", "left_semi")
+        rest = materialize(rest.join(parts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "line-rest")
+        if pairs <= max(FEW_PAIRS, 8 * rows):
+            return found.unionByName(settled(rest, parts, similarity))
+
+
+def settled(rest: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """k1, k2, t1, t2 as templates() has them, from the pairs of lines that share a part."""
+    sides = [parts.join(rest, ["k1", "k2"]).select("part", F.struct("docs", "k1", "k2").alias(x), F.col("masked").alias(f"{x}_text")) for x in ("u", "v")]
+    links = (sides[0].join(sides[1], "part").where("u > v").drop("part").distinct()
+             .where(agreement(F.col("u_text"), F.col("v_text")) >= F.lit(similarity) * F.size(F.split("u_text", " "))))
+    links = materialize(links.select("u", "v"), "line-links")
+    open_links, taken = links, None
+    while not open_links.isEmpty():
+        # a line without an open link to an earlier one leads; what agrees with it doesn't
+        first = open_links.select("u").distinct().join(open_links.select(F.col("v").alias("u")), "u", "left_anti")
+        hit = materialize(open_links.join(first, "u").select("v").distinct(), "line-taken")
+        taken = hit if taken is None else taken.unionByName(hit)
+        left = open_links.join(hit, "v", "left_anti").join(hit.withColumnRenamed("v", "u"), "u", "left_anti")
+        open_links = materialize(left.join(first, "u", "left_anti").select("u", "v"), "line-open")
+    if taken is None:
+        return links.select("u.k1", "u.k2", F.col("v.k1").alias("t1"), F.col("v.k2").alias("t2"))
+    groups = links.join(taken.withColumnRenamed("v", "u"), "u", "left_anti").groupBy("v").agg(F.max("u").alias("u"))
+    of = lambda x: [F.col(f"{x}.k1").alias("k1"), F.col(f"{x}.k2").alias("k2"), F.col("u.k1").alias("t1"), F.col("u.k2").alias("t2")]
+    return groups.select(*of("v")).unionByName(groups.select(*of("u")).distinct())
+
+
+def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, similarity: float, min_tokens: int, lead: int) -> DataFrame:
     """k1, k2, first_id, docs of each masked line (keyed: lines without their text) whose template occurs in min_docs documents or more.
 
-    Masked lines of a leaf that agree with the leaf's leading line (most documents, then least text) in
-    at least the share `similarity` of positions share its template; the others are templates themselves.
+    Masked lines of a leaf that agree with a group's leading line in at least the share `similarity` of
+    positions share its template; a leaf has as many groups as its lines need (see templates()).
     """
     occurrences = materialize(keyed.groupBy("k1", "k2", "_id").agg(
         F.first("leaf").alias("leaf"), F.first("n").alias("n")), "line-occurrences")
@@ -50,12 +129,7 @@ def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, simil
     texts = (lines.where(F.col("n") >= min_tokens).join(crowded.select("leaf"), "leaf", "left_semi")
              .groupBy("k1", "k2", "leaf").agg(F.first("masked").alias("masked")))
     members = materialize(texts.join(keys.select("k1", "k2", "docs"), ["k1", "k2"]), "line-members")
-    leaders = members.groupBy("leaf").agg(F.max(F.struct(F.col("docs"), F.col("k1"), F.col("k2"), F.col("masked"))).alias("lead"))
-    same = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("lead.masked", " "), lambda a, b: a == b), lambda x: x))
-    merged = (members.join(leaders, "leaf")
-              .where(same >= F.lit(similarity) * F.size(F.split("masked", " ")))
-              .select("k1", "k2", F.col("lead.k1").alias("t1"), F.col("lead.k2").alias("t2")))
-    merged = materialize(merged, "line-merged")
+    merged = materialize(templates(members, similarity, lead), "line-merged")
     # templates of one masked line need no further work; those of several are counted anew over distinct documents
     shared = merged.where("k1 <> t1 or k2 <> t2").select("t1", "t2").distinct()
     joint = merged.join(shared, ["t1", "t2"], "left_semi")
@@ -81,7 +155,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept_columns = docs.columns
     lines = template_lines(docs, id_col, text_col, lead)
     keyed = materialize(lines.drop("masked"), "line-hashes")
-    recurring = materialize(recurring_templates(lines, keyed, min_docs, similarity, min_tokens), "line-recurring")
+    recurring = materialize(recurring_templates(lines, keyed, min_docs, similarity, min_tokens, lead), "line-recurring")
     gone = (keyed.select("_id", "_th", "pos", "k1", "k2").join(recurring, ["k1", "k2"])
             .where(~F.col("_id").eqNullSafe(F.col("first_id")))
             .groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone")))

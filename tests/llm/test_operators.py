@@ -219,6 +219,54 @@ def test_line_dedup_exact_lines_equal_brute_force(spark, docs):
         assert got[i] == "\n".join(kept)
 
 
+def brute_tree(lines, similarity=0.8, least=5):
+    """Leader of each masked line; lines: {masked: (leaf, docs, k1, k2)}."""
+    leads = {}
+    of = {}
+    for m, (leaf, *_) in sorted(lines.items(), key=lambda x: x[1][1:], reverse=True):
+        words = m.split(" ")
+        same = (x for x in leads.setdefault(leaf, []) if sum(a == b for a, b in zip(x.split(" "), words)) >= similarity * len(words))
+        of[m] = next(same, m) if len(words) >= least else m
+        if of[m] == m:
+            leads[leaf].append(m)
+    return of
+
+
+@pytest.mark.parametrize("few", [0, line_dedup.FEW_PAIRS])
+def test_line_dedup_equals_brute_force_tree(spark, few, monkeypatch):
+    """Several template families in a leaf, chains of lines that agree with neighbours only, and lines of all lengths."""
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", few)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        text = []
+        for _ in range(6):
+            n, family = int(rng.integers(4, 14)), int(rng.integers(0, 4))
+            words = ["we", "saw", "the", *(f"{'abcd'[family]}{'xyz'[k % 3]}" for k in range(n - 3))]
+            for k in rng.integers(3, n, 2):
+                words[k] = str(rng.choice(["red", "blue", "green", words[k], words[k]]))
+            text.append(" ".join(words[:n]))
+        rows.append((i, "\n".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.template_lines(frame, "doc_id", "text", 3).groupBy("masked", "leaf", "k1", "k2").agg(F.countDistinct("_id").alias("docs")).collect()
+    of = brute_tree({r.masked: (r.leaf, r.docs, r.k1, r.k2) for r in found})
+    docs_of = {}
+    for i, text in rows:
+        for line in text.split("\n"):
+            docs_of.setdefault(of[line], set()).add(i)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    for i, text in rows:
+        assert got[i] == "\n".join(x for x in text.split("\n") if len(docs_of[of[x]]) < 2 or min(docs_of[of[x]]) == i)
+
+
+def test_line_dedup_second_family_of_a_leaf(spark):
+    """The leaf's leading line is another one; the two lines below agree with each other only."""
+    lead = "we saw the one two three four five six seven"
+    rows = [(1, lead), (2, lead), (3, "we saw the red green blue grey pink teal gold"), (4, "we saw the red green blue grey pink teal lime")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: lead, 2: "", 3: rows[2][1], 4: ""}
+
+
 def test_line_dedup_odd_rows(spark, odd):
     out = line_dedup.dedup_lines(odd)
     assert set(out.columns) == set(odd.columns) | {"n_lines_", "n_dropped_"}
