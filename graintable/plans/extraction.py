@@ -78,15 +78,25 @@ def tx9_sections_budget(spark, d):
     return docs(spark, d).select("doc_id", C.sections_budget(F.col("text"), "license", "example", 200).alias("snippet"))
 
 
-@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r]+') IF x <> ''], ' ')) AS rebuilt FROM documents WHERE n_chars < 3000")
-def tx10_reconstruct_text(spark, d):
-    """Built from the words' positions and put together again; short documents have the inverted index of a record's abstract."""
+def rebuilt(texts):
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
-    rows = docs(spark, d).where("n_chars < 3000").select("doc_id", F.posexplode_outer(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
+    rows = texts.select("doc_id", F.posexplode_outer(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("w", F.lit("")), "ps"))).alias("m"))
     return index.select("doc_id", F.md5(C.reconstruct_text(F.col("m"))).alias("rebuilt"))
 
 
+@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r]+') IF x <> ''], ' ')) AS rebuilt FROM documents WHERE n_chars < 3000")
+def tx10_reconstruct_text(spark, d):
+    """Built from the words' positions and put together again; short documents have the inverted index of a record's abstract."""
+    return rebuilt(docs(spark, d).where("n_chars < 3000"))
+
+
+@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r]+') IF x <> ''], ' ')) AS rebuilt FROM documents")
+def tx10_reconstruct_whole_text(spark, d):
+    """As tx10_reconstruct_text, over documents of all lengths."""
+    return rebuilt(docs(spark, d))
+
+
 @query("SELECT doc_id, CAST(generate_subscripts(m, 1) AS INTEGER) AS nth, unnest(m) AS matched, CAST(unnest(v) AS DOUBLE) AS value FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]{3})-[0-9]{4}', 0) AS m, regexp_extract_all(text, '([0-9]{3})-[0-9]{4}', 1) AS v FROM documents)")
 def tx11_quantity_spans(spark, d):
     return X.quantity_spans(docs(spark, d), "doc_id", "text", "([0-9]{3})-[0-9]{4}")
