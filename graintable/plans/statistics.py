@@ -67,6 +67,13 @@ def ag9_counts_with_gaps(spark, d):
     return A.counts_with_gaps(orders, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")))
 
 
+@query("""WITH c AS (SELECT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS period, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(range((SELECT min(period) FROM c), (SELECT max(period) FROM c) + 1)) AS INTEGER) AS period)
+SELECT period, coalesce(n, 0) AS n, period = (SELECT period FROM c ORDER BY n DESC, period LIMIT 1) AS peak FROM s LEFT JOIN c USING (period)""")
+def ag9_counts_of_all_orders(spark, d):
+    """All orders by day; only small tables have days without one."""
+    return A.counts_with_gaps(table(spark, d, "orders"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")))
+
+
 @query("SELECT CASE WHEN length(text) = 0 THEN 'none' WHEN length(text) < 100 THEN '1-99' WHEN length(text) < 300 THEN '100-299' WHEN length(text) < 500 THEN '300-499' ELSE '500+' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
 def ag10_length_buckets(spark, d):
     return A.length_buckets(table(spark, d, "documents"), "text", [100, 300, 500])
@@ -157,6 +164,13 @@ def ag23_fold_rare(spark, d):
     return A.fold_rare(classes, "class", 10).groupBy("class").agg(F.count("*").alias("n"))
 
 
+@query("WITH n AS (SELECT l_partkey AS g, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN n < 30 THEN 'other' ELSE CAST(g AS VARCHAR) END AS class, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1")
+def ag23_fold_rare_parts(spark, d):
+    """All lines by part: a part has 30 lines on the average at any size, those below fold."""
+    classes = lines(spark, d).select(F.col("l_partkey").cast("string").alias("class"))
+    return A.fold_rare(classes, "class", 30).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS n, round(quantile_cont(a, 0.5), 4) AS median_a, round(quantile_cont(b, 0.5), 4) AS median_b, round(quantile_cont(a - b, 0.5), 4) AS median_diff, round(avg(a - b), 4) AS mean_diff, CASE WHEN abs(quantile_cont(a - b, 0.5)) > 10 THEN 'biased' ELSE 'close' END AS verdict FROM (SELECT l_quantity AS a, p_size AS b FROM lineitem JOIN part ON l_partkey = p_partkey)")
 def ag24_source_bias(spark, d):
     both = lines(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("p_size", F.col("p_size").cast("double"))
