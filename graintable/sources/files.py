@@ -54,10 +54,20 @@ def read_latest(spark: SparkSession, pattern: str, fmt: str = "parquet") -> Data
     return spark.read.format(fmt).load(found[-1])
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """stem, text: one row a text file, keyed by its name without the extension."""
-    files = spark.read.option("wholetext", True).text(path)
-    return files.select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"), F.col("value").alias("text"))
+def write_corpus(df: DataFrame, path: str, key: str, text: str, *folders: str) -> None:
+    """A file a row, in folders named by folders and key, written by Spark's tasks; the file ends with a line end of its own."""
+    df.select(*folders, F.col(key), F.col(text).alias("value")).write.partitionBy(*folders, key).text(path)
+
+
+def read_corpus(spark: SparkSession, path: str, pattern: str | None = None, ended: bool = False) -> DataFrame:
+    """stem, text: one row a text file in any folder below path, keyed by its name without the extension, or by group 1 of a pattern in its path.
+
+    ended: files end with a line end that isn't the text's, as write_corpus() leaves them.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    stem = F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "") if pattern is None else F.regexp_extract("_metadata.file_path", pattern, 1)
+    text = F.expr("substring(value, 1, length(value) - 1)") if ended else F.col("value")
+    return files.select(stem.alias("stem"), text.alias("text"))
 
 
 def read_keyed_files(spark: SparkSession, path: str, schema: str, pattern: str, key: str) -> DataFrame:
