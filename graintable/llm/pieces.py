@@ -1,22 +1,27 @@
-"""SentencePiece encoding and decoding by a relational lattice."""
+"""SentencePiece encoding and decoding by a relational lattice, folded by Viterbi."""
 
 from __future__ import annotations
 
-import math
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graintable.llm.common import materialize, table
 
 SPACE = "▁"
-#: Units that no piece crosses: a run of line ends, a run of spaces with the text after it, a run of spaces.
-UNIT = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: An edge of the lattice is one long: end (32 bits), length (7 bits), piece id (24 bits). A step is its lower 31 bits.
+LEN_BITS, ID_BITS = 7, 24
+#: Characters of a unit that are taken at once: few units are longer, and for those neither a row nor an accumulator holds the whole.
+WINDOW = 256
+#: Ids from here on are code points of characters without a piece.
+OTHER = 1 << 22
+#: Characters of a batch that is cut at once.
+BATCH_CHARS = 2_000_000
 
 
 def default_model() -> str:
@@ -26,7 +31,11 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The piece table of a model file: normal pieces with rank (smaller merges first) and the byte pieces."""
+    """The piece table of a model file: text, id and score of each normal piece, the byte pieces, and where texts may be cut.
+
+    Between two characters that no piece holds next to each other every segmentation has a border; texts are cut there
+    into units, so units can be folded by themselves without any loss.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -40,200 +49,280 @@ class Pieces:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.unknown = sp.unk_id()
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
-        order = sorted(self.ids, key=lambda p: (-self.score[p], self.ids[p]))
-        rank, last = 0, None
-        self.rank: dict[str, int] = {}
-        for p in order:
-            rank += self.score[p] != last
-            last = self.score[p]
-            self.rank[p] = rank
         self.longest = max(map(len, self.ids), default=1)
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece crosses units")
-
-    def cut(self, unit: str, mask: str | None) -> list[int]:
-        """Ids of a unit cut where mask has 1 (None: into characters); characters without a piece fall back to bytes."""
-        if mask is None:
-            parts = list(unit)
+        if self.longest >= 1 << LEN_BITS or size >= OTHER:
+            raise ValueError("pieces are too long or too many")
+        #: Weight by id; a character without a piece weighs ten less than the least piece, as in the library.
+        self.weights = [self.score.get(p, 0.0) if self.ids.get(p) == i else 0.0 for i, p in enumerate(self.text)]
+        self.without = min(self.score.values(), default=0.0) - 10.0
+        pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        chars = sorted({c for ab in pairs for c in ab})
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        self.classes = np.zeros(0x110000, dtype=np.int32)
+        for c, i in number.items():
+            self.classes[ord(c)] = i
+        self.classes[ord(" ")] = self.classes[ord(SPACE)]
+        self.n_classes = len(chars) + 1
+        self.joined = np.zeros(self.n_classes ** 2, dtype=bool)
+        for a, b in pairs:
+            self.joined[number[a] * self.n_classes + number[b]] = True
+        #: Bytes of each id as they decode, for all ids in one buffer.
+        self.back = pa.array([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)], pa.large_binary())
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The units of texts one after another (spaces still as they are), each text with the dummy space in front, and the number of units of each text."""
+        whole = "".join([f" {t}" for t in texts if t])
+        if not whole:
+            return pa.array([], pa.large_string()), np.zeros(len(texts), dtype=np.int64)
+        data = whole.encode()
+        if len(data) == len(whole):
+            points, width = np.frombuffer(data, dtype=np.uint8), None
         else:
-            at = [i for i, c in enumerate(mask) if c == "1"]
-            parts = [unit[a:b] for a, b in zip(at, at[1:], strict=False)]
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                for x in p.encode("utf-8", "replace"):
-                    out.append(self.bytes.get(x, self.unknown))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids, its leading dummy space removed; broken byte runs become U+FFFD."""
-        back = {i: b for b, i in self.bytes.items()}
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in back:
-                held.append(back[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            out.append(self.text[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-def units(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def unit_lattice(words: DataFrame, pieces: Pieces, max_unit: int) -> DataFrame:
-    """word and edges (sorted longs: rank, start, end) for each word of 2 to max_unit characters that holds a longer piece.
-
-    Substrings of bounded length are exploded and equi-joined to the piece table, which the model bounds.
-    """
-    spark = words.sparkSession
-    rows = [(p, r) for p, r in pieces.rank.items() if len(p) > 1]
-    known = spark.createDataFrame(rows, "piece string, rank int")
-    n = F.length("word")
-    return (
-        words.where(n.between(2, max_unit))
-        .select("word", F.posexplode(F.sequence(F.lit(1), n - 1)).alias("z", "s"))
-        .select("word", "s", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(pieces.longest), F.length("word") - F.col("s") + 1)))).alias("k"))
-        .select("word", "s", "k", F.col("word").substr(F.col("s"), F.col("k")).alias("piece"))
-        .join(F.broadcast(known), "piece")
-        .groupBy("word")
-        .agg(F.array_sort(F.collect_list(
-            F.shiftleft(F.col("rank").cast("long"), 24) + F.shiftleft(F.col("s").cast("long"), 12) + F.col("s") + F.col("k"))).alias("edges")))
-
-
-def fold_merges(lattice: DataFrame) -> DataFrame:
-    """word, mask: a 1 at each character where a piece begins, and at the end.
-
-    The lattice is folded in rank order: an edge joins the two pieces that meet inside it when both its
-    ends are piece boundaries then. This is the merge order of a BPE model, read off the lattice.
-    """
-    def step(mask, edge):
-        s = F.shiftright(edge, 12).bitwiseAND(4095).cast("int")
-        e = edge.bitwiseAND(4095).cast("int")
-        span = mask.substr(s, e - s + 1)
-        inner = mask.substr(s + 1, e - s - 1)
-        join = (F.translate(span, "0", "") == "111") & (F.length(F.translate(inner, "0", "")) == 1)
-        return F.when(join, F.concat(mask.substr(F.lit(1), s), F.repeat(F.lit("0"), e - s - 1), mask.substr(e, F.length(mask)))).otherwise(mask)
-
-    return lattice.select("word", F.aggregate("edges", F.repeat(F.lit("1"), F.length("word") + 1), step).alias("mask"))
-
-
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = 4_000_000, max_unit: int = 200) -> DataFrame:
-    """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
-
-    Ids equal the library's own for BPE models with identity normalisation, a dummy space in front and byte
-    fallback. Null and empty texts have no ids. Every distinct unit of the corpus goes through the lattice once;
-    units of over max_unit characters, whose lattice a single row couldn't hold, go to the library.
-    Rows are grouped in blocks of about block_chars characters by id range, each with its own units' masks.
-    """
-    pieces = Pieces(model or default_model())
-    kind = docs.schema[id_col].dataType
-    size = docs.agg(F.sum(F.length(text_col)), F.count("*")).first()
-    blocks = max(1, math.ceil((size[0] or 0) / block_chars))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    if kind.typeName() in ("long", "integer", "short", "byte", "double", "float") and blocks > 1:
-        edges = sorted(set(docs.approxQuantile(id_col, [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
-        marks = F.array(*[F.lit(float(x)) for x in edges])
-        block = F.size(F.filter(marks, lambda x: x <= F.col("_id").cast("double")))
-    else:
-        block = F.pmod(F.xxhash64("_id"), F.lit(blocks))
-    source = source.withColumn("block", block.cast("int"))
-
-    def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = {}
-        count = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for key, found in held.items():
-                words = [w for w in found if 2 <= len(w) <= max_unit]
-                for at in range(0, len(words), 50_000):
-                    part = words[at:at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "word"])
-            held.clear()
-
-        for b in batches:
-            for t, key in zip(b.column(0), b.column(1), strict=True):
-                held.setdefault(key.as_py(), set()).update(units(t.as_py()))
-                count += 1
-                if count % 256 == 0 and sum(map(len, held.values())) > 400_000:
-                    yield from flush()
-        yield from flush()
-
-    pairs = source.select("_t", "block").where("_t is not null").mapInArrow(distinct_units, "block int, word string")
-    pairs = pairs.distinct().repartition("word")
-    pairs = materialize(pairs, "piece-units")
-    masks = materialize(fold_merges(unit_lattice(pairs.select("word").distinct(), pieces, max_unit)), "piece-masks")
-    found = pairs.join(masks, "word").select("block", "word", "mask")
-    path = pieces.path
-
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        p = loaded(path)
-        masks_here = right.column("mask")
-        cache = {w.as_py(): m.as_py() for w, m in zip(right.column("word"), masks_here, strict=True)}
-        done: dict[str, bytes] = {}
-        ns, ids, crcs = [], [], []
-        for value in left.column("_t"):
-            text = value.as_py()
-            out = []
-            for u in units(text):
-                got = done.get(u)
-                if got is None:
-                    if len(u) > max_unit:
-                        got = np.array(p.library_ids(u), dtype="<u4").tobytes()
-                    else:
-                        got = np.array(p.cut(u, cache.get(u)), dtype="<u4").tobytes()
-                    done[u] = got
-                out.append(got)
-            whole = b"".join(out)
-            ns.append(len(whole) // 4)
-            ids.append(whole)
-            crcs.append(zlib.crc32((text or "").encode("utf-8", "replace")))
-        return pa.table({id_col: left.column("_id").combine_chunks(), "n_pieces": pa.array(ns, pa.int64()), "ids": pa.array(ids, pa.binary()), "text_crc32": pa.array(crcs, pa.int64())})
-
-    schema = f"`{id_col}` {kind.simpleString()}, n_pieces long, ids binary, text_crc32 long"
-    return source.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+            points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        c = self.classes[points]
+        border = np.empty(len(points) + 1, dtype=bool)
+        border[0] = border[-1] = True
+        np.logical_not(self.joined[c[:-1] * self.n_classes + c[1:]], out=border[1:-1])
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        border[ends] = True
+        at = np.flatnonzero(border)
+        counts = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+        offsets = at if width is None else np.concatenate([[0], np.cumsum(width)])[at]
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)), counts
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids, counts of them each, their leading dummy space removed; broken byte runs become U+FFFD."""
+        found = self.back.take(pa.array(ids.astype(np.int64)))
+        offsets = np.frombuffer(found.buffers()[1], dtype=np.int64)[:len(ids) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        at = offsets[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        texts = [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        return [(t[1:] if t.startswith(b" ") else t).decode("utf-8", "replace") for t in texts]
 
 
 _LOADED: dict[str, Pieces] = {}
 
 
-def loaded(path: str) -> LoadedPieces:
+def loaded(path: str) -> Pieces:
     """The piece table of a path, read once in a process."""
     if path not in _LOADED:
-        _LOADED[path] = LoadedPieces(path)
+        _LOADED[path] = Pieces(path)
     return _LOADED[path]
 
 
-class LoadedPieces(Pieces):
-    def __init__(self, path: str):
-        import sentencepiece
+def unit_key(word: Column) -> Column:
+    """What a unit is grouped and joined by: the unit itself up to 64 characters, else a digest, which is longer than that."""
+    return F.when(F.length(word) <= 64, word).otherwise(F.concat(F.lit("sha256: "), F.sha2(word.cast("binary"), 256)))
 
-        super().__init__(path)
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def library_ids(self, unit: str) -> list[int]:
-        """The library's ids of one unit, without the dummy space where the unit has none of its own."""
-        if unit[0] == SPACE:
-            return self.library.encode(unit[1:])
-        ids = self.library.encode("\n" + unit)  # a line end is no part of any piece
-        head = self.library.encode("\n")
-        return ids[len(head):]
+def unit_lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """key and parts for each distinct unit (key, word): the edges (sorted longs: end, length, piece id) that end in its first WINDOW characters, the next, and so on.
+
+    Substrings of up to the longest piece's length are exploded and equi-joined to the piece table, which the model
+    bounds; a single character without a piece is an edge with its code point above OTHER. Edges are grouped by key;
+    rows hold a window of a unit, never the whole of a long one.
+    """
+    known = words.sparkSession.createDataFrame([(p, i) for p, i in pieces.ids.items()], "piece string, id int")
+    size, longest = F.lit(WINDOW), F.lit(pieces.longest)
+    end = (F.col("base") + F.col("s") + F.col("k") - 1).cast("long")
+    edge = F.shiftleft(end, LEN_BITS + ID_BITS) + F.shiftleft(F.col("k").cast("long"), ID_BITS) + F.coalesce("id", F.lit(OTHER) + F.ascii("piece"))
+    return (
+        words.select("key", F.translate("word", " ", SPACE).alias("_w"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, size)).alias("base"))
+        .select("key", "base", F.col("_w").substr(F.col("base") + 1, size + longest).alias("_w"))
+        .select("key", "base", "_w", F.explode(F.sequence(F.lit(1), F.least(size, F.length("_w")))).alias("s"))
+        .select("key", "base", "_w", "s", F.explode(F.sequence(F.lit(1), F.least(longest, F.length("_w") - F.col("s") + 1))).alias("k"))
+        .select("key", "base", "s", "k", F.col("_w").substr(F.col("s"), F.col("k")).alias("piece"))
+        .join(F.broadcast(known), "piece", "left")
+        .where("id is not null or k = 1")
+        .select("key", edge.alias("edge"))
+        .groupBy("key", F.floor((F.shiftright("edge", LEN_BITS + ID_BITS) - 1) / WINDOW).alias("part")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "edges"))).alias("parts"))
+        .select("key", F.col("parts.edges").alias("parts"))
+    )
+
+
+def best_steps(parts: Column, pieces: Pieces) -> Column:
+    """Viterbi as a fold over edges sorted by end: for each position from 1 the step (length, piece id) of the best path to it, in parts.
+
+    A path's value is the sum of its pieces' weights; of equal ones that with the longer last piece wins, then the larger id.
+    An inner fold runs over a part's edges, an outer one over the parts, as Spark copies an accumulator at each step.
+    Both hold `done`, value and step of the positions from `first` on, and `last`, those of the position behind them.
+    """
+    weights = F.expr(f"cast(split('{','.join(map(str, pieces.weights))}', ',') as array<double>)")
+    keep = 1 << LEN_BITS
+
+    def step(acc: Column, edge: Column) -> Column:
+        e = F.shiftright(edge, LEN_BITS + ID_BITS).cast("int")
+        taken = edge.bitwiseAND((1 << (LEN_BITS + ID_BITS)) - 1).cast("int")
+        begin = e - F.shiftright(taken, ID_BITS)
+        weight = F.coalesce(F.get(weights, taken.bitwiseAND((1 << ID_BITS) - 1)), F.lit(pieces.without))
+        done, last, first = acc["done"], acc["last"], acc["first"]
+        here = first + F.size(done)  # the position of last
+        before = F.when(begin == here, last["v"]).otherwise(F.get(done, begin - first)["v"])
+        found = F.struct((before + weight).alias("v"), taken.alias("t"))
+        same = F.struct(done.alias("done"), F.greatest(last, found).alias("last"), first.alias("first"))
+        more = F.struct(F.array_append(done, last).alias("done"), found.alias("last"), first.alias("first"))
+        return F.when(e == here, same).otherwise(more)
+
+    def part(acc: Column, edges: Column) -> Column:
+        start = F.struct(acc["done"].alias("done"), acc["last"].alias("last"), acc["first"].alias("first"))
+        before = acc["first"] + F.size(acc["done"])
+
+        def close(now: Column) -> Column:
+            here, size = now["first"] + F.size(now["done"]), F.size(now["done"])
+            drop = F.greatest(size - keep, F.lit(0))
+            steps = F.transform(F.slice(F.array_append(now["done"], now["last"]), size + 2 - (here - before), here - before), lambda x: x["t"])
+            return F.struct(F.slice(now["done"], drop + 1, F.greatest(size, F.lit(1))).alias("done"), now["last"].alias("last"), (now["first"] + drop).alias("first"),
+                            F.array_append(acc["chunks"], steps).alias("chunks"))
+
+        return F.aggregate(edges, start, step, close)
+
+    start = F.struct(F.expr("cast(array() as array<struct<v:double,t:int>>)").alias("done"), F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("t")).alias("last"),
+                     F.lit(0).alias("first"), F.expr("cast(array() as array<array<int>>)").alias("chunks"))
+    return F.aggregate(parts, start, part, lambda acc: acc["chunks"])
+
+
+def best_ids(steps: Column, pieces: Pieces) -> Column:
+    """Ids of the best path, read back from the steps of best_steps; a character without a piece falls back to its bytes' pieces."""
+    by_byte = F.expr(f"cast(split('{','.join(str(pieces.bytes.get(b, pieces.unknown)) for b in range(256))}', ',') as array<int>)")
+    none = F.expr("cast(array() as array<int>)")
+
+    def fallback(c: Column) -> Column:
+        """Ids of the UTF-8 bytes of code point c, the last byte first."""
+        if not pieces.bytes:
+            return F.array(F.lit(pieces.unknown))
+        tail = [F.shiftright(c, 6 * i).bitwiseAND(63) + 0x80 for i in range(3)]
+        codes = (F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(tail[0], F.shiftright(c, 6) + 0xC0))
+                 .when(c < 0x10000, F.array(*tail[:2], F.shiftright(c, 12) + 0xE0)).otherwise(F.array(*tail, F.shiftright(c, 18) + 0xF0)))
+        return F.transform(codes, lambda b: F.get(by_byte, b))
+
+    def part(acc: Column, j: Column) -> Column:
+        here, base = F.get(steps, j), j * WINDOW
+
+        def back(now: Column, p: Column) -> Column:
+            t = F.get(here, p - base - 1)
+            i = t.bitwiseAND((1 << ID_BITS) - 1)
+            ids = F.when(i >= OTHER, F.concat(now["ids"], fallback(i - OTHER))).otherwise(F.array_append(now["ids"], i))
+            return F.when(p == now["p"], F.struct((p - F.shiftright(t, ID_BITS)).alias("p"), ids.alias("ids"))).otherwise(now)
+
+        return F.aggregate(F.sequence(acc["p"], base + 1, F.lit(-1)), F.struct(acc["p"].alias("p"), none.alias("ids")), back,
+                           lambda now: F.struct(now["p"].alias("p"), F.array_append(acc["chunks"], now["ids"]).alias("chunks")))
+
+    last = F.size(steps) - 1
+    start = F.struct((last * WINDOW + F.size(F.get(steps, last))).alias("p"), F.expr("cast(array() as array<array<int>>)").alias("chunks"))
+    return F.aggregate(F.sequence(last, F.lit(0), F.lit(-1)), start, part, lambda acc: F.reverse(F.flatten(acc["chunks"])))
+
+
+def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """key, ids (array of int): the Viterbi path of each distinct unit (key, word), by lattice and fold."""
+    steps = unit_lattice(words, pieces).select("key", best_steps(F.col("parts"), pieces).alias("steps"))
+    return steps.select("key", best_ids(F.col("steps"), pieces).alias("ids"))
+
+
+def number_units(docs: DataFrame, path: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """Texts as numbers of units: block, names, counts (units of each text), crcs (crc32 of each text), numbers (packed), first, units.
+
+    A block is a run of about block_chars characters of one partition and numbers its units from 0 by first occurrence;
+    a row holds a batch of its texts, and the units that are new in it, numbered from `first` on.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), F.spark_partition_id().alias("_part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = loaded(path)
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        block, have = 0, 0
+
+        def some(names: list, texts: list[str], part: int, kind_: pa.DataType) -> pa.RecordBatch:
+            units, counts = p.cut(texts)
+            coded = units.dictionary_encode()
+            first = len(number)
+            to = np.fromiter((number[u] for u in coded.dictionary.to_pylist()), dtype=np.uint32, count=len(coded.dictionary))
+            at = to[coded.indices.to_numpy()].view(np.uint8).reshape(-1, 4)
+            packed = pa.compress(np.ascontiguousarray(at.T).tobytes(), "zstd", asbytes=True)
+            crcs = [zlib.crc32(t.encode()) for t in texts]
+            fresh = list(number)[first:] if len(number) > first else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + block], pa.int64()), pa.array([names], pa.list_(kind_)), pa.array([counts], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())),
+                 pa.array([packed], pa.binary()), pa.array([first], pa.int32()), pa.array([fresh], pa.list_(pa.string()))],
+                ["block", "names", "counts", "crcs", "numbers", "first", "units"])
+
+        for b in batches:
+            part, kind_ = b.column(2)[0].as_py() if b.num_rows else 0, b.schema.field(0).type
+            names, texts, size = [], [], 0
+            for name, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = value.as_py() or ""
+                names.append(name)
+                texts.append(text)
+                size += len(text)
+                if size >= BATCH_CHARS:
+                    yield some(names, texts, part, kind_)
+                    have, names, texts, size = have + size, [], [], 0
+                if have >= block_chars:
+                    number.clear()
+                    block, have = block + 1, 0
+            if names:
+                yield some(names, texts, part, kind_)
+                have += size
+
+    return source.mapInArrow(run, f"block long, names array<{kind}>, counts array<long>, crcs array<long>, numbers binary, first int, units array<string>")
+
+
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+    """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
+
+    A text's pieces are those with the greatest sum of scores (ties: see best_steps), a dummy space in front, bytes for
+    characters without a piece: the best path of the library's own unigram lattice. With a BPE model, for which the
+    library merges pieces by rank, it is another segmentation into the same pieces, and decodes to the same text.
+    Null and empty texts have no ids. Repeated rows and repeated or null ids are rows of their own; an empty table gives
+    an empty one; other columns, whatever their names, are not read. Each distinct unit of all texts goes through
+    the lattice once, however long it is; only a unit that no border splits is held by one row. Texts move as numbers of
+    their block's units (see number_units), and meet the ids of these units there.
+    """
+    pieces = loaded(model or default_model())
+    kind = docs.schema[id_col].dataType.simpleString()
+    numbered = materialize(number_units(docs, pieces.path, id_col, text_col, block_chars), "piece-numbers")
+    pairs = numbered.select("block", "first", F.posexplode("units").alias("p", "word")).select("block", (F.col("first") + F.col("p")).alias("number"), unit_key(F.col("word")).alias("key"), "word")
+    found = materialize(word_ids(pairs.select("key", "word").distinct().repartition("key"), pieces), "piece-ids")
+    known = pairs.join(found, "key").select(F.col("block").alias("to"), "number", "ids")
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids_of = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
+        ids_of = ids_of.chunk(0) if isinstance(ids_of, pa.ChunkedArray) else ids_of
+        offsets, values = ids_of.offsets.to_numpy(), ids_of.values.to_numpy().astype("<u4")
+        size = int(right.num_rows)
+        begin, length = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        number = right.column("number").to_numpy()
+        begin[number], length[number] = offsets[:-1], np.diff(offsets)
+        parts = []
+        for row in left.select(["names", "counts", "crcs", "numbers"]).to_batches():
+            for i in range(row.num_rows):
+                counts = row.column(1)[i].values.to_numpy()
+                n = int(counts.sum())
+                at = np.frombuffer(pa.decompress(row.column(3)[i].as_buffer(), 4 * n, "zstd") if n else b"", dtype=np.uint8)
+                at = np.ascontiguousarray(at.reshape(4, n).T).view("<u4").reshape(-1)
+                each = length[at]
+                ends = np.cumsum(each)
+                total = int(ends[-1]) if n else 0
+                ids = values[np.repeat(begin[at] - ends + each, each) + np.arange(total)] if n else values[:0]
+                borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * borders), pa.py_buffer(ids)])
+                parts.append(pa.table([row.column(0)[i].values, pa.array(np.diff(borders)), binary.cast(pa.binary()), row.column(2)[i].values], [id_col, "n_pieces", "ids", "text_crc32"]))
+        return pa.concat_tables(parts) if parts else pa.table({id_col: pa.array([], left.schema.field("names").type.value_type), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "text_crc32": pa.array([], pa.int64())})
+
+    rows = numbered.select("block", "names", "counts", "crcs", "numbers")
+    return rows.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(finish, f"`{id_col}` {kind}, n_pieces long, ids binary, text_crc32 long")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """encoded with text_ (string): the text of ids_col (binary as encode writes it); null ids give null."""
+    """encoded with text_ (string): the text of ids_col (binary as encode writes it); null ids give null, no ids an empty text.
+
+    A column text_ that encoded has already is replaced; other columns pass through, whatever their names. Repeated rows stay.
+    """
     path = model or default_model()
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "text_"])
     names = encoded.columns
     at = names.index(ids_col)
 
@@ -242,13 +331,17 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                texts = [None if x.as_py() is None else p.decode(np.frombuffer(x.as_py(), dtype="<u4").tolist()) for x in b.column(at)]
+                found = [x.as_buffer() for x in b.column(at)]
+                counts = np.array([0 if x is None else x.size // 4 for x in found], dtype=np.int64)
+                texts = p.decode(np.frombuffer(b"".join([x for x in found if x is not None]), dtype="<u4"), counts)
+                texts = [None if x is None else t for x, t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text_"])
 
     return encoded.mapInArrow(run, encoded.withColumn("text_", F.lit(None).cast("string")).schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents by encode and decode: doc_id, n_pieces, ids_crc32 (of the ids' bytes), round_trip (they decode to the text; null counts as empty)."""
     done = decode(encode(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"),
                        (F.crc32(F.coalesce("text_", F.lit("")).cast("binary")) == F.col("text_crc32")).alias("round_trip"))

@@ -377,28 +377,91 @@ def test_reordered_passages_and_odd_rows(spark, odd):
 
 # -- pieces
 
-def test_pieces_equal_the_library(spark, docs):
+def plain_viterbi(p, text, known={}):
+    """Best summed score over all pieces of each run of text between spaces and line ends, position by position."""
+    import re
+
+    out = []
+    for s in re.findall("\n+|▁*[^▁\n]+|▁+", "▁" + text.replace(" ", "▁")) if text else []:
+        if s not in known:
+            best = [(0.0, 0)]
+            for e in range(1, len(s) + 1):
+                found = []
+                for k in range(1, min(p.longest, e) + 1):
+                    i = p.ids.get(s[e - k:e])
+                    if i is not None or k == 1:
+                        found.append((best[e - k][0] + (p.score[s[e - k:e]] if i is not None else p.without), k, -1 if i is None else i))
+                best.append(max(found))
+            path, e = [], len(s)
+            while e:
+                _, k, i = best[e]
+                path.append([i] if i >= 0 else [p.bytes[x] for x in s[e - 1].encode()])
+                e -= k
+            known[s] = [x for ids in reversed(path) for x in ids]
+        out += known[s]
+    return out
+
+
+def test_pieces_equal_plain_viterbi(spark, docs):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode(docs, block_chars=500_000).collect()}
+    p = pieces.loaded(pieces.default_model())
+    sp = sentencepiece.SentencePieceProcessor(model_file=p.path)
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode(docs.repartition(3), block_chars=200_000).collect()}
     for r in docs.collect():
-        assert rows[r.doc_id] == sp.encode(r.text)
+        assert rows[r.doc_id] == plain_viterbi(p, r.text)
+        assert sp.decode(rows[r.doc_id]) == r.text
 
 
-def test_pieces_odd_texts(spark, odd):
+def test_pieces_equal_the_library_in_its_viterbi_mode(spark, docs):
+    """The library's own lattice and Viterbi, by the same piece table marked as a unigram model; it sums in single precision, which the
+    score of the lone space piece would swamp."""
+    import re
+
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    p = pieces.loaded(pieces.default_model())
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(p.path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    words = sorted({w for r in docs.limit(200).collect() for w in re.findall(r"\S+", r.text)})
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    alone = p.ids["▁"]
+    seen = 0
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        if alone not in ids:
+            assert ids == library.nbest_encode(words[r.doc_id], nbest_size=2)[0]
+            seen += 1
+    assert seen > 0.9 * len(words) > 1000
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    texts = ["Hello  world", " lead", "trail ", "tab\there", "中文 字符 😀", "a\n\nb", "x" * 500, "   ", "▁odd▁", "éá", "a" * 199 + " b", "\n" + "y" * 300]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
+
+def test_pieces_odd_texts(spark, odd):
+    p = pieces.loaded(pieces.default_model())
+    texts = ["Hello  world", " lead", "trail ", "tab\there", "中文 字符 😀", "a\n\nb", "x" * 5000, "   ", "▁odd▁", "éá", "a" * 199 + " b", "\n" + "y" * 300, "\0a \0 b", "ab" * 3000, " " * 700, "꧁" * 600, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "key", "word", "names", "n_pieces", "numbers")})
+    rows = {r.doc_id: r for r in pieces.decode(pieces.encode(df).withColumn("text_", F.lit("?"))).collect()}
     for i, t in enumerate(texts):
-        assert np.frombuffer(rows[i].ids, "<u4").tolist() == sp.encode(t), t
-        assert rows[i].text_ == sp.decode(sp.encode(t))
-    out = {r.doc_id: r.n_pieces for r in pieces.encode(odd).collect()}
-    assert out[1] == out[2] == 0
+        assert np.frombuffer(rows[i].ids, "<u4").tolist() == plain_viterbi(p, t), t
+        assert rows[i].text_ == (t or "").replace("▁", " ")
+    out = pieces.encode(odd).collect()
+    assert len(out) == odd.count()
+    assert {r.doc_id: r.n_pieces for r in out}[1] == 0
     assert pieces.encode(odd.limit(0)).count() == 0
+    assert pieces.decode(pieces.encode(odd.limit(0))).count() == 0
+    nulls = spark.createDataFrame([(None,), (b"",)], "ids binary")
+    assert sorted((r.text_ for r in pieces.decode(nulls).collect()), key=repr) == ["", None]
+
+
+def test_pieces_of_repeated_ids_over_many_blocks(spark):
+    rows = [(i % 3 if i % 4 else None, f"word{i} again and again {'z' * i}") for i in range(200)]
+    p = pieces.loaded(pieces.default_model())
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), block_chars=100).collect()
+    want = sorted((repr(i), plain_viterbi(p, t)) for i, t in rows)
+    assert sorted((repr(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
 
 
 # -- neighbours
