@@ -17,11 +17,11 @@ SPACE = "▁"
 #: An edge of the lattice is one long: end (32 bits), length (7 bits), piece id (24 bits). A step is its lower 31 bits.
 LEN_BITS, ID_BITS = 7, 24
 #: Characters of a unit that are taken at once: few units are longer, and for those neither a row nor an accumulator holds the whole.
-WINDOW = 256
+WINDOW, SHORT = 256, 64
 #: Ids from here on are code points of characters without a piece.
 OTHER = 1 << 22
 #: Characters of a batch that is cut at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def default_model() -> str:
@@ -112,33 +112,42 @@ def loaded(path: str) -> Pieces:
 
 
 def unit_key(word: Column) -> Column:
-    """What a unit is grouped and joined by: the unit itself up to 64 characters, else a digest, which is longer than that."""
-    return F.when(F.length(word) <= 64, word).otherwise(F.concat(F.lit("sha256: "), F.sha2(word.cast("binary"), 256)))
+    """What a unit is grouped and joined by: the unit itself up to SHORT characters, else a digest, which is longer than that."""
+    return F.when(F.length(word) <= SHORT, word).otherwise(F.concat(F.lit("sha256: "), F.sha2(word.cast("binary"), 256)))
 
 
-def unit_lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """key and parts for each distinct unit (key, word): the edges (sorted longs: end, length, piece id) that end in its first WINDOW characters, the next, and so on.
+def unit_lattice(words: DataFrame, pieces: Pieces, short: bool) -> DataFrame:
+    """places and parts for each row of words (key, group, word, places; no key and group twice).
 
+    Parts hold the edges (sorted longs: end, length, piece id) that end in the first WINDOW characters, the next, and so on.
     Substrings of up to the longest piece's length are exploded and equi-joined to the piece table, which the model
     bounds; a single character without a piece is an edge with its code point above OTHER. Edges are grouped by key;
-    rows hold a window of a unit, never the whole of a long one.
+    rows hold a window of a unit, never the whole of a long one, and only a unit's first row holds its places.
+    short: all words fit into a window, so each has one part.
     """
     known = words.sparkSession.createDataFrame([(p, i) for p, i in pieces.ids.items()], "piece string, id int")
     size, longest = F.lit(WINDOW), F.lit(pieces.longest)
     end = (F.col("base") + F.col("s") + F.col("k") - 1).cast("long")
     edge = F.shiftleft(end, LEN_BITS + ID_BITS) + F.shiftleft(F.col("k").cast("long"), ID_BITS) + F.coalesce("id", F.lit(OTHER) + F.ascii("piece"))
-    return (
-        words.select("key", F.translate("word", " ", SPACE).alias("_w"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, size)).alias("base"))
-        .select("key", "base", F.col("_w").substr(F.col("base") + 1, size + longest).alias("_w"))
-        .select("key", "base", "_w", F.explode(F.sequence(F.lit(1), F.least(size, F.length("_w")))).alias("s"))
-        .select("key", "base", "_w", "s", F.explode(F.sequence(F.lit(1), F.least(longest, F.length("_w") - F.col("s") + 1))).alias("k"))
-        .select("key", "base", "s", "k", F.col("_w").substr(F.col("s"), F.col("k")).alias("piece"))
+    one = (F.col("base") == 0) & (F.col("s") == 1) & (F.col("k") == 1)
+    edges = (
+        words.select("key", "group", "places", F.translate("word", " ", SPACE).alias("_w"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, size)).alias("base"))
+        .select("key", "group", "places", "base", F.col("_w").substr(F.col("base") + 1, size + longest).alias("_w"))
+        .select("key", "group", "places", "base", "_w", F.explode(F.sequence(F.lit(1), F.least(size, F.length("_w")))).alias("s"))
+        .select("key", "group", "places", "base", "_w", "s", F.explode(F.sequence(F.lit(1), F.least(longest, F.length("_w") - F.col("s") + 1))).alias("k"))
+        .select("key", "group", F.when(one, F.col("places")).alias("places"), "base", "s", "k", F.col("_w").substr(F.col("s"), F.col("k")).alias("piece"))
         .join(F.broadcast(known), "piece", "left")
         .where("id is not null or k = 1")
-        .select("key", edge.alias("edge"))
-        .groupBy("key", F.floor((F.shiftright("edge", LEN_BITS + ID_BITS) - 1) / WINDOW).alias("part")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "edges"))).alias("parts"))
-        .select("key", F.col("parts.edges").alias("parts"))
+        .select("key", "group", "places", edge.alias("edge"))
+    )
+    if short:
+        return (edges.groupBy("key", "group").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("places").alias("places"))
+                .select(F.flatten("places").alias("places"), F.array("edges").alias("parts")))
+    return (
+        edges.groupBy("key", "group", F.floor((F.shiftright("edge", LEN_BITS + ID_BITS) - 1) / WINDOW).alias("part"))
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("places").alias("places"))
+        .groupBy("key", "group").agg(F.sort_array(F.collect_list(F.struct("part", "edges"))).alias("parts"), F.flatten(F.flatten(F.collect_list("places"))).alias("places"))
+        .select("places", F.col("parts.edges").alias("parts"))
     )
 
 
@@ -215,23 +224,53 @@ def best_ids(steps: Column, pieces: Pieces) -> Column:
 
 
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """key, ids (array of int): the Viterbi path of each distinct unit (key, word), by lattice and fold."""
-    steps = unit_lattice(words, pieces).select("key", best_steps(F.col("parts"), pieces).alias("steps"))
-    return steps.select("key", best_ids(F.col("steps"), pieces).alias("ids"))
+    """places, ids (array of int): the Viterbi path of each row of words (key, group, word, places), by lattice and fold."""
+    def of(some: DataFrame, short: bool) -> DataFrame:
+        steps = unit_lattice(some, pieces, short).select("places", best_steps(F.col("parts"), pieces).alias("steps"))
+        return steps.select("places", best_ids(F.col("steps"), pieces).alias("ids"))
+
+    return of(words.where(F.length("key") <= SHORT), True).unionByName(of(words.where(F.length("key") > SHORT), False))
 
 
-def number_units(docs: DataFrame, path: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+def frequent_units(docs: DataFrame, pieces: Pieces, text_col: str, limit: int, sample_rows: int, max_chars: int = 50_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most limit frequent units with the lengths of their ids and the ids, for a broadcast that spares work and changes no result.
+
+    They come from about sample_rows texts of max_chars characters at most, and go through the lattice like all others.
+    """
+    path, spark = pieces.path, docs.sparkSession
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.length("_t") <= max_chars)
+    rows = texts.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = loaded(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 300):
+                found = p.cut(b.column(0).slice(at, 300).to_pylist())[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"])
+
+    counted = texts.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=3).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word string, i int")
+    words = words.select(unit_key(F.col("word")).alias("key"), F.lit(0).cast("long").alias("group"), "word", F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("i").alias("number"))).alias("places")).repartition("key", "group")
+    found = {r[0]: r[1] for r in word_ids(words, pieces).select(F.col("places")[0]["number"], "ids").collect()}
+    lengths = np.array([len(found[i]) for i in range(len(top))], dtype=np.int64)
+    return top, lengths, np.array([x for i in range(len(top)) for x in found[i]], dtype="<u4")
+
+
+def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str, text_col: str, block_chars: int) -> DataFrame:
     """Texts as numbers of units: block, names, counts (units of each text), crcs (crc32 of each text), numbers (packed), first, units.
 
-    A block is a run of about block_chars characters of one partition and numbers its units from 0 by first occurrence;
-    a row holds a batch of its texts, and the units that are new in it, numbered from `first` on.
+    Known units have the first numbers. A block is a run of about block_chars characters of one partition and numbers its
+    other units by first occurrence; a row holds a batch of its texts, and the units new in it, numbered from `first` on.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    path, shared = pieces.path, docs.sparkSession.sparkContext.broadcast(known)
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), F.spark_partition_id().alias("_part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = loaded(path)
-        number: defaultdict[str, int] = defaultdict()
+        start = {w: i for i, w in enumerate(shared.value)}
+        number: defaultdict[str, int] = defaultdict(None, start)
         number.default_factory = number.__len__
         block, have = 0, 0
 
@@ -239,11 +278,12 @@ def number_units(docs: DataFrame, path: str, id_col: str, text_col: str, block_c
             units, counts = p.cut(texts)
             coded = units.dictionary_encode()
             first = len(number)
-            to = np.fromiter((number[u] for u in coded.dictionary.to_pylist()), dtype=np.uint32, count=len(coded.dictionary))
+            words = coded.dictionary.to_pylist()
+            to = np.fromiter(map(number.__getitem__, words), dtype=np.uint32, count=len(words))
             at = to[coded.indices.to_numpy()].view(np.uint8).reshape(-1, 4)
             packed = pa.compress(np.ascontiguousarray(at.T).tobytes(), "zstd", asbytes=True)
             crcs = [zlib.crc32(t.encode()) for t in texts]
-            fresh = list(number)[first:] if len(number) > first else []
+            fresh = [w for w, i in zip(words, to.tolist(), strict=True) if i >= first]  # in the order of their numbers
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 24) + block], pa.int64()), pa.array([names], pa.list_(kind_)), pa.array([counts], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())),
                  pa.array([packed], pa.binary()), pa.array([first], pa.int32()), pa.array([fresh], pa.list_(pa.string()))],
@@ -262,6 +302,7 @@ def number_units(docs: DataFrame, path: str, id_col: str, text_col: str, block_c
                     have, names, texts, size = have + size, [], [], 0
                 if have >= block_chars:
                     number.clear()
+                    number.update(start)
                     block, have = block + 1, 0
             if names:
                 yield some(names, texts, part, kind_)
@@ -270,32 +311,44 @@ def number_units(docs: DataFrame, path: str, id_col: str, text_col: str, block_c
     return source.mapInArrow(run, f"block long, names array<{kind}>, counts array<long>, crcs array<long>, numbers binary, first int, units array<string>")
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000,
+           frequent: int = 100_000, sample_rows: int = 5_000) -> DataFrame:
     """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
 
     A text's pieces are those with the greatest sum of scores (ties: see best_steps), a dummy space in front, bytes for
     characters without a piece: the best path of the library's own unigram lattice. With a BPE model, for which the
     library merges pieces by rank, it is another segmentation into the same pieces, and decodes to the same text.
     Null and empty texts have no ids. Repeated rows and repeated or null ids are rows of their own; an empty table gives
-    an empty one; other columns, whatever their names, are not read. Each distinct unit of all texts goes through
-    the lattice once, however long it is; only a unit that no border splits is held by one row. Texts move as numbers of
-    their block's units (see number_units), and meet the ids of these units there.
+    an empty one; other columns, whatever their names, are not read. Units of any length go through the lattice, each
+    once for 1,024 partitions of docs; only a unit that no border splits is held by one row. Texts move as numbers of their
+    block's units (see number_units), and meet the ids of these units there; `frequent` units are known beforehand.
     """
     pieces = loaded(model or default_model())
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    numbered = materialize(number_units(docs, pieces.path, id_col, text_col, block_chars), "piece-numbers")
-    pairs = numbered.select("block", "first", F.posexplode("units").alias("p", "word")).select("block", (F.col("first") + F.col("p")).alias("number"), unit_key(F.col("word")).alias("key"), "word")
-    found = materialize(word_ids(pairs.select("key", "word").distinct().repartition("key"), pieces), "piece-ids")
-    known = pairs.join(found, "key").select(F.col("block").alias("to"), "number", "ids")
+    top, top_lengths, top_ids = frequent_units(docs, pieces, text_col, frequent, sample_rows)
+    numbered = materialize(number_units(docs, pieces, top, id_col, text_col, block_chars), "piece-numbers")
+    rare = numbered.agg(F.sum(F.size("units"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // 100_000)
+    pairs = numbered.select("block", "first", F.posexplode("units").alias("p", "word")).select(
+        unit_key(F.col("word")).alias("key"), F.shiftright("block", 34).alias("group"), "word", F.struct("block", (F.col("first") + F.col("p")).alias("number")).alias("place"))
+    words = pairs.repartition(n, "key", "group").groupBy("key", "group").agg(F.first("word").alias("word"), F.collect_list("place").alias("places"))
+    known = word_ids(words, pieces).select("ids", F.explode("places").alias("place")).select(F.col("place.block").alias("to"), F.col("place.number").alias("number"), "ids")
+    shared = spark.sparkContext.broadcast((top_lengths, top_ids))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_of = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        ids_of = ids_of.chunk(0) if isinstance(ids_of, pa.ChunkedArray) else ids_of
-        offsets, values = ids_of.offsets.to_numpy(), ids_of.values.to_numpy().astype("<u4")
-        size = int(right.num_rows)
-        begin, length = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        number = right.column("number").to_numpy()
-        begin[number], length[number] = offsets[:-1], np.diff(offsets)
+        lengths, values = shared.value
+        if right.num_rows:
+            ids = right.column("ids").combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            offsets, number = ids.offsets.to_numpy(), right.column("number").to_numpy()
+            size = int(number.max()) + 1
+            begin, length = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+            begin[:len(lengths)], length[:len(lengths)] = np.cumsum(lengths) - lengths, lengths
+            begin[number], length[number] = offsets[:-1] + len(values), np.diff(offsets)
+            values = np.concatenate([values, ids.values.to_numpy().astype("<u4")])
+        else:
+            begin, length = np.cumsum(lengths) - lengths, lengths
         parts = []
         for row in left.select(["names", "counts", "crcs", "numbers"]).to_batches():
             for i in range(row.num_rows):
