@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -142,21 +143,72 @@ class Block:
         return out
 
 
-#: White space other than the space and the line end: texts that hold any go to the library whole.
-OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-OTHER_SPACE_WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-#: Pairs of white space, which the pre-tokenizer splits by what follows them.
-SPACE_RUNS = ("  ", "\n\n", " \n", "\n ")
-MARKS = ".,;:!?"
+#: White space other than the space and the line end, wherever a pre-tokenizer might see it.
+OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200C)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff")
+WHITE, LETTER, MARK, APOSTROPHE = 3, 4, 5, 6
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of each code point: 1 space, 2 line end, 3 other white space, letters, ASCII marks and digits, the apostrophe, 0 all others."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    out[[i for i in range(0x110000) if chr(i).isalpha()]] = LETTER
+    out[[i for i in range(33, 127) if not chr(i).isalpha()]] = MARK
+    out[39] = APOSTROPHE
+    out[32], out[10] = 1, 2
+    out[list(map(ord, OTHER_SPACE))] = WHITE
+    return out
+
+
+def cut_texts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Cuts of texts one after another, and the number of cuts of each text. Every border is one between pre-tokens.
+
+    The byte-level pre-tokenizer starts a pre-token at each run of white space, and gives its last character to what follows:
+    as the head of a word if it is a space, else by itself. Runs with white space other than spaces and line ends stay inside a cut.
+    A run of letters is a pre-token, but for what an apostrophe takes of it.
+    """
+    whole = "".join(texts)
+    if not whole:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), dtype=np.int64)
+    data = whole.encode()
+    if len(data) == len(whole):
+        points, width = np.frombuffer(data, dtype=np.uint8), None
+    else:
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    kind = kinds()[points]
+    ends = np.cumsum([len(t) for t in texts])
+    first = np.zeros(len(points) + 1, dtype=bool)  # of a text
+    first[0] = first[-1] = True
+    first[ends] = True
+    at = np.flatnonzero((kind > 0) & (kind <= WHITE))
+    joined = np.zeros(len(at), dtype=bool)  # to the white space before it
+    joined[1:] = (at[1:] == at[:-1] + 1) & ~first[at[1:]]
+    last = np.append(~joined[1:], True)[:len(at)]
+    followed = last & ~first[at + 1]
+    plain = np.ones(len(at), dtype=bool)
+    if (kind[at] == WHITE).any():
+        run = np.cumsum(~joined) - 1
+        odd = np.zeros(int(run[-1]) + 1, dtype=bool)
+        odd[run[kind[at] == WHITE]] = True
+        plain = ~odd[run]
+    border = first
+    border[at[plain & (~joined | followed)]] = True
+    border[at[plain & followed & (kind[at] == 2)] + 1] = True
+    letter = kind == LETTER
+    border[1:-1] |= (letter[:-1] & (kind[1:] >= MARK)) | ((kind[:-1] == MARK) & letter[1:])
+    borders = np.flatnonzero(border)
+    counts = np.diff(np.searchsorted(borders, np.concatenate([[0], ends])))
+    offsets = borders if width is None else np.concatenate([[0], np.cumsum(width)])[borders]
+    return pa.LargeStringArray.from_buffers(len(borders) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)), counts
 
 
 class CachedTokenizer:
     """The tokenizers library's ids of whole texts, as little-endian 16-bit bytes.
 
-    The byte-level pre-tokenizer never joins text across a single space or line end between visible
-    characters, so texts with no other white space are cut there, and each distinct cut is encoded once while it is
-    held: a run of letters, with a mark behind it or not, by the library's model alone, as it is one pre-token (and a
-    mark); other cuts, and other texts as a whole, by the library's encoder.
+    Texts are cut between pre-tokens (cut_texts), and each distinct cut is encoded once while it is held: a run of
+    letters, a space in front or not, by the library's model alone, as it is one pre-token; other cuts by the library's encoder. Texts that hold an added token's string, which ends pre-tokens
+    anywhere, go to the library whole.
     """
 
     def __init__(self, path: str, held: int = 350_000):
@@ -166,7 +218,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.held = held
         self.new: dict[str, bytes] = {}
@@ -174,57 +226,68 @@ class CachedTokenizer:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = iter(range(256, 512))
         self.bytes = {b: chr(b) if b in kept else chr(next(moved)) for b in range(256)}  # the byte-level alphabet
-        self.marks = dict(zip(MARKS, self.library_ids(list(MARKS)), strict=True))
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def add(self, cuts: list[str]) -> None:
-        """Ids of cuts (a space in front of them, or as they are behind a NUL, or behind their line end) into the newer half."""
-        rest = []
+        """Ids of cuts into the newer half of the cache."""
+        rest = [w for w in cuts if not w.removeprefix(" ").isalpha()]
+        self.new.update(zip(rest, self.library_ids(rest), strict=True))
+        rest = set(rest)
+        space, tokenize, byte = self.bytes[32], self.model.tokenize, self.bytes.__getitem__
         for w in cuts:
-            if w.isalpha():
-                stem, tail = w, b""
-            elif w[:-1].isalpha() and w[-1] in self.marks:
-                stem, tail = w[:-1], self.marks[w[-1]]
-            else:
-                rest.append(w)
-                continue
-            text = " " + stem
-            mapped = text.replace(" ", self.bytes[32]) if text.isascii() else "".join(map(self.bytes.__getitem__, text.encode()))
-            self.new[w] = struct.pack(f"<{len(t)}H", *[x.id for x in t]) + tail if (t := self.model.tokenize(mapped)) else tail
-        if rest:
-            self.new.update(zip(rest, self.library_ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in rest]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [x for at in range(0, len(texts), 64) for x in self.encode_some(texts[at:at + 64])]
+            if w not in rest:
+                ids = [x.id for x in tokenize(w.replace(" ", space) if w.isascii() else "".join(map(byte, w.encode())))]
+                self.new[w] = struct.pack(f"<{len(ids)}H", *ids)
+
+    def encode(self, texts: list[str], chars: int = 4_000_000) -> list[bytes]:
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if some and size + len(t) > chars:
+                out += self.encode_some(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        return out + self.encode_some(some)
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for t in texts:
-            has = t.__contains__
-            if not t or t[0] in " \n" or t[-1] in " \n" or any(map(has, SPACE_RUNS)) or any(map(has, OTHER_SPACE)) or (not t.isascii() and any(map(has, OTHER_SPACE_WIDE))):
-                cut.append(None)
-                continue
-            parts = t.replace("\n", " \n").split(" ")
-            parts[0] = "\0" + parts[0]
-            wanted.update(parts)
-            cut.append(parts)
+        odd = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.added))]
+        if odd:
+            whole = self.library_ids([texts[i] for i in odd])
+            texts = list(texts)
+            for i in odd:
+                texts[i] = ""
+        cuts, counts = cut_texts(texts)
+        coded = cuts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.new) > self.held:  # what is used again moves over from the older half
             self.old, self.new = self.new, {}
         missing = []
-        for w in wanted.difference(self.new):
-            x = self.old.get(w)
-            if x is None:
-                missing.append(w)
-            else:
-                self.new[w] = x
+        for w in distinct:
+            if w not in self.new:
+                x = self.old.get(w)
+                if x is None:
+                    missing.append(w)
+                else:
+                    self.new[w] = x
         self.add(missing)
-        get = self.new.__getitem__
-        odd = iter(self.library_ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
+        found = [self.new[w] for w in distinct]
+        values = np.frombuffer(b"".join(found), dtype="<u2")
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        begin = np.cumsum(length) - length
+        at = coded.indices.to_numpy()
+        each = length[at]
+        ends = np.cumsum(each)
+        ids = memoryview(values[np.repeat(begin[at] - ends + each, each) + np.arange(int(each.sum()))].tobytes())
+        borders = (2 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]).tolist()
+        out = [bytes(ids[a:b]) for a, b in zip(borders, borders[1:], strict=False)]
+        for i, x in zip(odd, whole if odd else (), strict=True):
+            out[i] = x
+        return out
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
@@ -265,8 +328,8 @@ def token_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, end_id:
                 ["part", "block", "doc_ids", "lengths", "ids"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
                 type_ = b.schema.field(0).type
                 if b.num_rows:
                     part = b.column(2)[0].as_py()
