@@ -27,11 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; only where the session names none, one of our own."""
+    """The folder all executors and the driver share, as spark.checkpoint.dir names it; only a local session may do without that setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/graintable-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/graintable-work"
     return path.rstrip("/")
 
 
@@ -46,6 +47,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """As materialize(), in buckets by column, so that a grouping or join by it reads the rows where they are and shuffles the other side only."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = f"graintable_{path.rpartition('-')[2]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved from here on: the frame keeps the files and their buckets, the catalog needs no entry
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def id_crc(col: Column) -> Column:
     """crc32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import materialize, table
+from graintable.llm.common import materialize, materialize_bucketed, table
 
 SPACE = "▁"
 #: An edge of the lattice is one long: end (32 bits), length (7 bits), piece id (24 bits). A step is its lower 31 bits.
@@ -249,12 +249,12 @@ def frequent_units(docs: DataFrame, pieces: Pieces, text_col: str, limit: int, s
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"])
 
     counted = texts.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=3).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(limit).collect()]
-    words = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word string, i int")
-    words = words.select(unit_key(F.col("word")).alias("key"), F.lit(0).cast("long").alias("group"), "word", F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("i").alias("number"))).alias("places")).repartition("key", "group")
-    found = {r[0]: r[1] for r in word_ids(words, pieces).select(F.col("places")[0]["number"], "ids").collect()}
-    lengths = np.array([len(found[i]) for i in range(len(top))], dtype=np.int64)
-    return top, lengths, np.array([x for i in range(len(top)) for x in found[i]], dtype="<u4")
+    top = materialize(counted.orderBy(F.desc("n"), "word").limit(limit).coalesce(1).select(F.monotonically_increasing_id().alias("i"), "word"), "piece-frequent")
+    words = top.select(unit_key(F.col("word")).alias("key"), F.lit(0).cast("long").alias("group"), "word", F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("i").cast("int").alias("number"))).alias("places"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = word_ids(words.repartition(n, "key", "group"), pieces).select(F.col("places")[0]["number"].alias("i"), "ids").toArrow().sort_by("i")
+    ids = found.column("ids").combine_chunks()
+    return top.toArrow().sort_by("i").column("word").to_pylist(), np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.values.to_numpy().astype("<u4")
 
 
 def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str, text_col: str, block_chars: int) -> DataFrame:
@@ -327,12 +327,14 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     top, top_lengths, top_ids = frequent_units(docs, pieces, text_col, frequent, sample_rows)
-    numbered = materialize(number_units(docs, pieces, top, id_col, text_col, block_chars), "piece-numbers")
+    numbered = materialize_bucketed(number_units(docs, pieces, top, id_col, text_col, block_chars), "block", "piece-numbers")
     rare = numbered.agg(F.sum(F.size("units"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // 100_000)
     pairs = numbered.select("block", "first", F.posexplode("units").alias("p", "word")).select(
-        unit_key(F.col("word")).alias("key"), F.shiftright("block", 34).alias("group"), "word", F.struct("block", (F.col("first") + F.col("p")).alias("number")).alias("place"))
-    words = pairs.repartition(n, "key", "group").groupBy("key", "group").agg(F.first("word").alias("word"), F.collect_list("place").alias("places"))
+        unit_key(F.col("word")).alias("key"), F.shiftright("block", 34).alias("group"), F.when(F.length("word") > SHORT, F.col("word")).alias("long"),
+        "block", (F.col("first") + F.col("p")).alias("number"))
+    words = (pairs.repartition(n, "key", "group").groupBy("key", "group").agg(F.first("long").alias("long"), F.collect_list(F.struct("block", "number")).alias("places"))
+             .withColumn("word", F.coalesce("long", "key")))
     known = word_ids(words, pieces).select("ids", F.explode("places").alias("place")).select(F.col("place.block").alias("to"), F.col("place.number").alias("number"), "ids")
     shared = spark.sparkContext.broadcast((top_lengths, top_ids))
 
