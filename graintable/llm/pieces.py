@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ WINDOW, SHORT = 256, 64
 #: Ids from here on are code points of characters without a piece.
 OTHER = 1 << 22
 #: Characters of a batch that is cut at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 def default_model() -> str:
@@ -30,44 +31,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Pieces:
-    """The piece table of a model file: text, id and score of each normal piece, the byte pieces, and where texts may be cut.
+@dataclass
+class Cuts:
+    """Where texts may be cut: classes of characters, and the pairs of classes that stand next to each other in a piece."""
 
-    Between two characters that no piece holds next to each other every segmentation has a border; texts are cut there
-    into units, so units can be folded by themselves without any loss.
-    """
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
-        self.path = path
-        self.text = [sp.id_to_piece(i) for i in range(size)]
-        special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i) for i in range(size)]
-        self.ids = {p: i for i, p in enumerate(self.text) if not special[i]}
-        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.unknown = sp.unk_id()
-        self.bytes = {int(self.text[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
-        self.longest = max(map(len, self.ids), default=1)
-        if self.longest >= 1 << LEN_BITS or size >= OTHER:
-            raise ValueError("pieces are too long or too many")
-        #: Weight by id; a character without a piece weighs ten less than the least piece, as in the library.
-        self.weights = [self.score.get(p, 0.0) if self.ids.get(p) == i else 0.0 for i, p in enumerate(self.text)]
-        self.without = min(self.score.values(), default=0.0) - 10.0
-        pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        chars = sorted({c for ab in pairs for c in ab})
-        number = {c: i + 1 for i, c in enumerate(chars)}
-        self.classes = np.zeros(0x110000, dtype=np.int32)
-        for c, i in number.items():
-            self.classes[ord(c)] = i
-        self.classes[ord(" ")] = self.classes[ord(SPACE)]
-        self.n_classes = len(chars) + 1
-        self.joined = np.zeros(self.n_classes ** 2, dtype=bool)
-        for a, b in pairs:
-            self.joined[number[a] * self.n_classes + number[b]] = True
-        #: Bytes of each id as they decode, for all ids in one buffer.
-        self.back = pa.array([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)], pa.large_binary())
+    classes: np.ndarray
+    n_classes: int
+    joined: np.ndarray
 
     def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """The units of texts one after another (spaces still as they are), each text with the dummy space in front, and the number of units of each text."""
@@ -80,7 +50,7 @@ class Pieces:
         else:
             points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
             width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        c = self.classes[points]
+        c = self.classes[points].astype(np.int32)
         border = np.empty(len(points) + 1, dtype=bool)
         border[0] = border[-1] = True
         np.logical_not(self.joined[c[:-1] * self.n_classes + c[1:]], out=border[1:-1])
@@ -91,6 +61,13 @@ class Pieces:
         offsets = at if width is None else np.concatenate([[0], np.cumsum(width)])[at]
         return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)), counts
 
+
+class Decoder:
+    """Bytes of each id as they decode, for all ids in one buffer."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.back = pa.array(pieces, pa.large_binary())
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of ids, counts of them each, their leading dummy space removed; broken byte runs become U+FFFD."""
         found = self.back.take(pa.array(ids.astype(np.int64)))
@@ -101,6 +78,45 @@ class Pieces:
         return [(t[1:] if t.startswith(b" ") else t).decode("utf-8", "replace") for t in texts]
 
 
+class Pieces:
+    """The piece table of a model file: text, id and score of each normal piece, the byte pieces, and where texts may be cut.
+
+    Between two characters that no piece holds next to each other every segmentation has a border; texts are cut there
+    into units, so units can be folded by themselves without any loss.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = sp.get_piece_size()
+        self.path = path
+        self.text = [sp.id_to_piece(i) for i in range(size)]
+        special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i) for i in range(size)]
+        self.ids = {p: i for i, p in enumerate(self.text) if not special[i]}
+        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.unknown = sp.unk_id()
+        self.bytes = {int(self.text[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
+        self.longest = max(map(len, self.ids), default=1)
+        if self.longest >= 1 << LEN_BITS or size >= OTHER:
+            raise ValueError("pieces are too long or too many")
+        #: Weight by id; a character without a piece weighs ten less than the least piece, as in the library.
+        self.weights = [self.score.get(p, 0.0) if self.ids.get(p) == i else 0.0 for i, p in enumerate(self.text)]
+        self.without = min(self.score.values(), default=0.0) - 10.0
+        pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        chars = sorted({c for ab in pairs for c in ab})
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        classes = np.zeros(0x110000, dtype=np.uint16)
+        for c, i in number.items():
+            classes[ord(c)] = i
+        classes[ord(" ")] = classes[ord(SPACE)]
+        joined = np.zeros((len(chars) + 1) ** 2, dtype=bool)
+        for a, b in pairs:
+            joined[number[a] * (len(chars) + 1) + number[b]] = True
+        self.cuts = Cuts(classes, len(chars) + 1, joined)
+        self.back = Decoder([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)])
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -237,15 +253,15 @@ def frequent_units(docs: DataFrame, pieces: Pieces, text_col: str, limit: int, s
 
     They come from about sample_rows texts of max_chars characters at most, and go through the lattice like all others.
     """
-    path, spark = pieces.path, docs.sparkSession
+    spark = docs.sparkSession
+    cuts = spark.sparkContext.broadcast(pieces.cuts)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.length("_t") <= max_chars)
     rows = texts.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = loaded(path)
         for b in batches:
             for at in range(0, b.num_rows, 300):
-                found = p.cut(b.column(0).slice(at, 300).to_pylist())[0].value_counts()
+                found = cuts.value.cut(b.column(0).slice(at, 300).to_pylist())[0].value_counts()
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"])
 
     counted = texts.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=3).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -264,18 +280,17 @@ def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str,
     other units by first occurrence; a row holds a batch of its texts, and the units new in it, numbered from `first` on.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    path, shared = pieces.path, docs.sparkSession.sparkContext.broadcast(known)
+    shared, cuts = docs.sparkSession.sparkContext.broadcast(known), docs.sparkSession.sparkContext.broadcast(pieces.cuts)
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), F.spark_partition_id().alias("_part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = loaded(path)
         start = {w: i for i, w in enumerate(shared.value)}
         number: defaultdict[str, int] = defaultdict(None, start)
         number.default_factory = number.__len__
         block, have = 0, 0
 
         def some(names: list, texts: list[str], part: int, kind_: pa.DataType) -> pa.RecordBatch:
-            units, counts = p.cut(texts)
+            units, counts = cuts.value.cut(texts)
             coded = units.dictionary_encode()
             first = len(number)
             words = coded.dictionary.to_pylist()
@@ -304,6 +319,7 @@ def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str,
                     number.clear()
                     number.update(start)
                     block, have = block + 1, 0
+                    pa.default_memory_pool().release_unused()
             if names:
                 yield some(names, texts, part, kind_)
                 have += size
@@ -311,8 +327,8 @@ def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str,
     return source.mapInArrow(run, f"block long, names array<{kind}>, counts array<long>, crcs array<long>, numbers binary, first int, units array<string>")
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000,
-           frequent: int = 100_000, sample_rows: int = 5_000) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000,
+           frequent: int = 150_000, sample_rows: int = 5_000) -> DataFrame:
     """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
 
     A text's pieces are those with the greatest sum of scores (ties: see best_steps), a dummy space in front, bytes for
@@ -365,6 +381,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * borders), pa.py_buffer(ids)])
                 parts.append(pa.table([row.column(0)[i].values, pa.array(np.diff(borders)), binary.cast(pa.binary()), row.column(2)[i].values], [id_col, "n_pieces", "ids", "text_crc32"]))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts) if parts else pa.table({id_col: pa.array([], left.schema.field("names").type.value_type), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "text_crc32": pa.array([], pa.int64())})
 
     rows = numbered.select("block", "names", "counts", "crcs", "numbers")
@@ -376,19 +393,18 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
 
     A column text_ that encoded has already is replaced; other columns pass through, whatever their names. Repeated rows stay.
     """
-    path = model or default_model()
+    back = encoded.sparkSession.sparkContext.broadcast(loaded(model or default_model()).back)
     encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "text_"])
     names = encoded.columns
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = loaded(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for i in range(0, whole.num_rows, 200):
+                b = whole.slice(i, 200)
                 found = [x.as_buffer() for x in b.column(at)]
                 counts = np.array([0 if x is None else x.size // 4 for x in found], dtype=np.int64)
-                texts = p.decode(np.frombuffer(b"".join([x for x in found if x is not None]), dtype="<u4"), counts)
+                texts = back.value.decode(np.frombuffer(b"".join([x for x in found if x is not None]), dtype="<u4"), counts)
                 texts = [None if x is None else t for x, t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text_"])
 
