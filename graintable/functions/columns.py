@@ -6,6 +6,8 @@ null out unless a docstring says otherwise. Rules, words, ranges and weights are
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -56,9 +58,11 @@ def clean_null(c: Column, words: Sequence[str]) -> Column:
 
 
 def canonical_scalar(c: Column) -> Column:
-    """Numbers as text: whole ones without a fraction, others with 4 digits at most; other text trimmed."""
+    """Numbers as text: whole ones without a fraction, others with 4 digits at most; other text trimmed. Blanks, NaN, infinities and 'none' in any case are null."""
+    s = F.trim(c.cast("string"))
     x = to_number(c)
-    return (F.when(x.isNull(), F.trim(c.cast("string")))
+    return (F.when(s.isNull() | (s == "") | F.lower(s).rlike(r"^([+-]?(nan|inf|infinity)|none)$"), F.lit(None))
+            .when(x.isNull(), s)
             .when(x == F.floor(x), x.cast("long").cast("string"))
             .otherwise(F.round(x, 4).cast("string")))
 
@@ -81,16 +85,26 @@ def fold_text(c: Column, letters: Mapping[str, str]) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-#: Entities decoded by clean_html.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&#39;", "'"), ("&amp;", "&"))
+def decode_entities(c: Column) -> Column:
+    """HTML entities decoded once: all names of the HTML standard, decimal and hexadecimal numbers; unknown ones stay. No-break spaces become spaces."""
+    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
+    entity = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    outside = F.split(c, entity)
+    inside = F.regexp_extract_all(c, F.lit(entity), F.lit(1))
+
+    def one(x: Column) -> Column:
+        number = F.when(F.lower(x).startswith("#x"), F.conv(F.substring(x, 3, 6), 16, 10)).when(x.startswith("#"), F.substring(x, 2, 7)).try_cast("int")
+        code = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), number)
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(x.startswith("#"), wide).otherwise(F.try_element_at(named, x)), F.concat(F.lit("&"), x, F.lit(";")))
+
+    joined = F.array_join(F.zip_with(outside, F.transform(inside, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.translate(F.when(F.size(inside) > 0, joined).otherwise(c), "\xa0", " ")
 
 
 def clean_html(c: Column) -> Column:
-    """Tags removed, common entities decoded (&amp; last), white space squeezed."""
-    s = F.regexp_replace(c, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        s = F.replace(s, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """Tags removed, entities decoded, white space squeezed."""
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(c, "<[^>]+>", " ")), r"\s+", " "))
 
 
 def join_first(c: Column, n: int, sep: str) -> Column:
@@ -232,6 +246,22 @@ def sections_budget(c: Column, first: str, second: str, n: int, share: float = 0
             .otherwise(F.substring(c, 1, n)))
 
 
+def sections_with_ends(c: Column, first: str, second: str, n: int, end: str | None = None, both: float = 0.45, first_only: float = 0.6, second_only: float = 0.6, head: float = 0.75) -> Column:
+    """At most n characters: all of a short text; else two sections; else one section with the text's tail (first) or head (second); else head and tail.
+
+    end: a pattern at whose first match, behind the sections' start, the text ends before anything is taken.
+    """
+    text = c if end is None else F.when(F.length(F.get(F.split(c, end, 2), F.lit(0))) > 0, F.get(F.split(c, end, 2), F.lit(0))).otherwise(c)
+    low, size = F.lower(text), F.length(text)
+    a, b = F.instr(low, first), F.instr(low, second)
+    part = lambda at, k: text.substr(at, F.lit(k))
+    tail = lambda k: text.substr(size - k + 1, F.lit(k))
+    join = lambda x, y: F.concat(x, F.lit("\n"), y)
+    na, n1, n2, nh = int(n * both), int(n * first_only), int(n * second_only), int(n * head)
+    return (F.when(size <= n, text).when((a > 0) & (b > 0), join(part(a, na), part(b, n - na))).when(a > 0, join(part(a, n1), tail(n - n1)))
+            .when(b > 0, join(part(F.lit(1), n - n2), part(b, n2))).otherwise(join(part(F.lit(1), nh), tail(n - nh))))
+
+
 def reconstruct_text(c: Column) -> Column:
     """The text of an inverted index (map of word to positions)."""
     pairs = F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
@@ -243,11 +273,26 @@ def within_chars(c: Column, a: str, b: str, n: int) -> Column:
     return F.coalesce(c, F.lit("")).rlike(f"(?is)({a}).{{0,{n}}}({b})|({b}).{{0,{n}}}({a})")
 
 
-def presence(text: Column, tokens: Column, least: int = 3, stem: int = 5) -> Column:
-    """True when each ';' token (letters and digits only, at least `least` of them) or its first characters occur in text."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")
-    parts = F.filter(F.transform(F.split(F.coalesce(tokens, F.lit("")), ";"), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")), lambda x: F.length(x) >= least)
-    return F.forall(parts, lambda x: F.contains(bare, x) | F.contains(bare, F.substring(x, 1, stem)))
+def bare_text(c: Column) -> Column:
+    """Letters and digits of a text in lower case; null counts as empty."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+
+
+def presence(bare: Column, tokens: Column, least: int = 3, stem: int = 5, aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """True when each ';' token (letters and digits only, at least `least` of them), its first characters or one of its aliases occur in a text as bare_text() gives it."""
+    parts = F.filter(F.transform(F.split(F.coalesce(tokens, F.lit("")), ";"), bare_text), lambda x: F.length(x) >= least)
+    others = None
+    if aliases:
+        clean = {re.sub("[^a-z0-9]", "", k.lower()): [re.sub("[^a-z0-9]", "", a.lower()) for a in v] for k, v in aliases.items()}
+        others = F.create_map(*[x for k, v in clean.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def found(x: Column) -> Column:
+        hit = F.contains(bare, x) | F.contains(bare, F.substring(x, 1, stem))
+        if others is not None:
+            hit = hit | F.exists(F.coalesce(F.try_element_at(others, x), F.array(F.lit(None).cast("string"))), lambda a: F.coalesce(F.contains(bare, a), F.lit(False)))
+        return hit
+
+    return F.forall(parts, found)
 
 
 # -- derived measures
@@ -258,6 +303,26 @@ def coalesce_with_source(sources: Sequence[tuple[Column, str]]) -> tuple[Column,
     return F.coalesce(*[c for c, _ in sources]), label
 
 
+def backfill_label(label: Column, rules: Sequence[tuple[Column, str]]) -> Column:
+    """The label, or the name of the first rule that holds."""
+    return F.coalesce(label, *[F.when(rule, F.lit(name)) for rule, name in rules])
+
+
+def row_label(parts: Sequence, sep: str = " · ") -> Column:
+    """The known parts, joined."""
+    return F.concat_ws(sep, *parts)
+
+
+def extract_cascade(steps: Sequence[Column]) -> Column:
+    """The first of several extractions that finds something."""
+    return F.coalesce(*steps)
+
+
+def overlay(first: Column, second: Column) -> Column:
+    """first where it is known, else second: a careful extraction laid over a lenient one."""
+    return F.coalesce(first, second)
+
+
 def null_if_inconsistent(a: Column, b: Column, ratio: float) -> Column:
     """a, unless it is over ratio times a known b."""
     return F.when(b.isNull() | (a <= b * ratio), a)

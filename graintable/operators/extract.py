@@ -51,6 +51,33 @@ def quantity_spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> D
     return df.select(id_col, F.posexplode(both).alias("nth", "x")).select(id_col, (F.col("nth") + 1).alias("nth"), F.col("x.m").alias("matched"), F.col("x.v").try_cast("double").alias("value"))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """Array of (start, stop, matched) of a pattern's matches, positions from 0.
+
+    Matches are marked in place by two control characters (those of the text count as spaces) and cut there, so positions are those of the matches themselves.
+    """
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), pattern, "\x01$0\x02")
+    parts = F.split(marked, "[\x01\x02]")
+    ends = F.aggregate(parts, F.expr("cast(array() as array<int>)"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
+    cells = F.zip_with(parts, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("stop"), x.alias("matched")))
+    return F.filter(cells, lambda x, i: i % 2 == 1)
+
+
+def typed_spans(df: DataFrame, id_col: str, text_col: str, kinds: Mapping[str, str]) -> DataFrame:
+    """id_col, type, value, unit, start, stop, raw of every quantity; kinds: type to a pattern whose groups 1 and 2 are number and unit.
+
+    Where matches of several types overlap, the type named first keeps the place. Nulls have no spans; positions count from 0.
+    """
+    def of(rank: int, kind: str, pattern: str) -> Column:
+        return F.transform(spans(F.col(text_col), pattern), lambda x: F.struct(
+            F.lit(rank).alias("rank"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(kind).alias("type"), x["matched"].alias("raw"),
+            F.regexp_extract(x["matched"], pattern, 1).try_cast("double").alias("value"), F.regexp_extract(x["matched"], pattern, 2).alias("unit")))
+
+    found = F.flatten(F.array(*[of(i, k, p) for i, (k, p) in enumerate(kinds.items())]))
+    free = F.filter(F.col("_s"), lambda x: ~F.exists(F.col("_s"), lambda y: (y["rank"] < x["rank"]) & (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
+    return df.select(id_col, found.alias("_s")).select(id_col, F.explode(free).alias("x")).select(id_col, "x.type", "x.value", "x.unit", "x.start", "x.stop", "x.raw")
+
+
 def ratio_spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
     """id_col, left_name, right_name, left_part, right_part of every match of a pattern with these four groups."""
     groups = [F.regexp_extract_all(text_col, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, 5)]
@@ -78,6 +105,23 @@ def term_spans(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> D
     return word_spans(df, id_col, text_col).join(terms.select(F.lower("term").alias("word"), "name"), "word").select(id_col, "nth", "word", "name")
 
 
+def phrase_spans(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, most_words: int = 4) -> DataFrame:
+    """id_col, nth, n_words, name: terms(term, name) of up to most_words words, the longest at a place first, none over another.
+
+    Runs of words are equi-joined to the terms, so the dictionary may be of any size; of a text's hits, longer ones and then earlier ones stand.
+    A term with several names gives its least. Ids are those of single texts.
+    """
+    known = terms.select(F.array_join(F.regexp_extract_all(F.lower("term"), F.lit("[a-z]+"), F.lit(0)), " ").alias("phrase"), "name").where("phrase <> ''").groupBy("phrase").agg(F.min("name").alias("name"))
+    words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))
+    runs = (df.select(id_col, words.alias("w")).select(id_col, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("nth")).where(F.size("w") > 0)
+            .select(id_col, "nth", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("nth") + 1))).alias("n_words"))
+            .select(id_col, "nth", "n_words", F.array_join(F.slice("w", F.col("nth"), F.col("n_words")), " ").alias("phrase")))
+    hits = runs.join(known, "phrase").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("o"), "nth", "n_words", "name"))).alias("hits"))
+    kept = F.aggregate("hits", F.expr("cast(array() as array<struct<o:int,nth:int,n_words:int,name:string>>)"), lambda acc, x: F.when(
+        F.exists(acc, lambda y: (y["nth"] < x["nth"] + x["n_words"]) & (x["nth"] < y["nth"] + y["n_words"])), acc).otherwise(F.array_append(acc, x)))
+    return hits.select(id_col, F.explode(kept).alias("x")).select(id_col, "x.nth", "x.n_words", "x.name")
+
+
 def abbreviation_defs(df: DataFrame, id_col: str, text_col: str, pattern: str = r"([A-Za-z]+) \(([A-Z]{2,6})\)") -> DataFrame:
     """id_col, abbreviation, full: the first definition 'full name (ABC)' of each abbreviation in a document."""
     zipped = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("a"))
@@ -85,6 +129,24 @@ def abbreviation_defs(df: DataFrame, id_col: str, text_col: str, pattern: str =
     return rows.groupBy(id_col, F.col("x.a").alias("abbreviation")).agg(F.min_by("x.n", "pos").alias("full"))
 
 
+def abbreviation_uses(df: DataFrame, id_col: str, text_col: str, pattern: str = r"((?:[A-Za-z]+ ){0,3}[A-Za-z]+) \(([A-Z]{2,6})\)", terms: DataFrame | None = None) -> DataFrame:
+    """id_col, abbreviation, full, name, uses: each text's defined abbreviations with how often they stand as words of the text.
+
+    The full name is the longest tail of up to four words before the brackets that is a term of terms(term, name); without terms, the pattern's whole group. Ids are those of single texts.
+    """
+    zipped = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("a"))
+    rows = df.select(id_col, F.posexplode(zipped).alias("pos", "x")).select(id_col, "pos", F.col("x.a").alias("abbreviation"), F.lower("x.n").alias("full"))
+    if terms is not None:
+        words = F.split("full", " ")
+        tails = rows.select(id_col, "pos", "abbreviation", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, -k, k), " "))).alias("full"))
+        rows = tails.join(terms.select(F.lower("term").alias("full"), "name").groupBy("full").agg(F.min("name").alias("name")), "full")
+    else:
+        rows = rows.withColumn("name", F.col("full"))
+    first = rows.groupBy(id_col, "abbreviation").agg(F.min_by(F.struct("full", "name"), F.struct("pos", -F.length("full"))).alias("x")).select(id_col, "abbreviation", "x.full", "x.name")
+    words = df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(r"\b[A-Z]{2,6}\b"), F.lit(0))).alias("abbreviation")).groupBy(id_col, "abbreviation").agg(F.count("*").alias("uses"))
+    return first.join(words, [id_col, "abbreviation"], "left").select(id_col, "abbreviation", "full", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
 def explode_blocks(df: DataFrame, id_col: str, text_col: str, least: int, must: str, split: str = r"\n") -> DataFrame:
     """id_col, block_id, block: parts of at least `least` characters in which `must` is found, numbered; the whole text if there is none."""
     good = F.filter(F.split(text_col, split), lambda x: (F.length(x) >= least) & x.rlike(must))
@@ -99,22 +161,70 @@ def summarize(df: DataFrame, by: str, value: str, order: str, sep: str = "; ") -
     return firsts.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("_v")))), lambda x: x["_v"].cast("string")), sep).alias("summary"))
 
 
-def audit_presence(values: DataFrame, texts: DataFrame, key: str, fields: Sequence[str], text_col: str, check) -> DataFrame:
-    """key, field, value of each filled field whose value isn't in the key's text, by check(text, value)."""
-    long = values.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(key, "x.field", "x.value")
-    return long.where("value is not null").join(texts.select(key, text_col), key).where(~check(F.col(text_col), F.col("value"))).select(key, "field", "value")
+def audit_presence(values: DataFrame, texts: DataFrame, key: str, fields: Sequence[str], text_col: str, check, prepare=None) -> DataFrame:
+    """key, field, value of each filled field whose value isn't in the key's text, by check(text, value).
+
+    All fields of a key are checked in one row, against prepare(text) if given, which is worked out once a row.
+    """
+    shown = texts.select(key, (prepare(F.col(text_col)) if prepare else F.col(text_col)).alias("_text"))
+    cells = values.select(key, F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]).alias("_cells")).join(shown, key)
+    bad = F.filter("_cells", lambda x: x["value"].isNotNull() & ~check(F.col("_text"), x["value"]))
+    return cells.select(key, F.explode(bad).alias("x")).select(key, "x.field", "x.value")
 
 
 def nearest_link(left: DataFrame, right: DataFrame, on: str, left_pos: str, right_pos: str, right_id: str, most: int) -> DataFrame:
     """Each left row with its closest right row of the same key within `most` positions; ties to the smaller right position, then id.
 
-    An equi-join on the key and the position's bucket of width `most` (three of them), so no cartesian product arises.
+    An equi-join on the key and the position's bucket of width `most` (three of them), so no cartesian product arises. Equal left rows are
+    linked once and come back as often as they were.
     """
-    a = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col(left_pos) / most) + i for i in (-1, 0, 1)])))
+    once = left.groupBy(*left.columns).agg(F.count("*").alias("_times"))
+    a = once.withColumn("_b", F.explode(F.array(*[F.floor(F.col(left_pos) / most) + i for i in (-1, 0, 1)])))
     b = right.withColumn("_b", F.floor(F.col(right_pos) / most)).select(on, "_b", right_pos, right_id)
     joined = a.join(b, [on, "_b"]).withColumn("distance", F.abs(F.col(left_pos) - F.col(right_pos))).where(F.col("distance") <= most)
-    best = F.min(F.struct("distance", right_pos, right_id)).alias("_x")
-    return joined.groupBy(*left.columns).agg(best).select(*left.columns, F.col(f"_x.{right_id}").alias(right_id), "_x.distance")
+    best = joined.groupBy(*left.columns, "_times").agg(F.min(F.struct("distance", right_pos, right_id)).alias("_x"))
+    return best.withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*left.columns, F.col(f"_x.{right_id}").alias(right_id), "_x.distance")
+
+
+# Fixed values of the link score: the greatest distance, what distance takes at most, what direction, punctuation, joining words,
+# "of", brackets, a solution and a fitting class add or take, and the least score of a link.
+LINK_DISTANCE = 160
+LINK_FAR = 0.45
+LINK_VALUE_FIRST, LINK_NAME_FIRST = 0.18, 0.10
+LINK_STOP, LINK_JOIN, LINK_OF, LINK_BRACKETS = -0.35, -0.12, 0.08, 0.12
+LINK_CLASS, LINK_SOLUTION = 0.06, 0.08
+LINK_LEAST = 0.45
+
+
+def scored_links(quantities: DataFrame, names: DataFrame, texts: DataFrame, id_col: str, text_col: str, dissolved: Sequence[str] = ("concentration",), classes: Sequence[str] = ()) -> DataFrame:
+    """quantities' columns, name, category, direction, distance, score: each quantity span with the name span of its text that scores best, if that is enough.
+
+    quantities(id_col, type, start, stop, ...) and names(id_col, name, category, start, stop) are spans with positions from 0; texts(id_col, text_col) has one text an id.
+    A score falls with the distance, with stops and joining words between, and rises with "of", brackets and, for `dissolved` types,
+    with a category among classes and the word solution. Ties go to the name that starts closest behind the value, then to the first. Spans meet in an
+    equi-join on the id and the place's bucket, so no pair further apart than the greatest distance and a span's length arises.
+    """
+    once = quantities.distinct()
+    size = F.greatest(F.max(F.col("stop") - F.col("start")), F.lit(1))
+    longest = max(once.agg(size).first()[0] or 1, names.agg(size).first()[0] or 1)
+    width = LINK_DISTANCE + int(longest)
+    q = once.select(id_col, F.struct(*once.columns).alias("q"), F.explode(F.array(*[F.floor(F.col("start") / width) + i for i in (-1, 0, 1)])).alias("_b"))
+    c = names.distinct().select(id_col, F.struct("name", "category", "start", "stop").alias("c"), F.floor(F.col("start") / width).alias("_b"))
+    before, behind = F.col("c.start") - F.col("q.stop"), F.col("q.start") - F.col("c.stop")
+    pairs = q.join(c, [id_col, "_b"]).withColumn("distance", F.greatest(before, behind, F.lit(0))).where(F.col("distance") <= LINK_DISTANCE)
+    pairs = pairs.withColumn("direction", F.when(before >= 0, "value first").when(behind >= 0, "name first").otherwise("overlap"))
+    pairs = pairs.join(texts.select(id_col, F.col(text_col).alias("_t")), id_col)
+    cut = lambda a, b: F.substring("_t", a + 1, F.greatest(b - a, F.lit(0)))
+    pairs = pairs.withColumns({"_between": F.lower(cut(F.least("q.stop", "c.stop"), F.greatest("q.start", "c.start"))), "_whole": cut(F.least("q.start", "c.start"), F.greatest("q.stop", "c.stop"))}).drop("_t")
+    add = lambda rule, x: F.when(rule, x).otherwise(0.0)
+    fits = F.col("q.type").isin(list(dissolved))
+    score = (1.0 - F.col("distance") / LINK_DISTANCE * LINK_FAR + add(F.col("direction") == "value first", LINK_VALUE_FIRST) + add(F.col("direction") == "name first", LINK_NAME_FIRST)
+             + add(F.col("_between").rlike("[.;]"), LINK_STOP) + add(F.col("_between").rlike(r"\b(and|or|then|after|before|while|which|that|with)\b"), LINK_JOIN) + add(F.col("_between").rlike(r"\bof\b"), LINK_OF)
+             + add(F.contains("_whole", F.lit("(")) & F.contains("_whole", F.lit(")")), LINK_BRACKETS) + add(fits & F.col("c.category").isin(list(classes)), LINK_CLASS) + add(fits & F.col("_whole").rlike(r"(?i)\bsolution\b"), LINK_SOLUTION))
+    pairs = pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= LINK_LEAST)
+    order = F.struct((-F.col("score")).alias("s"), F.abs(F.col("c.start") - F.col("q.stop")).alias("d"), F.col("c.start"), F.col("c.name"), F.col("c.category"))
+    best = pairs.groupBy(id_col, "q").agg(F.min_by(F.struct("c.name", "c.category", "direction", "distance", "score"), order).alias("x"))
+    return best.select("q.*", "x.*")
 
 
 def direct_links(df: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, tuple[str, float]]) -> DataFrame:
@@ -131,5 +241,7 @@ def direct_links(df: DataFrame, id_col: str, text_col: str, patterns: Mapping[st
 
 
 def merge_links(direct: DataFrame, proximity: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both kinds of links, the best score of each key."""
-    return direct.unionByName(proximity).groupBy(*keys).agg(F.max("score").alias("score"))
+    """Both kinds of links: of each key the row with the best score, with all its columns (missing ones are null); ties go to the greater of the other values."""
+    both = direct.unionByName(proximity, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, "score")]
+    return both.groupBy(*keys).agg(F.max(F.struct("score", *rest)).alias("_x")).select(*keys, "_x.*")

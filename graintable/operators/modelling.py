@@ -16,7 +16,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graintable.operators.aggregates import regression_metrics
+from graintable.operators.aggregates import long_form, regression_metrics, same_keys
+from graintable.operators.quantiles import quantiles
+from graintable.operators.relational import assign_ids
+from graintable.sources.files import materialize
 
 
 def assign_group_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
@@ -54,7 +57,7 @@ def predict(model: PipelineModel, df: DataFrame, numeric: Sequence[str], categor
 
 def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: str, k: int) -> DataFrame:
     """fold and regression metrics of out-of-fold predictions with folds by key; k is small and fixed, one model each."""
-    folded = assign_group_folds(df.where(F.col(target) > 0), key, k)
+    folded = materialize(assign_group_folds(df.where(F.col(target) > 0), key, k), "folds")  # read by every pass of every fold
     out = None
     for i in range(k):
         model = fit_regressor(folded.where(F.col("fold") != i), target, numeric, categorical)
@@ -81,36 +84,58 @@ def target_encode(df: DataFrame, fold: str, key: str, y: str, weight: float) ->
     return df.join(table, [fold, key])
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], columns: Sequence[str], repeats: int) -> DataFrame:
-    """column, importance: mean loss of log r2 when a column's values change places among rows, by a join of two random orders' ranks inside hash blocks."""
-    base = regression_metrics(predict(model, df, numeric, categorical), target, "p").first()["log_r2"]
-    rows = []
-    spark = df.sparkSession
+def permutation_importance(model: PipelineModel, held_out: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], columns: Sequence[str], repeats: int) -> DataFrame:
+    """column, importance: mean loss of log r2 on held-out rows when a column's values change places among them.
+
+    Rows are numbered once in a hashed order, by ranges; a value moves to the row that a repeat's offset tells, in an equi-join on the number.
+    """
+    spark, names = held_out.sparkSession, held_out.columns
+    hashed = held_out.withColumn("_h", F.xxhash64(*names, F.lit(5)))
+    rows = materialize(assign_ids(hashed, spark.createDataFrame([], "id long"), "id", "_h", "_i").drop("_h"), "permuted")
+    n = rows.count()
+    score = lambda df: regression_metrics(predict(model, df, numeric, categorical), target, "p", median=False).first()["log_r2"]
+    base, out = score(rows.drop("_i")), []
     for c in columns:
         loss = 0.0
         for r in range(repeats):
-            numbered = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns, F.lit(r)), F.lit(16)))
-            from pyspark.sql.window import Window
+            offset = 1 + (n * (2 * r + 1)) // (2 * repeats)
+            moved = rows.select((F.pmod(F.col("_i") - 1 + offset, F.lit(n)) + 1).alias("_i"), F.col(c).alias("_new"))
+            loss += base - score(rows.join(moved, "_i").withColumn(c, F.col("_new")).select(*names))
+        out.append((c, loss / repeats))
+    return spark.createDataFrame(out, "column string, importance double")
 
-            left = numbered.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*df.columns, F.lit(100 + r)))))
-            right = numbered.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*df.columns, F.lit(200 + r))))).select("_b", "_r", F.col(c).alias("_new"))
-            mixed = left.join(right, ["_b", "_r"]).withColumn(c, F.col("_new")).select(*df.columns)
-            loss += base - regression_metrics(predict(model, mixed, numeric, categorical), target, "p").first()["log_r2"]
-        rows.append((c, loss / repeats))
-    return spark.createDataFrame(rows, "column string, importance double")
 
+def generate_candidates(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, low: float = 0.05, high: float = 0.95, weighted: bool = False) -> DataFrame:
+    """candidate (from 0) and n rows: numbers uniform between two quantiles, categories over all known values, uniformly or by how often they occur (weighted).
 
-def generate_candidates(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, low: float = 0.05, high: float = 0.95, values: int = 1000) -> DataFrame:
-    """n rows: numbers uniform between two quantiles, categories uniform over the `values` most frequent known ones."""
+    Values are numbered in their order (by summed counts if weighted) and drawn by a join on the number, so there may be any number of them.
+    """
     spark = df.sparkSession
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in numeric]).first()
+    q = {r["column"]: r["q"] for r in quantiles(long_form(df, numeric), "x", [low, high], ["column"]).collect()}  # a row a column
     out = spark.range(n).withColumnRenamed("id", "candidate")
     for i, c in enumerate(numeric):
-        a, b = q[c]
-        out = out.withColumn(c, F.lit(a) + F.rand(seed + i) * (b - a))
+        a, b = q.get(c) or (None, None)
+        out = out.withColumn(c, F.lit(a).cast("double") + F.rand(seed + i) * (F.lit(b) - F.lit(a)) if a is not None else F.lit(None).cast("double"))
     for i, c in enumerate(categorical):
-        known = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(values).collect()]
-        out = out.withColumn(c, F.get(F.array(*map(F.lit, known)), F.floor(F.rand(seed + 100 + i) * len(known)).cast("int")))
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        rows = counts.select(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") if weighted else F.lit(1).cast("long"))).alias("_u"))
+        numbered = materialize(assign_ids(rows, spark.createDataFrame([], "id long"), "id", c, "_k").select(c, "_k"), "values")
+        size = numbered.count()
+        out = out.withColumn("_k", F.floor(F.rand(seed + 100 + i) * max(size, 1)).cast("long") + 1)
+        out = materialize(out, "draws").join(numbered, "_k", "left").drop("_k")
+    return out
+
+
+def candidate_pools(df: DataFrame, by: str, methods: DataFrame, n: int, k: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, score: Column, limit: int = 50) -> DataFrame:
+    """For each of at most `limit` methods(by): n weighted candidates from its own rows, the k with the best score (ties by number)."""
+    names = [r[0] for r in methods.select(by).distinct().orderBy(by).limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} methods")
+    out = None
+    for i, m in enumerate(names):
+        pool = generate_candidates(df.where(F.col(by) == m), n, numeric, categorical, seed + 1000 * i, weighted=True).withColumn(by, F.lit(m))
+        best = pool.withColumn("score", score).orderBy(F.desc("score"), "candidate").limit(k)
+        out = best if out is None else out.unionByName(best)
     return out
 
 
@@ -120,25 +145,35 @@ def closeness(p: Column, target: float, width: float = 0.3) -> Column:
     return F.exp(-(d * d) / (2 * width * width))
 
 
-def inverse_design(candidates: DataFrame, prediction: str, target: float, k: int, tie: str, probability: str | None = None) -> DataFrame:
-    """The k candidates most likely to reach the target: closeness, times the class probability if there is one."""
-    score = closeness(F.col(prediction), target)
+def inverse_design(candidates: DataFrame, prediction: str | None, target: float | None, k: int, tie: str, probability: str | None = None) -> DataFrame:
+    """The k candidates most likely to reach the target: closeness, times the class probability if there is one; without a target by the probability alone."""
+    if target is None and probability is None:
+        raise ValueError("a target or a probability is needed")
+    score = F.lit(1.0) if target is None else closeness(F.col(prediction), target)
     if probability:
         score = score * F.col(probability)
     return candidates.withColumn("score", score).orderBy(F.desc("score"), tie).limit(k)
 
 
-def interval_score(df: DataFrame, low: str, mid: str, high: str, target: float) -> DataFrame:
-    """df with interval_score: sorted quantiles; 2 if the target is inside, plus P(within 25 %) under a normal of width/3.92, less a quarter of the width (log scale)."""
-    @F.pandas_udf("double")
-    def phi(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))))
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution's share below z, by a rational approximation of erf with an error under 1.5e-7."""
+    # The coefficients of formula 7.1.26 of Abramowitz and Stegun.
+    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / math.sqrt(2)
+    t = 1.0 / (1.0 + p * x)
+    series = F.lit(0.0)
+    for c in reversed(a):
+        series = (series + c) * t
+    return F.when(z >= 0, 0.5 + 0.5 * (1 - series * F.exp(-x * x))).otherwise(0.5 - 0.5 * (1 - series * F.exp(-x * x)))
+
 
+def interval_score(df: DataFrame, low: str, mid: str, high: str, target: float) -> DataFrame:
+    """df with interval_score: sorted quantiles; 2 if the target is inside, plus P(within a factor of 1.25) under a normal of width/3.92, less a quarter of the width (log scale)."""
     q = F.array_sort(F.array(F.log(low), F.log(mid), F.log(high)))
     width = q[2] - q[0]
     sigma = F.greatest(width / 3.92, F.lit(0.01))
-    t = math.log(target)
-    chance = phi((F.lit(math.log(1.25) + t) - q[1]) / sigma) - phi((F.lit(math.log(0.75) + t) - q[1]) / sigma)
+    t, near = math.log(target), math.log(1.25)
+    chance = normal_cdf((F.lit(t + near) - q[1]) / sigma) - normal_cdf((F.lit(t - near) - q[1]) / sigma)
     inside = F.when(F.lit(t).between(q[0], q[2]), 2.0).otherwise(0.0)
     return df.withColumn("interval_score", inside + chance - 0.25 * width)
 
@@ -198,22 +233,31 @@ def tune(df: DataFrame, target: str, numeric: Sequence[str], key: str, grid: Map
 
 def conformal_interval(df: DataFrame, y: str, p: str, group: str, alpha: float) -> DataFrame:
     """group, n, half: the 1 - alpha quantile of absolute residuals of held-out predictions."""
-    return df.groupBy(group).agg(F.count("*").alias("n"), F.percentile(F.abs(F.col(y) - F.col(p)), 1 - alpha).alias("half"))
+    errors = df.select(group, F.abs(F.col(y) - F.col(p)).alias("_e"))
+    return same_keys(df.groupBy(group).agg(F.count("*").alias("n")), quantiles(errors, "_e", [1 - alpha], [group]), [group]).select(group, "n", F.col("q")[0].alias("half"))
 
 
-def ablation(df: DataFrame, target: str, group: str, numeric: Sequence[str], key: str) -> DataFrame:
-    """model, mae of the ladder global mean, group mean, ridge, boosted trees on one holdout by key."""
-    split = group_holdout(df.where(F.col(target) > 0), key, 20)
+def ablation(df: DataFrame, target: str, group: str, numeric: Sequence[str], key: str, subset: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
+    """model, mae, log_r2 of a ladder on one holdout by key: global mean, group mean, ridge, boosted trees on `subset` of the numbers, on all of them, and with categories (full)."""
+    split = materialize(group_holdout(df.where(F.col(target) > 0), key, 20), "holdout")
     train, test = split.where("not held_out"), split.where("held_out")
     means = train.groupBy(group).agg(F.avg(target).alias("_g"))
     overall = train.agg(F.avg(target).alias("_a"))
-    based = test.crossJoin(F.broadcast(overall)).join(means, group, "left").withColumn("_g", F.coalesce("_g", "_a"))
-    rows = based.agg(F.avg(F.abs(F.col(target) - F.col("_a"))), F.avg(F.abs(F.col(target) - F.col("_g")))).first()
-    out = [("global mean", rows[0]), ("group mean", rows[1])]
+    based = test.crossJoin(F.broadcast(overall)).join(means, group, "left").withColumn("_g", F.coalesce("_g", "_a"))  # overall is one row
+    score = lambda d, p: regression_metrics(d, target, p, median=False).select("mae", "log_r2").first()
+    out = [("global mean", score(based, "_a")), ("group mean", score(based, "_g"))]
     ridge = Pipeline(stages=[*feature_stages(numeric, ()), LinearRegression(regParam=0.1, predictionCol="log_p")]).fit(with_missing(train, numeric, ()).withColumn("label", F.log(target)))
-    out.append(("ridge", regression_metrics(predict(ridge, test, numeric), target, "p").first()["mae"]))
-    out.append(("boosted trees", regression_metrics(predict(fit_regressor(train, target, numeric), test, numeric), target, "p").first()["mae"]))
-    return df.sparkSession.createDataFrame([(a, float(b)) for a, b in out], "model string, mae double")
+    out.append(("ridge", score(predict(ridge, test, numeric), "p")))
+    for name, columns, labels in (("boosted trees, subset", list(subset), ()), ("boosted trees", list(numeric), ()), ("boosted trees, full", list(numeric), list(categorical))):
+        if columns and (labels or not name.endswith("full")):
+            out.append((name, score(predict(fit_regressor(train, target, columns, labels), test, columns, labels), "p")))
+    return df.sparkSession.createDataFrame([(a, float(b["mae"]), b["log_r2"]) for a, b in out], "model string, mae double, log_r2 double")
+
+
+def models_on_one_split(test: DataFrame, target: str, models: Mapping[str, Column]) -> DataFrame:
+    """model and regression metrics of several predictions of the same held-out rows, in one pass."""
+    rows = test.select(F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.cast("double").alias("p")) for m, p in models.items()])).alias("x"))
+    return regression_metrics(rows.select("y", "x.*"), "y", "p", ["model"])
 
 
 def compare_same_split(metrics: DataFrame, recorded: DataFrame, gap: float = 0.05) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graintable.operators.quantiles import quantiles
+from graintable.sources.files import materialize
+
 
 def min_present(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return df.na.drop(thresh=k, subset=list(columns))
@@ -52,8 +55,9 @@ def suspicious_values(df: DataFrame, column: str, patterns: Sequence[tuple[str,
 def numeric_report(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """One row: filled, below, above, least, median, 99th percentile and greatest of a numeric column."""
     c = F.col(column).cast("double")
-    return df.agg(F.count(c).alias("filled"), F.count_if(c < low).alias("below"), F.count_if(c > high).alias("above"), F.min(c).alias("least"),
-                  F.round(F.percentile(c, 0.5), 6).alias("median"), F.round(F.percentile(c, 0.99), 6).alias("q99"), F.max(c).alias("greatest"))
+    one = df.agg(F.count(c).alias("filled"), F.count_if(c < low).alias("below"), F.count_if(c > high).alias("above"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    q = quantiles(df.select(c.alias("_x")), "_x", [0.5, 0.99])
+    return one.crossJoin(F.broadcast(q)).select("filled", "below", "above", "least", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("q99"), "greatest")  # one row each
 
 
 def select_incomplete(df: DataFrame, fields: Sequence[str], texts: DataFrame, key: str) -> DataFrame:
@@ -78,9 +82,17 @@ def fill_from_first(parent: DataFrame, child: DataFrame, on: str, column: str, o
     return parent.join(first, on, "left").withColumn(column, F.coalesce(column, "_c")).drop("_c")
 
 
-def apply_patch(df: DataFrame, patch: DataFrame, on: str, columns: Sequence[str], mode: str = "overwrite") -> DataFrame:
-    """Patch values that aren't null replace ('overwrite') or fill nulls ('fill'); null patches never erase. changed_ tells rows that differ."""
-    p = patch.select(on, *[F.col(c).alias(f"_n_{c}") for c in columns])
+def one_per_key(df: DataFrame, on: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """on and columns, one row a key: of several rows each column's last known value by order; without an order the greatest."""
+    return df.groupBy(on).agg(*[(F.max(c) if order is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))).alias(c) for c in columns])
+
+
+def apply_patch(df: DataFrame, patch: DataFrame, on: str, columns: Sequence[str], mode: str = "overwrite", order: str | None = None) -> DataFrame:
+    """Patch values that aren't null replace ('overwrite') or fill nulls ('fill'); null patches never erase. changed_ tells rows that differ.
+
+    A key that occurs several times in the patch counts once (see one_per_key), so rows of df never multiply.
+    """
+    p = one_per_key(patch, on, columns, order).select(on, *[F.col(c).alias(f"_n_{c}") for c in columns])
     new = {c: F.coalesce(f"_n_{c}", c) if mode == "overwrite" else F.coalesce(c, f"_n_{c}") for c in columns}
     changed = F.lit(False)
     for c in columns:
@@ -88,14 +100,51 @@ def apply_patch(df: DataFrame, patch: DataFrame, on: str, columns: Sequence[str]
     return df.join(p, on, "left").select(*[new[c].alias(c) if c in columns else F.col(c) for c in df.columns], changed.alias("changed_"))
 
 
+def filled_counts(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, filled: how many more values after has than before."""
+    one = before.agg(*[F.count(c).alias(f"_a_{c}") for c in columns]).crossJoin(F.broadcast(after.agg(*[F.count(c).alias(f"_b_{c}") for c in columns])))  # one row each
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"_b_{c}") - F.col(f"_a_{c}")).alias("filled")) for c in columns])))
+
+
+def rescue(df: DataFrame, key: str, column: str, when: Column, cache: DataFrame) -> DataFrame:
+    """Values of the rows that meet `when` are replaced by those that cache(key, value) knows."""
+    c = one_per_key(cache, key, ["value"]).withColumnRenamed("value", "_c")
+    return df.join(c, key, "left").withColumn(column, F.when(when & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col(column))).select(*df.columns)
+
+
+def to_pairs(turns: DataFrame, conversation: str, turn: str, role: str, text: str, asks: str, prefix: str = "") -> DataFrame:
+    """conversation, turn, instruction, output: each turn of the asking role with the turn behind it."""
+    after = turns.select(conversation, (F.col(turn) - 1).alias(turn), F.col(text).alias("output"))
+    return turns.where(F.col(role) == asks).join(after, [conversation, turn]).select(conversation, turn, F.concat(F.lit(prefix), F.col(text)).alias("instruction"), "output")
+
+
+def filter_samples(df: DataFrame, filled: Sequence[str] = (), positive: Sequence[str] = (), equal: dict | None = None) -> DataFrame:
+    """Rows with all of `filled` known, all of `positive` above 0, and the given values."""
+    keep = F.lit(True)
+    for c in filled:
+        keep = keep & F.col(c).isNotNull()
+    for c in positive:
+        keep = keep & (F.col(c) > 0)
+    for c, v in (equal or {}).items():
+        keep = keep & (F.col(c) == v)
+    return df.where(keep)
+
+
 def flag_in(df: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
     return df.join(keys.select(on).distinct().withColumn("_f", F.lit(True)), on, "left").withColumn(name, F.col("_f").isNotNull()).drop("_f")
 
 
-def recover(df: DataFrame, key: str, column: str, cache: DataFrame, texts: DataFrame, tags: DataFrame, by_section: Column, by_text: Column) -> DataFrame:
-    """Value 'other' is replaced by the cache's, else the section rule's, else the whole text's, else a single tag, else 'unidentified'."""
-    joined = df.join(cache.select(key, F.col("value").alias("_cache")), key, "left").join(texts, key, "left").join(tags.select(key, F.col("tag").alias("_tag")), key, "left")
-    found = F.coalesce("_cache", by_section, by_text, "_tag", F.lit("unidentified"))
+def recover(df: DataFrame, key: str, column: str, cache: DataFrame, texts: DataFrame, tags: DataFrame, by_section: Column, by_text: Column, common: Sequence[str] = ()) -> DataFrame:
+    """Value 'other' is replaced by the cache's, else the section rule's, else the whole text's, else a single tag, else 'unidentified'.
+
+    A whole text names `common` values for many reasons: such a hit counts only where no tag is known. Keys that occur
+    several times in cache, texts or tags count once, by the greatest value.
+    """
+    caches = one_per_key(cache, key, ["value"]).withColumnRenamed("value", "_cache")
+    tagged = one_per_key(tags, key, ["tag"]).withColumnRenamed("tag", "_tag")
+    joined = df.join(caches, key, "left").join(one_per_key(texts, key, [c for c in texts.columns if c != key]), key, "left").join(tagged, key, "left")
+    distinctive = F.when(by_text.isin(list(common)), F.lit(None)).otherwise(by_text) if common else by_text
+    found = F.coalesce("_cache", by_section, distinctive, "_tag", by_text, F.lit("unidentified"))
     return joined.withColumn(column, F.when(F.col(column) == "other", found).otherwise(F.col(column))).select(*df.columns)
 
 
@@ -130,8 +179,8 @@ def oof_group_mean(df: DataFrame, fold: str, key: str, y: str) -> DataFrame:
 
 
 def encode(df: DataFrame, column: str, vocabulary: DataFrame, out: str, size: int) -> DataFrame:
-    """df with the number of each value in vocabulary(value, code); unknown values get `size`."""
-    v = vocabulary.select(F.col("value").alias(column), F.col("code").alias("_code"))
+    """df with the number of each value in vocabulary(value, code); unknown values get `size`; of a value's codes the least counts."""
+    v = vocabulary.groupBy(F.col("value").alias(column)).agg(F.min("code").alias("_code"))
     return df.join(v, column, "left").withColumn(out, F.coalesce("_code", F.lit(size))).drop("_code")
 
 
@@ -142,11 +191,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def dedup_two_keys(df: DataFrame, first: str, second: str, order: Sequence[Column]) -> DataFrame:
-    """First row of each first key, then of each non-empty second key; rows without the second key stay."""
+def dedup_two_keys(df: DataFrame, first: str, second: str, order: Sequence[Column], junk: Column | None = None) -> DataFrame:
+    """First row of each first key, then of each non-empty second key; rows without the second key stay. Rows that are junk go first, so they never claim a key.
+
+    The second key may be a long text: rows are compared by its 128-bit digest.
+    """
+    if junk is not None:
+        df = df.where(~F.coalesce(junk, F.lit(False)))
     once = first_per_key(df, [first], order)
     empty = F.coalesce(F.col(second), F.lit("")) == ""
-    return first_per_key(once.where(~empty), [second], order).unionByName(once.where(empty))
+    return first_per_key(once.where(~empty).withColumn("_k2", F.md5(F.col(second).cast("string"))), ["_k2"], order).drop("_k2").unionByName(once.where(empty))
+
+
+def dedup_by_title(df: DataFrame, title: str, order: Sequence[Column]) -> DataFrame:
+    """First row of each title, compared by its letters and digits in lower case."""
+    return first_per_key(df.withColumn("_h", F.md5(F.regexp_replace(F.lower(title), "[^a-z0-9]", ""))), ["_h"], order).drop("_h")
 
 
 def diverse_top_k(df: DataFrame, score: Column, groups: Sequence[str], per: int, k: int, tie: str) -> DataFrame:
@@ -164,7 +223,7 @@ def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order: str, out
     """new with ids after existing's largest, in `order`: numbered within ranges, the ranges' sizes summed, so no task holds all rows."""
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"))
     n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = new.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
+    parted = materialize(new.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "numbered")  # read twice: with the same borders
     inner = parted.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -172,10 +231,10 @@ def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order: str, out
             .withColumn(out, F.col("_top") + F.col("_base") + F.col("_r")).select(*new.columns, out))
 
 
-def upsert(df: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of new replace rows of df with the same keys."""
+def upsert(df: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Rows of new replace rows of df with the same keys; of several new rows of a key the first by order counts."""
     both = df.withColumn("_g", F.lit(0)).unionByName(new.withColumn("_g", F.lit(1)))
-    return first_per_key(both, keys, [F.col("_g").desc()]).drop("_g")
+    return first_per_key(both, keys, [F.col("_g").desc(), *order]).drop("_g")
 
 
 # -- sorts and sets

@@ -37,7 +37,7 @@ def tx3_extract_cascade(spark, d):
     frac = C.extract_number(text, [r"A1B([0-9.]+)C"], 0, 1)
     percent = C.extract_number(text, [r"([0-9.]+) ?%"], 1, 100) / 100
     x = C.extract_number(text, [r"x ?= ?([0-9.]+)"], 0, 1)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce(frac, percent, x), 6).alias("fraction"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.extract_cascade([frac, percent, x]), 6).alias("fraction"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string([x FOR x IN {_S} IF NOT regexp_matches(x, '[0-9]')], ' ')) AS kept FROM documents")
@@ -64,7 +64,7 @@ def tx6_extract_staged(spark, d):
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, o_orderpriority) AS merged FROM orders")
 def tx7_overlay(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), F.col("o_orderpriority")).alias("merged"))
+    return table(spark, d, "orders").select("o_orderkey", C.overlay(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), F.col("o_orderpriority")).alias("merged"))
 
 
 @query("""SELECT page_id, CASE WHEN instr(lower(html), '<body') > 0 THEN substring(html, instr(lower(html), '<body'), 120) WHEN instr(lower(html), '<p>') > 0 THEN substring(html, instr(lower(html), '<p>'), 120) ELSE substring(html, 1, 120) END AS snippet FROM pages""")
@@ -78,6 +78,13 @@ def tx9_sections_budget(spark, d):
     return docs(spark, d).select("doc_id", C.sections_budget(F.col("text"), "license", "example", 200).alias("snippet"))
 
 
+@query("""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN a > 0 AND b > 0 THEN substring(text, a, 90) || chr(10) || substring(text, b, 110) WHEN a > 0 THEN substring(text, a, 120) || chr(10) || substring(text, length(text) - 79, 80) WHEN b > 0 THEN substring(text, 1, 80) || chr(10) || substring(text, b, 120)
+ELSE substring(text, 1, 150) || chr(10) || substring(text, length(text) - 49, 50) END AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'license') AS a, instr(lower(text), 'example') AS b FROM documents)""")
+def tx9_sections_with_ends(spark, d):
+    """One section is joined by the text's other end, none by both."""
+    return docs(spark, d).select("doc_id", C.sections_with_ends(F.col("text"), "license", "example", 200).alias("snippet"))
+
+
 def rebuilt(texts):
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
     rows = texts.select("doc_id", F.posexplode_outer(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
@@ -102,6 +109,15 @@ def tx11_quantity_spans(spark, d):
     return X.quantity_spans(docs(spark, d), "doc_id", "text", "([0-9]{3})-[0-9]{4}")
 
 
+@query("""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]{3}-[0-9]{4}', 0) AS m, string_split_regex(text, '[0-9]{3}-[0-9]{4}') AS s FROM documents), e AS (SELECT doc_id, m, s, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS i FROM m)
+SELECT doc_id, 'phone' AS type, CAST(substring(m[i], 1, 3) AS DOUBLE) AS value, substring(m[i], 5, 4) AS unit, CAST(list_sum([length(x) FOR x IN s[1:i]]) + 8 * (i - 1) AS INTEGER) AS start, m[i] AS raw FROM e""")
+def tx11_typed_spans(spark, d):
+    """Every match with its type, parts and place; the second type overlaps the first and gives way."""
+    kinds = {"phone": "([0-9]{3})-([0-9]{4})", "tail": "-([0-9]{4})()"}
+    found = X.typed_spans(docs(spark, d), "doc_id", "text", kinds)
+    return found.where("type = 'phone' or substring(raw, 1, 1) <> '-'").select("doc_id", "type", "value", "unit", "start", "raw")
+
+
 @query("SELECT p_partkey, 'Ce' AS left_name, 'Zr' AS right_name, CAST(p_size AS DOUBLE) AS left_part, CAST(p_size + 1 AS DOUBLE) AS right_part FROM part")
 def tx12_ratio_spans(spark, d):
     text = F.concat(F.lit("with Ce:Zr = "), F.col("p_size"), F.lit(":"), F.col("p_size") + 1, F.lit(" by weight"))
@@ -124,6 +140,26 @@ def tx14_term_spans(spark, d):
     return X.term_spans(docs(spark, d), "doc_id", "text", terms)
 
 
+_PHRASES = [("public license", "legal"), ("license", "permit"), ("all rights reserved", "claim"), ("rights", "claim"), ("token", "secret")]
+
+
+@query(f"""WITH w AS ({_WORDS}), t AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY nth) AS w2, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY nth) AS w3, lag(word) OVER (PARTITION BY doc_id ORDER BY nth) AS w0 FROM w)
+SELECT doc_id, nth, 3 AS n_words, 'claim' AS name FROM t WHERE word = 'all' AND w2 = 'rights' AND w3 = 'reserved' UNION ALL SELECT doc_id, nth, 2, 'legal' FROM t WHERE word = 'public' AND w2 = 'license'
+UNION ALL SELECT doc_id, nth, 1, 'permit' FROM t WHERE word = 'license' AND w0 IS DISTINCT FROM 'public' UNION ALL SELECT doc_id, nth, 1, 'claim' FROM t WHERE word = 'rights' AND NOT (w0 IS NOT DISTINCT FROM 'all' AND w2 IS NOT DISTINCT FROM 'reserved') UNION ALL SELECT doc_id, nth, 1, 'secret' FROM t WHERE word = 'token'""")
+def tx14_phrase_spans(spark, d):
+    """Terms of several words; the longest at a place stands."""
+    return X.phrase_spans(docs(spark, d), "doc_id", "text", spark.createDataFrame(_PHRASES, "term string, name string"))
+
+
+@query("SELECT p_partkey, upper(substring(p_name, 1, 3)) AS abbreviation, 'fine ' || lower(regexp_extract(p_name, '^[a-zA-Z]+')) AS full, 'known' AS name, 2 AS uses FROM part WHERE length(regexp_extract(p_name, '^[a-zA-Z]+')) >= 3")
+def tx15_abbreviation_uses(spark, d):
+    """Defined once behind a two-word name of the dictionary, used once more; the dictionary holds the parts' own names."""
+    parts = table(spark, d, "part").withColumns({"n": F.regexp_extract("p_name", "^[a-zA-Z]+", 0), "a": F.upper(F.substring("p_name", 1, 3))}).where("length(n) >= 3")
+    text = F.concat(F.lit("We mixed fine "), "n", F.lit(" ("), "a", F.lit(") well. The "), "a", F.lit(" dried."))
+    terms = parts.select(F.concat(F.lit("fine "), "n").alias("term"), F.lit("known").alias("name")).distinct()
+    return X.abbreviation_uses(parts.select("p_partkey", text.alias("t")), "p_partkey", "t", terms=terms).withColumn("uses", F.col("uses").cast("int"))
+
+
 @query("SELECT p_partkey, upper(substring(p_name, 1, 3)) AS abbreviation, regexp_extract(p_name, '^[a-zA-Z]+') AS full FROM part")
 def tx15_abbreviation_defs(spark, d):
     name, short = F.regexp_extract("p_name", "^[a-zA-Z]+", 0), F.upper(F.substring("p_name", 1, 3))
@@ -138,7 +174,7 @@ _BARE = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 UNION ALL SELECT doc_id, 'topic', 'license; public' FROM documents WHERE doc_id % 3 = 0 AND NOT ((contains({_BARE.format('text')}, 'licen')) AND (contains({_BARE.format('text')}, 'publi')))""")
 def tx16_audit_presence(spark, d):
     rows = docs(spark, d).withColumn("topic", F.when(F.col("doc_id") % 3 == 0, "license; public"))
-    return X.audit_presence(rows.select("doc_id", "source", "topic"), docs(spark, d), "doc_id", ["source", "topic"], "text", C.presence)
+    return X.audit_presence(rows.select("doc_id", "source", "topic"), docs(spark, d), "doc_id", ["source", "topic"], "text", C.presence, C.bare_text)
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?is)(license).{0,60}(version)|(version).{0,60}(license)') AS near FROM documents")
@@ -177,6 +213,21 @@ def jn11_nearest_link(spark, d):
     return X.nearest_link(q, t, "doc_id", "qpos", "tpos", "word", 20)
 
 
+@query("""SELECT p_partkey, 'mass' AS type, CAST(p_size AS DOUBLE) AS value, n AS name, 'value first' AS direction, 4 AS distance, round(1.0 - 4 / 160.0 * 0.45 + 0.18 + 0.08, 4) AS score FROM (SELECT p_partkey, p_size, lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS n FROM part)
+UNION ALL SELECT p_partkey, 'concentration', CAST(p_size AS DOUBLE), n, 'value first', 2, round(1.0 - 2 / 160.0 * 0.45 + 0.18 + 0.06, 4) FROM (SELECT p_partkey, p_size, lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS n FROM part)""")
+def jn11_scored_links(spark, d):
+    """Two quantities and two places of a name in a text for each part; direction, distance and the words between decide."""
+    n = F.lower(F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    q = F.col("p_size").cast("string")
+    text = F.concat(F.lit("We took "), q, F.lit(" g of "), n, F.lit(" and then water. Later "), q, F.lit(" M ("), n, F.lit(" solution) was added; after that nothing."))
+    parts = table(spark, d, "part").select("p_partkey", text.alias("t"), n.alias("n"))
+    spans = X.typed_spans(parts, "p_partkey", "t", {"mass": r"([0-9]+) (g)\b", "concentration": r"([0-9]+) (M)\b"})
+    word = F.explode(F.transform(X.spans(F.col("t"), r"\b[a-z]+\b"), lambda x: x))
+    names = parts.select("p_partkey", "n", word.alias("x")).where("x.matched = n").select("p_partkey", F.col("n").alias("name"), F.lit("additive").alias("category"), "x.start", "x.stop")
+    found = X.scored_links(spans, names, parts, "p_partkey", "t", classes=["additive"])
+    return found.select("p_partkey", "type", "value", "name", "direction", "distance", "score")
+
+
 @query("""WITH a AS (SELECT l_orderkey, l_returnflag, 0.9 AS score FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_returnflag, 0.5 FROM lineitem) SELECT l_orderkey, l_returnflag, CAST(max(score) AS DOUBLE) AS score FROM a GROUP BY 1, 2""")
 def jn12_merge_links(spark, d):
     lines = table(spark, d, "lineitem")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graintable.operators.relational import assign_ids
 from graintable.plans.base import query, table
 from graintable.sources import files as S
 from graintable.streaming import incremental as I
@@ -33,11 +34,13 @@ def src3_csv_typed(spark, d):
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM supplier")
 def src4_header_probe(spark, d):
+    """Several files, each with lines of its own above the header."""
     path = S.work_path(spark, "probe")
-    rows = table(spark, d, "supplier").select(F.concat_ws(",", "s_suppkey", "s_name").alias("value"), F.col("s_suppkey").alias("k"))
-    top = spark.createDataFrame([("Export of suppliers", -3), ("made by hand", -2), ("key,name", -1)], "value string, k long")
-    top.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
-    return S.read_with_header_probe(spark, path, "key")
+    rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 3).alias("f"), F.concat_ws(",", "s_suppkey", "s_name").alias("value"), F.col("s_suppkey").alias("k"))
+    top = [(0, "Export of suppliers", -3), (0, "made by hand", -2), (0, "key,name", -1), (1, '"key","name"', -1), (2, "", -2), (2, 'key, "name"', -1)]
+    both = spark.createDataFrame(top, "f long, value string, k long").unionByName(rows.select(F.col("f").cast("long").alias("f"), "value", F.col("k").cast("long").alias("k")))
+    both.repartition(3, "f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(path)
+    return S.read_with_header_probe(spark, f"{path}/*", "key")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 10")
@@ -84,9 +87,6 @@ def snk3_overwrite_atomic(spark, d):
     path = S.work_path(spark, "atomic")
     regions = table(spark, d, "region").select("r_regionkey", "r_name")
     S.overwrite_atomic(regions, path)
-    import time
-
-    time.sleep(1.1)  # file times have a resolution of one second in some stores
     S.overwrite_atomic(regions.withColumn("r_name", F.upper("r_name")), path)
     return S.current(spark, path)
 
@@ -111,6 +111,14 @@ def in1_incremental(spark, d):
     return I.run_available(I.incremental(stream, "ts", "event_id", "60 days"), path).select("event_id", "event_type")
 
 
+@query("SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 8 DAY")
+def in1_since_last_run(spark, d):
+    """The pull after a run a week before the newest event: from that run less a day's overlap on."""
+    events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    last = events.agg(F.date_format(F.max("ts") - F.expr("interval 7 days"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]
+    return I.incremental(events.where(F.col("ts") >= I.since(last, last, overlap_days=1)), "ts", "event_id").select("event_id", "event_type")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(trim(text)) ORDER BY doc_id) AS r FROM documents WHERE length(trim(text)) >= 300 AND doc_id NOT IN (SELECT page_id FROM pages WHERE page_id < 20)) WHERE r = 1")
 def in2_dedup_content(spark, d):
     reserved = table(spark, d, "pages").where("page_id < 20").select(F.col("page_id").alias("doc_id"))
@@ -132,22 +140,14 @@ def in4_reset_failed(spark, d):
 
 @query("SELECT o_orderkey AS key, CAST(row_number() OVER (ORDER BY o_orderkey % 4 = 0, o_orderkey) AS BIGINT) AS id FROM orders")
 def in5_merge_batch(spark, d):
-    """Orders arrive in two batches with an overlap; ids go on where the first batch ends."""
-    from graintable.operators.relational import assign_ids
-
+    """Orders arrive in two batches with an overlap; each goes on from the table that the one before left."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
     path = S.work_path(spark, "merge")
-    first = orders.where("key % 4 <> 0")
-    assign_ids(first, orders.limit(0), "key", "key", "id").write.parquet(f"{path}/base")
+    S.overwrite_atomic(assign_ids(orders.where("key % 4 <> 0"), orders.limit(0), "key", "key", "id"), path)
     later = orders.where("key % 4 = 0 or key % 8 = 1")
-    stream_path, stream = I.staged(spark, later, "merge-in")
-
-    def add(batch, n):
-        base = spark.read.parquet(f"{path}/base")
-        I.merge_batch(base, batch, "key", "id", "key").write.mode("overwrite").parquet(f"{path}/merged")
-
-    I.for_each(stream, stream_path, add)
-    return spark.read.parquet(f"{path}/merged")
+    middle = later.agg((F.max("key") / 2).cast("long").alias("m")).first()["m"] or 0
+    I.merge_arrivals(spark, [later.where(F.col("key") <= middle), later.where(F.col("key") > middle)], path, "key", "id", "key")
+    return S.current(spark, path)
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from graintable.functions import columns as C
 from graintable.operators import modelling as M
+from graintable.operators.aggregates import long_form
+from graintable.operators.quantiles import quantiles
 from graintable.plans.base import query, table
 
 NUMERIC, CATEGORICAL = ["p_size", "quantity", "discount"], ["p_type"]
@@ -51,9 +53,12 @@ def ml5_fit_classifier(spark, d):
 
 @query()
 def ml6_permutation_importance(spark, d):
-    data = samples(spark, d)
-    model = M.fit_regressor(data, "price", NUMERIC, CATEGORICAL, rounds=5)
-    return M.permutation_importance(model, data, "price", NUMERIC, CATEGORICAL, ["quantity", "p_size"], 2)
+    data = M.group_holdout(samples(spark, d), "p_partkey", 30)
+    model = M.fit_regressor(data.where("not held_out"), "price", NUMERIC, CATEGORICAL, rounds=5)
+    return M.permutation_importance(model, data.where("held_out").drop("held_out"), "price", NUMERIC, CATEGORICAL, ["quantity", "p_size"], 2)
+
+
+_SAMPLES = "(SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_type, p_brand, quantity, discount, price FROM part JOIN (SELECT l_partkey, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey)"
 
 
 @query()
@@ -61,22 +66,66 @@ def ml7_generate_candidates(spark, d):
     return M.generate_candidates(samples(spark, d), 5000, NUMERIC, CATEGORICAL, 7)
 
 
+@query(f"SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS in_range, CAST(5000 AS BIGINT) AS known, count(DISTINCT p_type) AS types FROM {_SAMPLES}")
+def ml7_candidates_hold_their_bounds(spark, d):
+    """Of 5,000 candidates: how many lie within the quantiles, have a known type, and how many types there are."""
+    data = samples(spark, d)
+    made = M.generate_candidates(data, 5000, NUMERIC, CATEGORICAL, 7)
+    bounds = {r["column"]: r["q"] for r in quantiles(long_form(data, NUMERIC), "x", [0.05, 0.95], ["column"]).collect()}
+    inside = F.lit(True)
+    for c in NUMERIC:
+        inside = inside & F.col(c).between(*bounds[c])
+    types = data.select("p_type").distinct().withColumn("known", F.lit(True))
+    return made.join(types, "p_type", "left").agg(F.count("*").alias("n"), F.count_if(inside).alias("in_range"), F.count_if("known").alias("known"), F.count_distinct("p_type").alias("types"))
+
+
+@query(f"SELECT p_type, 20::BIGINT AS n, 20::BIGINT AS own FROM (SELECT DISTINCT p_type FROM {_SAMPLES})")
+def ml7_candidate_pools(spark, d):
+    """The 20 best of 200 candidates a type, each from its type's own brands."""
+    data = samples(spark, d)
+    pools = M.candidate_pools(data, "p_type", data, 200, 20, NUMERIC, ["p_brand"], 3, M.closeness(F.col("quantity"), 20.0))
+    own = data.select("p_type", "p_brand").distinct().withColumn("own", F.lit(True))
+    return pools.join(own, ["p_type", "p_brand"], "left").groupBy("p_type").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
+
+
 @query("SELECT p_partkey, round(exp(-((ln(p_retailprice) - ln(1200.0)) * (ln(p_retailprice) - ln(1200.0))) / (2 * 0.3 * 0.3)) * (p_size / 50.0), 8) AS score FROM part ORDER BY exp(-((ln(p_retailprice) - ln(1200.0)) * (ln(p_retailprice) - ln(1200.0))) / (2 * 0.3 * 0.3)) * (p_size / 50.0) DESC, p_partkey LIMIT 25")
 def ml8_inverse_design(spark, d):
     given = table(spark, d, "part").withColumn("chance", F.col("p_size") / 50.0)
     return M.inverse_design(given, "p_retailprice", 1200.0, 25, "p_partkey", "chance").select("p_partkey", F.round("score", 8).alias("score"))
 
 
-@query()
+def _sql_cdf(z):
+    t = f"(1.0 / (1.0 + 0.3275911 * (abs({z}) / sqrt(2.0))))"
+    tail = f"(((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}) * exp(-(abs({z}) / sqrt(2.0)) * (abs({z}) / sqrt(2.0)))"
+    return f"(CASE WHEN {z} >= 0 THEN 0.5 + 0.5 * (1 - {tail}) ELSE 0.5 - 0.5 * (1 - {tail}) END)"
+
+
+@query("SELECT p_partkey, p_size / 50.0 AS score FROM part ORDER BY p_size DESC, p_partkey LIMIT 25")
+def ml8_by_label_alone(spark, d):
+    """Without a target the class probability decides."""
+    given = table(spark, d, "part").withColumn("chance", F.col("p_size") / 50.0)
+    return M.inverse_design(given, None, None, 25, "p_partkey", "chance").select("p_partkey", "score")
+
+
+@query(f"""WITH q AS (SELECT p_partkey, ln(p_retailprice * 0.8) AS a, ln(p_retailprice) AS b, ln(p_retailprice * 1.3) AS c FROM part), z AS (SELECT *, (ln(1200.0) + ln(1.25) - b) / greatest((c - a) / 3.92, 0.01) AS z1, (ln(1200.0) - ln(1.25) - b) / greatest((c - a) / 3.92, 0.01) AS z2 FROM q)
+SELECT p_partkey, round((CASE WHEN ln(1200.0) BETWEEN a AND c THEN 2.0 ELSE 0.0 END) + {_sql_cdf('z1')} - {_sql_cdf('z2')} - 0.25 * (c - a), 6) AS interval_score FROM z""")
 def ml9_interval_score(spark, d):
     given = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 0.8).alias("lo"), F.col("p_retailprice").alias("mid"), (F.col("p_retailprice") * 1.3).alias("hi"))
-    return M.interval_score(given, "lo", "mid", "hi", 1200.0).select("p_partkey", F.round("interval_score", 8).alias("interval_score"))
+    return M.interval_score(given, "lo", "mid", "hi", 1200.0).select("p_partkey", F.round("interval_score", 6).alias("interval_score"))
 
 
-@query()
+_SOLVED = """WITH s AS (SELECT l_returnflag AS g, count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS d, sum(l_quantity * l_quantity) + 1.0 AS xx, sum(l_discount * l_discount) + 1.0 AS dd, sum(l_quantity * l_discount) AS xd, sum(l_extendedprice) AS y, sum(l_quantity * l_extendedprice) AS xy, sum(l_discount * l_extendedprice) AS dy FROM lineitem GROUP BY 1 HAVING count(*) >= 80 AND count(DISTINCT l_orderkey) >= 3),
+t AS (SELECT *, n * (xx * dd - xd * xd) - x * (x * dd - xd * d) + d * (x * xd - xx * d) AS det FROM s)
+SELECT g AS l_returnflag, n, round((y * (xx * dd - xd * xd) - x * (xy * dd - xd * dy) + d * (xy * xd - xx * dy)) / det, 3) AS intercept, round((n * (xy * dd - xd * dy) - y * (x * dd - xd * d) + d * (x * dy - xy * d)) / det, 4) AS quantity, round((n * (xx * dy - xy * xd) - x * (x * dy - xy * d) + y * (x * xd - xx * d)) / det, 3) AS discount FROM t"""
+
+
+@query(_SOLVED)
 def ml10_fit_per_group(spark, d):
+    """Weights of a ridge fit a group; the SQL solves the same three equations by determinants."""
     lines = table(spark, d, "lineitem")
-    return M.fit_per_group(lines, "l_returnflag", "l_orderkey", ["l_quantity", "l_discount"], "l_extendedprice", 80, 3)
+    found = M.fit_per_group(lines, "l_returnflag", "l_orderkey", ["l_quantity", "l_discount"], "l_extendedprice", 80, 3)
+    w = F.col("weights")
+    return found.select("l_returnflag", "n", F.round(w[0], 3).alias("intercept"), F.round(w[1], 4).alias("quantity"), F.round(w[2], 3).alias("discount"))
 
 
 @query("SELECT o_orderkey, round(e, 8) AS entropy FROM (SELECT o_orderkey, -(p * ln(p + 1e-12)) - ((1 - p) * ln(1 - p + 1e-12)) AS e FROM (SELECT o_orderkey, o_totalprice / 600000.0 AS p FROM orders)) ORDER BY e DESC, o_orderkey LIMIT 40")
@@ -113,7 +162,18 @@ def ml15_conformal_interval(spark, d):
 
 @query()
 def ml16_ablation(spark, d):
-    return M.ablation(samples(spark, d), "price", "p_type", NUMERIC, "p_brand")
+    return M.ablation(samples(spark, d), "price", "p_type", NUMERIC, "p_brand", subset=["quantity"], categorical=CATEGORICAL)
+
+
+_HELD = _FOLD.format(k="p_brand", n=100)
+
+
+@query(f"""WITH s AS (SELECT *, {_HELD} < 20 AS held FROM {_SAMPLES} WHERE price > 0), m AS (SELECT p_type, avg(price) AS g FROM s WHERE NOT held GROUP BY 1), a AS (SELECT avg(price) AS a FROM s WHERE NOT held)
+SELECT 'global mean' AS model, round(avg(abs(price - a)), 3) AS mae FROM s, a WHERE held UNION ALL SELECT 'group mean', round(avg(abs(price - coalesce(g, a))), 3) FROM s LEFT JOIN m USING (p_type), a WHERE held""")
+def ml16_mean_rungs(spark, d):
+    """The ladder's two lowest rungs, which SQL can say."""
+    rungs = M.ablation(samples(spark, d), "price", "p_type", NUMERIC, "p_brand")
+    return rungs.where("model like '% mean'").select("model", F.round("mae", 3).alias("mae"))
 
 
 @query("SELECT l_returnflag AS model, round(corr(l_quantity, l_extendedprice), 6) AS log_r2, CASE WHEN l_returnflag <> 'N' THEN 0.9 END::DOUBLE AS recorded, CASE WHEN l_returnflag <> 'N' THEN abs(round(corr(l_quantity, l_extendedprice), 6) - 0.9) > 0.05 ELSE false END AS flag FROM lineitem GROUP BY 1")
@@ -124,6 +184,15 @@ def ml17_compare_same_split(spark, d):
     return M.compare_same_split(metrics, recorded)
 
 
+@query("""WITH t AS (SELECT l_extendedprice AS y, l_quantity * 1000 AS p1, l_quantity * 1500 AS p2 FROM lineitem WHERE """+_FOLD.format(k="l_orderkey", n=100)+""" < 20), m AS (SELECT unnest(['a', 'b']) AS model, unnest([p1, p2]) AS p, y FROM t)
+SELECT model, count(*) AS n, round(avg(abs(p - y)), 3) AS mae, round(1 - sum((ln(p) - ln(y)) * (ln(p) - ln(y))) / (var_pop(ln(y)) * count(y)), 5) AS log_r2 FROM m GROUP BY 1""")
+def ml17_models_on_one_split(spark, d):
+    """Two predictions of the same held-out lines."""
+    test = M.group_holdout(table(spark, d, "lineitem"), "l_orderkey", 20).where("held_out")
+    both = M.models_on_one_split(test, "l_extendedprice", {"a": F.col("l_quantity") * 1000, "b": F.col("l_quantity") * 1500})
+    return both.select("model", "n", F.round("mae", 3).alias("mae"), F.round("log_r2", 5).alias("log_r2"))
+
+
 @query("SELECT d.doc_id, lang, concat_ws('; ', CASE WHEN regexp_matches(lower(text), 'license|rights reserved') THEN 'legal' END, CASE WHEN regexp_matches(lower(text), 'password|token') THEN 'secret' END) AS tags, round((CASE WHEN text IS NOT NULL THEN 2.0 ELSE 0 END + CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0 END) / 3.0 * 100, 1) AS score, CASE WHEN regexp_matches(lower(text), 'license') THEN 'keyword' WHEN quality IS NULL AND lang <> 'en' THEN 'unlabelled' ELSE 'body' END AS tier FROM documents d LEFT JOIN labels l USING (doc_id)")
 def flagship(spark, d):
     """Documents joined to their labels: tagged, scored for completeness, and put in a tier."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graintable.functions import columns as C
+from graintable.operators import aggregates as A
 from graintable.operators import relational as R
 from graintable.plans.base import query, table
 
@@ -26,7 +27,8 @@ def dv1_coalesce_with_source(spark, d):
 
 @query(f"SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'set' END, CASE WHEN l_tax IS NOT NULL THEN 'line' WHEN o_totalprice > 100000 THEN 'price' END) AS label FROM {PO}")
 def dv2_backfill_label(spark, d):
-    return part_orders(spark, d).select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 2 == 0, "set"), F.when(F.col("l_tax").isNotNull(), "line").when(F.col("o_totalprice") > 100000, "price")).alias("label"))
+    rules = [(F.col("l_tax").isNotNull(), "line"), (F.col("o_totalprice") > 100000, "price")]
+    return part_orders(spark, d).select("o_orderkey", C.backfill_label(F.when(F.col("o_orderkey") % 2 == 0, "set"), rules).alias("label"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN p_retailprice IS NULL OR l_extendedprice / l_quantity <= p_retailprice * 1.5 THEN l_extendedprice / l_quantity END AS unit_price FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
@@ -72,14 +74,13 @@ def dv11_filled_map(spark, d):
 
 @query("SELECT a.conv_id, a.turn, 'Reply to: ' || a.text AS instruction, b.text AS output FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'")
 def dv12_to_pairs(spark, d):
-    turns = table(spark, d, "conversations")
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    return turns.where("role = 'user'").join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.concat(F.lit("Reply to: "), "text").alias("instruction"), "output")
+    return R.to_pairs(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", "user", "Reply to: ")
 
 
 @query(f"SELECT o_orderkey, coalesce(nullif(lower(trim(l_returnflag)), ''), 'unknown') AS flag, concat_ws(' · ', o_orderstatus, l_returnflag, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS label FROM {PO}")
 def dv13_dv14_categories_and_labels(spark, d):
-    return part_orders(spark, d).select("o_orderkey", C.norm_categorical(F.col("l_returnflag")).alias("flag"), F.concat_ws(" · ", "o_orderstatus", "l_returnflag", F.col("l_quantity").cast("long").cast("string")).alias("label"))
+    label = C.row_label(["o_orderstatus", "l_returnflag", F.col("l_quantity").cast("long").cast("string")])
+    return part_orders(spark, d).select("o_orderkey", C.norm_categorical(F.col("l_returnflag")).alias("flag"), label.alias("label"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber > 3 THEN (l_discount + l_tax) / 2 ELSE l_quantity END, 6) AS v FROM lineitem")
@@ -149,7 +150,7 @@ def fl10_numeric_report(spark, d):
 
 @query(f"SELECT o_orderkey FROM {PO} WHERE l_quantity IS NOT NULL AND l_discount > 0 AND o_orderpriority = '2-HIGH'")
 def fl11_filter_samples(spark, d):
-    return part_orders(spark, d).where(F.col("l_quantity").isNotNull() & (F.col("l_discount") > 0) & (F.col("o_orderpriority") == "2-HIGH")).select("o_orderkey")
+    return R.filter_samples(part_orders(spark, d), ["l_quantity"], ["l_discount"], {"o_orderpriority": "2-HIGH"}).select("o_orderkey")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE (quality IS NULL OR toxic IS NULL) AND d.doc_id IN (SELECT page_id FROM pages)")
@@ -167,6 +168,21 @@ def jn1_fill_from(spark, d):
     return R.fill_from(child, parent, "l_orderkey", ["status"], "o_orderdate")
 
 
+@query("SELECT 'status' AS \"column\", count(coalesce(CASE WHEN l_linenumber > 2 THEN l_returnflag END, o_orderstatus)) - count(CASE WHEN l_linenumber > 2 THEN l_returnflag END) AS filled FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def jn1_filled_counts(spark, d):
+    child = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).alias("status"))
+    parent = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("status"), "o_orderdate")
+    return R.filled_counts(child, R.fill_from(child, parent, "l_orderkey", ["status"], "o_orderdate"), ["status"])
+
+
+@query("SELECT o_orderkey, coalesce(x, o_orderstatus) AS o_orderstatus, x IS DISTINCT FROM NULL AND x <> o_orderstatus AS changed_ FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag || l_linenumber, (l_shipdate, l_linenumber, l_returnflag || l_linenumber)) AS x FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def jn3_patch_with_repeated_keys(spark, d):
+    """Each order has several patch rows: the one shipped last counts."""
+    patch = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linenumber").alias("o_orderstatus"), "l_shipdate", "l_linenumber")
+    patch = patch.withColumn("at", F.struct("l_shipdate", "l_linenumber", "o_orderstatus"))
+    return R.apply_patch(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), patch, "o_orderkey", ["o_orderstatus"], order="at")
+
+
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 0.5 END, f) AS discount FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_discount, (l_linenumber, l_discount)) AS f FROM lineitem WHERE l_discount > 0 GROUP BY 1) ON o_orderkey = l_orderkey")
 def jn2_fill_from_first(spark, d):
     parent = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.5)).alias("discount"))
@@ -202,9 +218,8 @@ def jn5_recover(spark, d):
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.quality IN (0, 1) AND lang = 'en' THEN 'q' || l.quality END, lang) AS value FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jn6_rescue(spark, d):
-    cache = table(spark, d, "labels").where("quality in (0, 1)").select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("_c"))
-    docs = table(spark, d, "documents").join(cache, "doc_id", "left")
-    return docs.select("doc_id", F.when((F.col("lang") == "en") & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("lang")).alias("value"))
+    cache = table(spark, d, "labels").where("quality in (0, 1)").select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("value"))
+    return R.rescue(table(spark, d, "documents").select("doc_id", F.col("lang").alias("value")), "doc_id", "value", F.col("value") == "en", cache)
 
 
 @query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents")
@@ -237,8 +252,8 @@ def jn13_score_targets(spark, d):
 
 @query("SELECT count(*) AS n, round(quantile_cont(l_extendedprice / l_quantity - p_retailprice, 0.5), 6) AS median_diff FROM lineitem JOIN part ON l_partkey = p_partkey")
 def jn14_paired_diff(spark, d):
-    both = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("x", F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice"))
-    return both.where("x is not null").agg(F.count("*").alias("n"), F.round(F.percentile("x", 0.5), 6).alias("median_diff"))
+    both = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return A.paired_diff(both, F.col("l_extendedprice") / F.col("l_quantity"), F.col("p_retailprice"))
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0) JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 <> 0) USING (o_custkey)")
@@ -313,8 +328,7 @@ def wn8_upsert(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def wn9_dedup_by_title(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")).alias("h"))
-    return R.first_per_key(docs, ["h"], [F.col("doc_id")]).select("doc_id")
+    return R.dedup_by_title(table(spark, d, "documents").select("doc_id", "text"), "text", [F.col("doc_id")]).select("doc_id")
 
 
 @query(f"SELECT o_orderkey FROM {PO} ORDER BY coalesce(l_discount, 0) DESC, o_orderkey LIMIT 100")

@@ -137,7 +137,13 @@ def ag18_regression_metrics(spark, d):
 
 @query(f"SELECT CASE WHEN y >= 50000 THEN 50000.0 WHEN y >= 10000 THEN 10000.0 WHEN y >= 0 THEN 0.0 END::DOUBLE AS low, count(*) AS n, round(avg(abs(p - y)), 3) AS mae, round(avg(abs(p - y) / y) * 100, 6) AS mape FROM {PRED} GROUP BY 1 HAVING count(*) >= 5")
 def ag19_binned_metrics(spark, d):
-    return A.binned_metrics(predictions(spark, d), "y", "p", [0, 10000, 50000]).withColumn("mae", F.round("mae", 3))
+    return A.binned_metrics(predictions(spark, d), "y", "p", [0, 10000, 50000]).select("low", "n", F.round("mae", 3).alias("mae"), "mape")
+
+
+@query(f"SELECT low, count(*) AS n, round(sqrt(avg((p - y) * (p - y))), 3) AS rmse, round(1 - sum((ln(p) - ln(y)) * (ln(p) - ln(y))) / (var_pop(ln(y)) * count(y)), 5) AS log_r2 FROM (SELECT *, CASE WHEN y >= 30000 THEN 30000.0 WHEN y >= 10000 THEN 10000.0 ELSE 0.0 END::DOUBLE AS low FROM {PRED} WHERE y < 60000) GROUP BY 1 HAVING count(*) >= 5")
+def ag19_binned_errors(spark, d):
+    """The last bin ends at 60000."""
+    return A.binned_metrics(predictions(spark, d), "y", "p", [0, 10000, 30000], last=60000).select("low", "n", F.round("rmse", 3).alias("rmse"), F.round("log_r2", 5).alias("log_r2"))
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS y, CASE WHEN o_totalprice > 200000 THEN '1-URGENT' WHEN o_totalprice > 100000 THEN '2-HIGH' ELSE '5-LOW' END AS p FROM orders), c AS (SELECT y AS c FROM o UNION SELECT p FROM o), k AS (SELECT c, (SELECT count(*) FROM o WHERE y = c) AS t, (SELECT count(*) FROM o WHERE p = c) AS g, (SELECT count(*) FROM o WHERE y = c AND p = c) AS h FROM c)
@@ -179,13 +185,19 @@ def ag24_source_bias(spark, d):
 
 @query("SELECT event_type, arg_max(round(value, 4), (ts, event_id)) AS latest FROM events WHERE value IS NOT NULL GROUP BY 1")
 def ag25_latest_metric(spark, d):
-    return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.max_by(F.round("value", 4), F.struct("ts", "event_id")).alias("latest"))
+    return A.latest_metric(table(spark, d, "events"), "event_type", F.round("value", 4), ["ts", "event_id"])
 
 
 @query("SELECT count(*) AS n, round(100.0 * count(*) FILTER (lang = 'en') / count(*), 2) AS english, round(100.0 * count(*) FILTER (contains(text, 'example.com')) / count(*), 2) AS with_mail, round(100.0 * count(*) FILTER (length(text) > 0) / count(*), 2) AS with_text FROM documents")
 def ag26_harvest_report(spark, d):
-    share = lambda c: F.round(F.count_if(c) * 100.0 / F.count("*"), 2)
-    return table(spark, d, "documents").agg(F.count("*").alias("n"), share(F.col("lang") == "en").alias("english"), share(F.contains("text", F.lit("example.com"))).alias("with_mail"), share(F.length("text") > 0).alias("with_text"))
+    checks = {"english": F.col("lang") == "en", "with_mail": F.contains("text", F.lit("example.com")), "with_text": F.length("text") > 0}
+    return A.share_report(table(spark, d, "documents"), checks)
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS n, (SELECT round(100.0 * count(*) FILTER (o_orderstatus = 'O') / count(*), 2) FROM orders) AS open, '{' || string_agg('\"' || y || '\":' || n, ',' ORDER BY y) || '}' AS last_years FROM (SELECT year(CAST(o_orderdate AS DATE)) AS y, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 3)")
+def ag26_report_with_years(spark, d):
+    report = A.share_report(table(spark, d, "orders"), {"open": F.col("o_orderstatus") == "O"}, F.year(F.col("o_orderdate").cast("date")), 3)
+    return report.withColumn("last_years", F.to_json("last_years"))
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity * (1 - l_discount)) / (SELECT sum(l_quantity * (1 - l_discount)) FROM lineitem), 8) AS share FROM lineitem GROUP BY 1")
@@ -200,7 +212,7 @@ def ag28_column_density(spark, d):
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run, count(*) FILTER (event_type = 'purchase') AS ok, count(*) AS total FROM events GROUP BY 1 ORDER BY run DESC LIMIT 20")
 def ag29_run_summary(spark, d):
-    return table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("string").alias("run")).agg(F.count_if(F.col("event_type") == "purchase").alias("ok"), F.count("*").alias("total")).orderBy(F.desc("run")).limit(20)
+    return A.run_summary(table(spark, d, "events"), F.col("ts").cast("date").cast("string"), F.col("event_type") == "purchase", 20)
 
 
 @query("SELECT count(*) FILTER (o_orderstatus IS DISTINCT FROM CASE WHEN o_orderkey % 4 <> 0 THEN upper(o_orderstatus) END) AS changed, count(*) FILTER (o_orderkey % 4 = 0) AS nulled FROM orders")
@@ -211,7 +223,19 @@ def ag30_diff_counts(spark, d):
 
 @query("WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session, event_type AS model, count(*) AS n FROM events GROUP BY 1, 2) SELECT session, model, n, n - lag(n) OVER (PARTITION BY model ORDER BY session) AS change FROM e")
 def ag31_metric_history(spark, d):
-    from pyspark.sql.window import Window
-
     e = table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("string").alias("session"), F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
-    return e.withColumn("change", F.col("n") - F.lag("n").over(Window.partitionBy("model").orderBy("session")))
+    return A.metric_history(e, "session", "model", "n")
+
+
+@query("WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session, event_type AS model, count(*) AS value FROM events GROUP BY 1, 2) SELECT session, model, value, value - lag(value) OVER (PARTITION BY model ORDER BY session) AS change FROM e")
+def ag31_nested_history(spark, d):
+    """Each session's metrics in one map, as a run's record holds them."""
+    e = table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("string").alias("session"), "event_type").agg(F.count("*").alias("n"))
+    records = e.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("metrics"))
+    return A.nested_history(records, "session", "metrics")
+
+
+@query(f"SELECT o_orderpriority, key, count(*) AS n, round(CAST(count(*) AS DOUBLE) / any_value(t), 4) AS rate FROM (SELECT o_orderpriority, unnest([x FOR x IN [CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN o_orderstatus = 'O' OR l_returnflag = 'R' THEN 'either' END] IF x IS NOT NULL]) AS key FROM {PO}) JOIN (SELECT o_orderpriority, count(*) AS t FROM {PO} GROUP BY 1) USING (o_orderpriority) GROUP BY 1, 2")
+def ag11_fill_rates_by_group(spark, d):
+    orders = part_orders(spark, d).select("o_orderpriority", F.when(F.col("o_orderstatus") == "O", "O").alias("open"), F.when(F.col("l_returnflag") == "R", "R").alias("returned"))
+    return A.fill_rates(orders.select("o_orderpriority", C.filled_map(["open", "returned"]).alias("m")), "m", ["o_orderpriority"], {"either": ["open", "returned"]})

@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new folder under the one that driver and executors share; where the session names none, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/graintable-shared"
+    """A new folder under the one that driver and executors share, as spark.checkpoint.dir names it; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/graintable-work"
     return f"{base.rstrip('/')}/graintable/{tag}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """df written to a new folder and read back, so that all later reads see the same rows and no executor's loss costs more than its tasks."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and unparsable ones are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -28,20 +39,35 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
+#: A cell of a CSV line: quoted with doubled quotes, or up to the next comma.
+CELL = r'(?:^|,)\s*(?:"((?:[^"]|"")*)"|([^,"]*))\s*(?=,|$)'
+
+
+def cells(line: Column) -> Column:
+    """The cells of a CSV line, trimmed and unquoted."""
+    quoted, bare = F.regexp_extract_all(line, F.lit(CELL), F.lit(1)), F.regexp_extract_all(line, F.lit(CELL), F.lit(2))
+    return F.zip_with(quoted, bare, lambda q, b: F.when(q != "", F.regexp_replace(q, '""', '"')).otherwise(F.trim(b)))
+
+
 def read_with_header_probe(spark: SparkSession, path: str, key: str, max_rows: int = 15) -> DataFrame:
-    """CSV whose header is the first of max_rows lines with a cell equal to key; lines up to it are skipped, all columns are text.
+    """CSV files whose header is the first of max_rows lines with a cell equal to key; lines up to it are skipped in each file, all columns are text.
 
-    The header's line is found within the file's first lines; rows are parsed in parallel, and lines equal to one of the skipped ones at the
-    file's start are told apart by their offset, so a data row may look like them.
+    Headers may stand in different lines but have the same names in the same order. Lines are numbered from each file's start, where its
+    first block is read; rows are parsed in parallel. A file without a header is an error.
     """
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())  # first partition starts at the file's start
-    head = [r[0] for r in lines.orderBy("_at").limit(max_rows).select("value").collect()]
-    at = next((i for i, line in enumerate(head) if key in [c.strip().strip('"') for c in line.split(",")]), None)
-    if at is None:
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    starts = lines.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
+    numbered = lines.join(starts, "_file").withColumn("_n", F.when(F.col("_block") == 0, F.col("_at") - F.col("_first")).otherwise(max_rows))
+    heads = (numbered.where(F.col("_n") < max_rows).where(F.array_contains(cells(F.col("value")), key))
+             .groupBy("_file").agg(F.min(F.struct("_n", "value")).alias("_head")).select("_file", F.col("_head._n").alias("_line"), F.col("_head.value").alias("_names")))
+    seen = starts.join(heads, "_file", "left").agg(F.count("*").alias("files"), F.count("_line").alias("with_header"), F.min(cells(F.col("_names"))).alias("names"), F.max(cells(F.col("_names"))).alias("others")).first()
+    if not seen["files"] or seen["files"] != seen["with_header"]:
         raise ValueError(f"no header with {key} in the first {max_rows} rows")
-    names = [c.strip().strip('"') for c in head[at].split(",")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return lines.where(F.col("_at") > at).where("value <> ''").select(F.from_csv("value", schema).alias("r")).select("r.*")
+    if seen["names"] != seen["others"]:
+        raise ValueError("the files' headers differ")
+    schema = ", ".join(f"`{n}` string" for n in seen["names"])
+    rows = numbered.join(heads.select("_file", "_line"), "_file").where((F.col("_n") > F.col("_line")) & (F.col("value") != ""))
+    return rows.select(F.from_csv("value", schema, {"escape": '"'}).alias("r")).select("r.*")
 
 
 def read_latest(spark: SparkSession, pattern: str, fmt: str = "parquet") -> DataFrame:
@@ -85,18 +111,26 @@ def write_flat_csv(df: DataFrame, path: str, sep: str = "|") -> None:
     df.select(*flat).write.option("header", True).option("escape", '"').csv(path)
 
 
+def versions(spark: SparkSession, table_path: str) -> DataFrame:
+    """n, version of every version that was switched to; none for a table without any."""
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/_pointer")
+    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
+        return spark.createDataFrame([], "n long, version string")
+    return spark.read.schema("n long, version string").json(f"{table_path}/_pointer")
+
+
 def overwrite_atomic(df: DataFrame, table_path: str) -> str:
-    """Write a new version beside the others, then switch the pointer; readers of current() see the old or the new whole. Returns the version."""
-    version = f"v-{uuid.uuid4().hex}"
+    """Write a new version beside the others, then switch the pointer to it by number; readers of current() see the old or the new whole. Returns the version."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{table_path}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{table_path}/_pointer")
+    n = versions(spark, table_path).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"] + 1
+    spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{table_path}/_pointer")
     return version
 
 
 def current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The version that was switched to last."""
-    pointer = spark.read.schema("version string").json(f"{table_path}/_pointer")
-    last = pointer.select("version", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f")).orderBy(F.desc("t"), F.desc("f")).first()
+    """The version with the greatest number; of two writers that took the same number, the one with the greater name."""
+    last = versions(spark, table_path).orderBy(F.desc("n"), F.desc("version")).first()
     return spark.read.parquet(f"{table_path}/{last['version']}")
 
 

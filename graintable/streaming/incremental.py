@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graintable.operators.relational import assign_ids, first_per_key
-from graintable.sources.files import work_path
+from graintable.sources.files import current, overwrite_atomic, work_path
 
 
 def since(last_run: str | None, now: str, overlap_days: int = 1, first_days: int = 14):
@@ -63,6 +63,22 @@ def merge_batch(base: DataFrame, batch: DataFrame, key: str, id_col: str, order:
     return base.unionByName(assign_ids(fresh, base, id_col, order, id_col), allowMissingColumns=True)
 
 
+def merge_arrivals(spark: SparkSession, arrivals: Sequence[DataFrame], table_path: str, key: str, id_col: str, order: str) -> None:
+    """Each arrival's files as micro-batches of one stream, merged into the table's current version, from which the next one goes on.
+
+    The stream runs after each arrival and goes on from its checkpoint; a micro-batch that is run again after a failure
+    finds its keys in the table and adds nothing.
+    """
+    path = work_path(spark, "merge-in")
+
+    def add(batch: DataFrame, n: int) -> None:
+        overwrite_atomic(merge_batch(current(spark, table_path), batch, key, id_col, order), table_path)
+
+    for df in arrivals:
+        df.write.mode("append").parquet(f"{path}/in")
+        for_each(spark.readStream.schema(df.schema).parquet(f"{path}/in"), path, add)
+
+
 def sessions(df: DataFrame, ts: str, gap: str, by: str, delay: str | None = None) -> DataFrame:
     """by, start, stop, n: runs of rows with no pause of `gap` or longer."""
     timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
