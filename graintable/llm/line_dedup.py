@@ -75,14 +75,16 @@ def templates(members: DataFrame, similarity: float, lead: int) -> DataFrame:
         return members.select("k1", "k2", F.col("k1").alias("t1"), F.col("k2").alias("t2")).limit(0)
     rest, found = members, None
     while True:
-        leaders = rest.groupBy("leaf").agg(F.max(F.struct("docs", "k1", "k2", "masked")).alias("lead"))
+        # written first, so that the join below deals its two sides by itself and a hot leaf's lines can be split
+        leaders = materialize(rest.groupBy("leaf").agg(F.max(F.struct("docs", "k1", "k2", "masked")).alias("lead")), "line-leaders")
         step = (rest.join(leaders, "leaf").where(agreement(F.col("masked"), F.col("lead.masked")) >= F.lit(similarity) * F.size(F.split("masked", " ")))
                 .select("k1", "k2", F.col("lead.k1").alias("t1"), F.col("lead.k2").alias("t2")))
         step = materialize(step, "line-step")
         found = step if found is None else found.unionByName(step)
         rest = rest.join(step, ["k1", "k2"], "left_anti")
-        rest = rest.join(rest.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"), "leaf", "left_semi").select(*members.columns)
-        rest = materialize(rest, "line-rest")
+        rest = materialize(rest.select(*members.columns), "line-rest")
+        several = materialize(rest.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"), "line-leaves")
+        rest = materialize(rest.join(several, "leaf", "left_semi").select(*members.columns), "line-rest")
         parts = materialize(line_parts(rest, similarity, lead), "line-parts")
         crowded = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
         rows, pairs = crowded.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
@@ -125,7 +127,7 @@ def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, simil
         F.first("leaf").alias("leaf"), F.first("n").alias("n")), "line-occurrences")
     keys = occurrences.groupBy("k1", "k2", "leaf", "n").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id"))
     keys = materialize(keys, "line-keys")
-    crowded = keys.where(F.col("n") >= min_tokens).groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = materialize(keys.where(F.col("n") >= min_tokens).groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1"), "line-leaves")
     texts = (lines.where(F.col("n") >= min_tokens).join(crowded.select("leaf"), "leaf", "left_semi")
              .groupBy("k1", "k2", "leaf").agg(F.first("masked").alias("masked")))
     members = materialize(texts.join(keys.select("k1", "k2", "docs"), ["k1", "k2"]), "line-members")
@@ -164,7 +166,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.col("_row")[text_col]
     joined = here.join(right, F.col("_row")[id_col].eqNullSafe(F.col("_gid")) & (F.col("_gt") == F.col("_gth")), "left")
     parts = F.split(body, "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))  # by a hash set, in order
+    rest = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     text = F.when(F.col("_gone").isNull(), body).otherwise(rest)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept_columns if c not in ("n_lines_", "n_dropped_")],
