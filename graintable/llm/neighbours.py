@@ -97,24 +97,38 @@ def usable(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+def one_vector(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """_id, _v (array of double): the usable vectors, one an id; of several vectors under one id the least one counts."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_id is not null")
+    return usable(rows, "_v").groupBy("_id").agg(F.min("_v").alias("_v"))
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16,
-            sample_rows: int = 20_000, leaf: int = 24, visits: int = 480, part_rows: int = 5_000, seed: int = 7) -> DataFrame:
+            sample_rows: int = 20_000, leaf: int = 24, visits: int = 480, part_rows: int = 5_000, seed: int = 7, max_lengths: int = 100) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows of base found for each row of queries but itself.
 
     Score is the Euclidean distance in double precision, ties to the smaller id. The trees are fit on at most
     sample_rows distinct vectors, by hash; every row is indexed. Equal vectors are one entry of the index, kept with
     its k + 1 smallest ids, which are all that can be among k nearest. Each visited leaf ranks its vectors for its
     queries by matrix products, checked by exact distances, in parts of about part_rows rows. Null, zero, non-finite vectors and null ids
-    take no part; vectors of another length than most are not compared with those; an empty table gives no rows.
+    take no part. An id is one row: repeated rows count once, and of several vectors under one id the least (in array order).
+    Vectors are compared with those of their own length only, each length by a forest of its own; more than max_lengths
+    lengths are an error. Other columns are not read; an empty table gives no rows.
     """
-    spark = base.sparkSession
-    fine = usable(base.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_id is not null"), "_v").distinct()
-    asked = usable(queries.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_id is not null"), "_v").distinct()
-    schema = "query_id long, rank int, vec_id long, score double"
-    lengths = fine.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    fine, asked = fine.where(F.size("_v") == lengths["d"]), asked.where(F.size("_v") == lengths["d"])
+    fine, asked = materialize(one_vector(base, id_col, vec_col), "ann-rows"), materialize(one_vector(queries, id_col, vec_col), "ann-asked")
+    lengths = [r[0] for r in asked.select(F.size("_v").alias("d")).distinct().orderBy("d").limit(max_lengths + 1).collect()]
+    if len(lengths) > max_lengths:
+        raise ValueError(f"vectors of more than {max_lengths} lengths")
+    out = None
+    for d in lengths:
+        found = nearest_of_length(fine.where(F.size("_v") == d), asked.where(F.size("_v") == d), k, trees, sample_rows, leaf, visits, part_rows, seed)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def nearest_of_length(fine: DataFrame, asked: DataFrame, k: int, trees: int, sample_rows: int, leaf: int, visits: int, part_rows: int, seed: int) -> DataFrame:
+    """nearest() for rows (_id, _v) of one length."""
+    spark = fine.sparkSession
     first = Window.partitionBy("_v").orderBy("_id")
     classes = (fine.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
                .groupBy("_v").agg(F.array_sort(F.collect_list("_id")).alias("_ids")).withColumn("_c", F.element_at("_ids", 1)))
