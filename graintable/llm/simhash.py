@@ -15,6 +15,8 @@ from graintable.llm.common import bounded_sample, materialize, table
 from graintable.llm.components import connected_components
 
 BITS = 64
+#: Fingerprints of a bucket that are compared pair by pair; larger buckets are split by further bits first.
+LARGE = 256
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -154,8 +156,26 @@ def close_pairs(distinct: DataFrame, distance: int = 3, sample_rows: int = 20_00
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, fps, probe)], ["key", "fp", "probe"])
 
     def settle(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs of complete, key-sorted groups."""
+        """Linked pairs of complete, key-sorted groups. A large group is split by further bits: fingerprints within the
+        distance agree on one of distance + 1 blocks of all bits, so each block's equal members are groups of their own."""
         key, fp, probe = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        if (size > LARGE).any():
+            large = np.repeat(size > LARGE, size)
+            found = [compare(key[~large], fp[~large], probe[~large])]
+            group = np.repeat(np.arange(len(size)), size)[large]
+            f, p = fp[large], probe[large]
+            edges = np.linspace(0, BITS, distance + 2).astype(int)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                block = (f.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+                order = np.lexsort((block, group))
+                new = np.cumsum(np.concatenate([[False], (group[order][1:] != group[order][:-1]) | (block[order][1:] != block[order][:-1])]))
+                found.append(compare(new, f[order], p[order]))
+            return spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return compare(key, fp, probe)
+
+    def compare(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = fp.view(np.uint64)
         us, vs = [], []
         alive = np.arange(len(key))
