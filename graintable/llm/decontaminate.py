@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graintable.llm.common import materialize, table
 
@@ -39,59 +40,105 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
         return out * BASE + np.uint64(width)
 
 
-def tile(pattern: np.ndarray, text: np.ndarray, least: int, start: int = 32) -> list[tuple[int, int, int]]:
+def running_hashes(tokens: np.ndarray, width: int, powers: dict[int, np.ndarray]) -> np.ndarray:
+    """Karp-Rabin value of every window of width tokens, modulo 2**64, put together from windows of powers of two (kept in powers)."""
+    n = len(tokens) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out, at = np.zeros(n, dtype=np.uint64), 0
+        for bit in range(width.bit_length()):
+            size = 1 << bit
+            if size not in powers:
+                half, shift = powers[size >> 1], pow(int(BASE), size >> 1, 1 << 64)
+                powers[size] = half[:len(half) - (size >> 1)] * np.uint64(shift) + half[size >> 1:]
+            if width & size:
+                out = out * np.uint64(pow(int(BASE), size, 1 << 64)) + powers[size][at:at + n]
+                at += size
+        return out
+
+
+def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (pattern position, text position, length) of non-overlapping common runs.
 
-    Longest matches are marked first, down to runs of `least` tokens; candidates come from Karp-Rabin
-    values of unmarked windows at a search length that is doubled when a longer match shows up and else
-    halved. Ties go to the smaller pattern position, then the smaller text position.
+    The longest common run of unmarked tokens is marked again and again, down to runs of `least` tokens; ties go to the
+    smaller pattern position, then the smaller text position. Its length is found by halving over window lengths, for each of
+    which Karp-Rabin values of unmarked windows are compared; of one length all runs are marked in order before a shorter one is looked for.
     """
-    marked_p, marked_t = np.zeros(len(pattern), dtype=bool), np.zeros(len(text), dtype=bool)
+    free_p, free_t = np.ones(len(pattern), dtype=bool), np.isin(text, pattern)  # other tokens of the text are in no run
+    powers_p, powers_t = {1: pattern}, {1: text}
     tiles: list[tuple[int, int, int]] = []
 
-    def free(marked: np.ndarray, width: int) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(marked)])
-        return np.flatnonzero(run[width:] == run[:-width]) if len(marked) >= width else np.zeros(0, dtype=np.int64)
-
-    width = max(least, min(start, len(pattern), len(text)))
-    while True:
-        hp, ht = window_hashes(pattern, width), window_hashes(text, width)
-        fp, ft = free(marked_p, width), free(marked_t, width)
-        places: dict[int, list[int]] = {}
-        for p in fp.tolist():
-            places.setdefault(int(hp[p]), []).append(p)
-        ft = ft[np.isin(ht[ft], hp[fp])] if len(fp) and len(ft) else ft[:0]
-        found: list[tuple[int, int, int]] = []
-        longer = 0
-        for t in ft.tolist():
-            for p in places.get(int(ht[t]), ()):
-                if p and t and not marked_p[p - 1] and not marked_t[t - 1] and pattern[p - 1] == text[t - 1]:
-                    continue  # the match that starts one token earlier holds this one
-                k = 0
-                while p + k < len(pattern) and t + k < len(text) and not marked_p[p + k] and not marked_t[t + k] and pattern[p + k] == text[t + k]:
-                    k += 1
-                if k >= width:
-                    found.append((k, p, t))
-                    longer = max(longer, k)
-        if longer >= 2 * width:
-            width = longer
-            continue
-        for k, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not marked_p[p:p + k].any() and not marked_t[t:t + k].any():
-                marked_p[p:p + k] = True
-                marked_t[t:t + k] = True
-                tiles.append((p, t, k))
-            else:  # what the earlier tiles leave of it
-                ok = ~marked_p[p:p + k] & ~marked_t[t:t + k]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    if b - a >= max(width, least):
-                        marked_p[p + a:p + b] = True
-                        marked_t[t + a:t + b] = True
-                        tiles.append((p + a, t + a, b - a))
-        if width <= least:
+    def open_windows(free: np.ndarray, width: int) -> np.ndarray:
+        if len(free) < width:
+            return np.zeros(0, dtype=np.int64)
+        run = np.concatenate([[0], np.cumsum(~free)])
+        return np.flatnonzero(run[width:] == run[:-width])
+
+    def common(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unmarked windows of the pattern and of the text that occur on the other side, with their values."""
+        p, t = open_windows(free_p, width), open_windows(free_t, width)
+        hp, ht = running_hashes(pattern, width, powers_p)[p], running_hashes(text, width, powers_t)[t]
+        p, hp = p[np.isin(hp, ht)], hp[np.isin(hp, ht)]
+        keep = np.isin(ht, hp)
+        return p, hp, t[keep], ht[keep]
+
+    top = min(len(pattern), len(text))
+    while top >= least:
+        low, high, found = least, top, None
+        while low <= high:
+            middle = high if found is None and low == least and high == top and top <= 2 * least else (low + high) // 2
+            here = common(middle)
+            if len(here[0]):
+                found, low = (middle, here), middle + 1
+            else:
+                high = middle - 1
+        if found is None:
             return tiles
-        width = max(least, width // 2)
+        width, (p, hp, t, ht) = found
+        order = np.argsort(ht, kind="stable")
+        values, first = np.unique(ht[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        next_of = {int(v): [int(a), int(b)] for v, a, b in zip(values, first, ends, strict=True)}
+        for at, value in zip(p.tolist(), hp.tolist(), strict=True):
+            if not free_p[at:at + width].all():
+                continue
+            place = next_of[value]
+            while place[0] < place[1] and not free_t[t[order[place[0]]]:t[order[place[0]]] + width].all():
+                place[0] += 1  # marks only grow: what isn't free now never is again
+            if place[0] < place[1]:
+                to = int(t[order[place[0]]])
+                if (pattern[at:at + width] == text[to:to + width]).all():
+                    free_p[at:at + width] = False
+                    free_t[to:to + width] = False
+                    tiles.append((at, to, width))
+        top = width - 1
+    return tiles
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """One bit for the lower FILTER_BITS bits of each seed, set in the executors in pieces of 64 KB that are or-ed by piece."""
+    piece = 16  # bits of a byte's number within its piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+        for b in batches:
+            s = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            np.bitwise_or.at(bits, (s >> np.uint64(3)).astype(np.int64), np.left_shift(1, (s & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        rows = bits.reshape(-1, 1 << piece)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["piece", "bits"])
+
+    def either(key: tuple, parts: pa.Table) -> pa.Table:
+        whole = np.zeros(1 << piece, dtype=np.uint8)
+        for x in parts.column("bits"):
+            whole |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << (FILTER_BITS - 3 - piece), 1 << piece), dtype=np.uint8)
+    for r in seeds.select("seed").mapInArrow(run, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect():
+        out[r[0]] = np.frombuffer(r[1], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -101,30 +148,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document covers an item when tiles of at least `least` tokens (or the whole item, if that is shorter)
     hold at least the share `coverage` of the item's tokens; passages may be reordered. Whole texts are
     searched. Null or wordless texts and items match nothing; empty tables give an empty table; repeated
-    documents or items (same id and text) count once, different texts under one id each count.
+    documents or items (same id and text) count once, different texts under one id each count. If both id columns have one
+    name, the item's is called item_<name>. Other columns are not read.
+
+    A pair is tiled only if its shared seeds could cover enough. An item leaves out its most frequent seeds as long
+    as any document that can cover it still has another one, so a run that very many documents and items hold makes no pairs.
     """
     spark = docs.sparkSession
+    item_out = item_col if item_col != id_col else f"item_{item_col}"
     item_type = benchmark.schema[item_col].dataType.simpleString()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toks = [token_hashes(x.as_py()) for x in b.column(1)]
-            seeds = [np.unique(window_hashes(t, min(least, len(t)))).view(np.int64).tolist() if len(t) else [] for t in toks]
+            found = [np.unique(window_hashes(t, min(least, len(t))), return_counts=True) for t in toks]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([min(least, len(t)) for t in toks], pa.int32()), pa.array(seeds, pa.list_(pa.int64()))],
-                ["_item", "item_tokens", "width", "seeds"])
+                [b.column(0), pa.array([t.tobytes() for t in toks], pa.binary()), pa.array([min(least, len(t)) for t in toks], pa.int32()), pa.array([len(t) for t in toks], pa.int32()),
+                 pa.array([v.view(np.int64).tolist() for v, _ in found], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))],
+                ["_item", "item_tokens", "width", "size", "seeds", "times"])
 
-    tests = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_t")).where("_t is not null").distinct()
-    tests = materialize(tests.mapInArrow(items, f"_item {item_type}, item_tokens binary, width int, seeds array<long>").where("width > 0")
+    tests = benchmark.select(F.col(f"`{item_col}`").alias("_item"), F.col(f"`{item_text}`").alias("_t")).where("_t is not null").distinct()
+    tests = materialize(tests.mapInArrow(items, f"_item {item_type}, item_tokens binary, width int, size int, seeds array<long>, times array<long>").where("width > 0")
                         .withColumn("_key", F.xxhash64("_item", "item_tokens")), "decon-items")
-    seeds = tests.select("_key", F.explode("seeds").alias("seed"))
+    # windows of an item that its document must share at least: each covers no more than its width of tokens
+    seeds = tests.select("_key", F.ceil(F.lit(coverage) * F.col("size") / F.col("width")).alias("needed"), F.explode(F.arrays_zip("seeds", "times")).alias("x"))
+    seeds = materialize(seeds.select("_key", "needed", F.col("x.seeds").alias("seed"), F.col("x.times").alias("times")), "decon-seeds")
     widths = sorted(r[0] for r in tests.select("width").distinct().collect())  # at most `least` values
-    slot = F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for r in seeds.select(slot.alias("s")).distinct().toLocalIterator():  # at most 2**FILTER_BITS of them
-        bits[r[0] >> 3] |= 1 << (r[0] & 7)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(seed_filter(seeds))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
@@ -146,10 +197,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ids, toks, hits = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, whole.schema.field(0).type), pa.array(toks, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], ["_id", "tokens", "hits"])
 
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
+    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).where("_t is not null")
     near = materialize(source.mapInArrow(search, f"_id {id_type}, tokens binary, hits array<long>")
                        .withColumn("_doc", F.xxhash64("_id", "tokens")), "decon-hits").dropDuplicates(["_doc"])
-    pairs = near.select("_doc", F.explode("hits").alias("seed")).join(seeds, "seed").select("_doc", "_key").distinct()
+    hits = near.select("_doc", F.explode("hits").alias("seed"))
+    spread = hits.groupBy("seed").agg(F.count("*").alias("docs"))
+    ranked = seeds.join(spread, "seed").withColumn("_up", F.sum("times").over(Window.partitionBy("_key").orderBy(F.desc("docs"), "seed")))  # an item's own seeds
+    probes = ranked.where(F.col("_up") >= F.col("needed"))
+    pairs = materialize(hits.join(probes.select("seed", "_key"), "seed").select("_doc", "_key").distinct(), "decon-pairs")
     both = (pairs.join(near.select("_doc", "_id", "tokens"), "_doc")
             .join(tests.select("_key", "_item", "item_tokens"), "_key").select("_id", "_item", "tokens", "item_tokens"))
 
@@ -170,9 +225,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array(n, pa.int64()), pa.array(covered, pa.int64()),
                  pa.array([c / k for c, k in zip(covered, n, strict=True)], pa.float64()), pa.array(where, pa.int64())],
-                [id_col, item_col, "n_tokens", "covered", "coverage", "tiles"])
+                ["_id", "_item", "n_tokens", "covered", "coverage", "tiles"])
 
-    return both.mapInArrow(tiles, f"{id_col} {id_type}, {item_col} {item_type}, n_tokens long, covered long, coverage double, tiles long")
+    found = both.mapInArrow(tiles, f"_id {id_type}, _item {item_type}, n_tokens long, covered long, coverage double, tiles long")
+    return found.withColumnsRenamed({"_id": id_col, "_item": item_out})
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
