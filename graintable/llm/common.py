@@ -68,3 +68,9 @@ def id_crc(col: Column) -> Column:
 def bounded_sample(df: DataFrame, id_col: str, limit: int, seed: str = "s") -> DataFrame:
     """At most limit rows, chosen by a hash of the id (the same rows for the same input): for fitting models only."""
     return df.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.col(id_col)).limit(limit)
+
+
+def one_text(docs: DataFrame, id_col: str, text_col: str, max_chars: int) -> DataFrame:
+    """id_col, _t: one text an id among those of at most max_chars characters, that with the least hash; an id that is repeated very often stays one row."""
+    rows = docs.select(id_col, F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
+    return rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("_t"), F.col("_t"))).alias("_x")).select(id_col, F.col("_x._t").alias("_t"))

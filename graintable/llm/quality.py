@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import bounded_sample, id_crc, table
+from graintable.llm.common import bounded_sample, id_crc, one_text, table
 
 #: Byte classes: lower letters, upper letters, digits, space, line end, full stop, comma, bar, other marks, bytes above ASCII.
 CLASSES = 10
@@ -58,6 +58,7 @@ class QualityModel:
     labels: np.ndarray
     weight: np.ndarray   # of each labelled row's vote
     prior: float
+    power: float = 8.0
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -66,16 +67,23 @@ class QualityModel:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[str | None], neighbours: int = 15) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors, by exact cosine products of the block."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors, by exact cosine products of the block.
+
+        Of equally near ones at the border those that come first count. A vote is the similarity, sharpened by a power, times its label's weight.
+        """
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
         counts = np.stack([term_counts(t) for t in texts])
         cos = self.embed(counts) @ self.vectors.T
         k = min(neighbours, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        sim = np.maximum(np.take_along_axis(cos, near, axis=1), 0.0).astype(np.float64) ** 8 * self.weight[near]
+        edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1:k]
+        near, ties = cos > edge, cos == edge
+        near |= ties & (np.cumsum(ties, axis=1) <= k - near.sum(axis=1, keepdims=True))
+        at = np.nonzero(near)[1]  # k of each row, in order
+        at = at.reshape(len(texts), k)
+        sim = np.maximum(np.take_along_axis(cos, at, axis=1), 0.0).astype(np.float64) ** self.power * self.weight[at]
         total = sim.sum(axis=1)
-        return np.where(total > 1e-12, (sim * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
+        return np.where(total > 1e-12, (sim * self.labels[at]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
 
 
 def fit(rows: list[tuple[str | None, int]], dimensions: int = 48) -> QualityModel:
@@ -100,18 +108,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 held_out_mod: int = 5, sample_rows: int = 3000, max_chars: int = 50_000) -> QualityModel:
     """Fit on at most sample_rows labelled rows whose crc32(id) mod held_out_mod isn't 0, up to half of them of label 0.
 
-    Training rows have max_chars characters at most, so that the sample has a bounded size; scoring reads whole texts.
+    Training rows have max_chars characters at most, so that the sample has a bounded size; scoring reads whole texts. An id is one
+    row: of several labels the least counts, of several texts the one with the least hash.
     """
-    known = labels.where(id_crc(F.col(id_col)) % held_out_mod != 0).select(id_col, F.col(label_col).alias("_y")).where("_y is not null").dropDuplicates([id_col])
-    short = docs.select(id_col, F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
+    known = labels.where(id_crc(F.col(id_col)) % held_out_mod != 0).where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_y"))
     half = sample_rows // 2
     picked = bounded_sample(known.where("_y = 0"), id_col, half).unionByName(bounded_sample(known.where("_y = 1"), id_col, half))
+    short = one_text(docs.join(F.broadcast(picked.select(id_col)), id_col, "left_semi"), id_col, text_col, max_chars)
     rows = short.join(F.broadcast(picked), id_col).select("_t", "_y").collect()
     return fit(sorted(((r[0], int(r[1])) for r in rows), key=lambda r: (r[0] or "", r[1])))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", neighbours: int = 15) -> DataFrame:
-    """docs with quality_score (double, 0 to 1). Null and empty texts are scored as a text without terms: the labelled share of 1."""
+    """docs with quality_score (double, 0 to 1). Null and empty texts are scored as a text without terms: the labelled share of 1.
+
+    Repeated rows are scored alike, texts of any length whole; an empty table gives an empty one; further columns pass through.
+    """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("quality_score",)])  # such columns are replaced
     names = docs.columns
     at = names.index(text_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import bounded_sample, id_crc, table
+from graintable.llm.common import bounded_sample, id_crc, one_text, table
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 # Closed word classes of the grammar; insults are learned from the labels.
@@ -95,7 +95,7 @@ class ToxicityModel:
         for at in hits:
             if at < done:
                 continue
-            begin = max((m for m in (low.rfind(c, 0, at) for c in ".!?;:\n")), default=-1) + 1
+            begin = max(low.rfind(c, max(done, 0), at) for c in ".!?;:\n") + 1 or max(done, 0)  # no further back than the clause before
             end = CLAUSE.search(low, at)
             done = end.start() if end else len(low)
             score = self.clause(low[begin:done])
@@ -204,11 +204,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Training rows have max_chars characters at most, so that the sample has a bounded size; scoring reads whole texts.
     """
-    known = labels.where(id_crc(F.col(id_col)) % held_out_mod != 0).select(id_col, F.col(label_col).alias("_y")).where("_y is not null").dropDuplicates([id_col])
+    known = labels.where(id_crc(F.col(id_col)) % held_out_mod != 0).where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     half = sample_rows // 2
     toxic = bounded_sample(known.where("_y = 1"), id_col, half)
     picked = toxic.unionByName(bounded_sample(known.where("_y <> 1"), id_col, half))
-    short = docs.select(id_col, F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
+    short = one_text(docs.join(F.broadcast(picked.select(id_col)), id_col, "left_semi"), id_col, text_col, max_chars)
     found = short.join(F.broadcast(picked), id_col).select("_t", "_y")
     counts = {r[0]: r[1] for r in known.groupBy((F.col("_y") == 1).alias("y")).count().collect()}
     rows = [(r[0], int(r[1])) for r in found.collect()]
@@ -222,7 +222,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs with tox_score (double, 0 to 1) and tox_clauses (matched clauses, long). Null and empty texts have no clause."""
+    """docs with tox_score (double, 0 to 1) and tox_clauses (matched clauses, long). Null and empty texts have no clause.
+
+    Repeated rows are scored alike, texts of any length whole; an empty table gives an empty one; further columns pass through.
+    """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tox_score", "tox_clauses")])  # such columns are replaced
     names = docs.columns
     m = model  # a few thousand stems at most: it travels with the function
