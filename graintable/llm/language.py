@@ -107,7 +107,11 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (a learned language; 'und' for null texts and texts without a letter) and lang_score (0 to 1; 0 for und)."""
+    """docs with lang_pred (a learned language; 'und' for null texts and texts without a letter) and lang_score (0 to 1; 0 for und).
+
+    Equal outputs give the language that comes first by name. Repeated rows are treated alike, texts of any length whole; an empty table
+    gives an empty one, a model without languages 'und'; further columns pass through.
+    """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])  # such columns are replaced
     names = docs.columns
     at = names.index(text_col)

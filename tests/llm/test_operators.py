@@ -153,6 +153,18 @@ def test_close_pairs_find_every_link(spark):
         assert want[u] == want[v]
 
 
+def test_close_pairs_of_large_buckets(spark):
+    """Thousands of fingerprints that differ in 16 bits only: all in one bucket of most parts."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 16, 1500, dtype=np.uint64) | np.uint64(0xABCD << 16), rng.integers(0, 1 << 63, 500, dtype=np.uint64)]))
+    signed = fps.view(np.int64)
+    links = [(r.u, r.v) for r in simhash.close_pairs(spark.createDataFrame([(int(x),) for x in signed], "fp long")).collect()]
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    want = plain_components(signed.tolist(), [(int(signed[i]), int(signed[j])) for i, j in near])
+    assert plain_components(signed.tolist(), links) == want
+    assert len(links) < 40 * len(fps)
+
+
 def test_thresholds_cover_every_pair():
     sample = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
     for n in (10**3, 10**6, 10**9):
@@ -259,6 +271,21 @@ def test_line_dedup_equals_brute_force_tree(spark, few, monkeypatch):
         assert got[i] == "\n".join(x for x in text.split("\n") if len(docs_of[of[x]]) < 2 or min(docs_of[of[x]]) == i)
 
 
+def test_line_dedup_equals_brute_force_tree_on_documents(spark, docs):
+    """Whole documents at the default similarity."""
+    found = line_dedup.template_lines(docs, "doc_id", "text", 3)
+    lines = found.groupBy("masked", "leaf", "k1", "k2").agg(F.countDistinct("_id").alias("docs")).collect()
+    of = brute_tree({r.masked: (r.leaf, r.docs, r.k1, r.k2) for r in lines})
+    at = {(r._id, r.pos): r.masked for r in found.select("_id", "pos", "masked").collect()}
+    docs_of = {}
+    for (i, _), m in at.items():
+        docs_of.setdefault(of[m], set()).add(i)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs.select("doc_id", "text")).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        kept = [x for pos, x in enumerate(r.text.split("\n")) if (m := at.get((r.doc_id, pos))) is None or len(docs_of[of[m]]) < 2 or min(docs_of[of[m]]) == r.doc_id]
+        assert got[r.doc_id] == "\n".join(kept)
+
+
 def test_line_dedup_second_family_of_a_leaf(spark):
     """The leaf's leading line is another one; the two lines below agree with each other only."""
     lead = "we saw the one two three four five six seven"
@@ -309,6 +336,42 @@ def test_composition_multiplies_factors():
     assert out == [1.0, 1.0, 0.05, 1.0]
 
 
+def test_matched_clauses_equal_plain_rules(spark, docs):
+    """Every clause of a text by the rules one by one, without transducers and without triggers."""
+    import re
+
+    rng = np.random.default_rng(4)
+    vocabulary = ["you", "they", "not", "never", "said", "reported", "kill", "hurt", "idiot", "idiots", "fool", "nice", "day", "the", ".", ";", "?", "\n"]
+    m = toxicity.fit([("you are an idiot", 1)] * 30 + [("what a fool he is", 1)] * 30 + [("you are a friend of the day", 0)] * 60)
+    assert {"idi", "foo"} <= {x[:3] for x in m.stems}
+    for _ in range(300):
+        text = " ".join(rng.choice(vocabulary, rng.integers(1, 40)))
+        total = most = 0.0
+        for clause in re.split(r"[.!?;:\n]+", text.lower()):
+            words, weight = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause), 0.0
+            kinds = [m.weigh(w) for w in words]
+            negated = None
+            for i, (k, w) in enumerate(kinds):
+                factor = 1.0
+                hit = k in (toxicity.INSULT, toxicity.THREAT)
+                if k == toxicity.NEGATION:
+                    negated = i
+                if hit:
+                    if negated is not None and i - negated <= 3:
+                        factor *= 0.25
+                        negated = None
+                    if any(x == toxicity.REPORT for x, _ in kinds[max(0, i - 8):i]):
+                        factor *= 0.6
+                    if any(x == toxicity.TARGET for x, _ in kinds[max(0, i - 4):i]):
+                        factor *= 1.25
+                    if k == toxicity.THREAT:
+                        factor *= 0.3
+                weight += w * factor
+            total, most = total + weight, max(most, weight)
+        (got_total, got_most, _), _ = m.features(text)
+        assert abs(got_total - total) < 1e-9 and abs(got_most - most) < 1e-9
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(odd, labels, held_out_mod=10**9)
@@ -322,13 +385,13 @@ def test_toxicity_odd_rows(spark, odd):
 
 def plain_tiles(p, t, least):
     """Greedy string tiling by comparing every pair of positions."""
-    mp, mt, tiles = [False] * len(p), [False] * len(t), 0
+    free_p, free_t, tiles = [True] * len(p), [True] * len(t), []
     while True:
         best = (0, 0, 0)
         for i in range(len(p)):
             for j in range(len(t)):
                 k = 0
-                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and not mp[i + k] and not mt[j + k]:
+                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and free_p[i + k] and free_t[j + k]:
                     k += 1
                 if k > best[0]:
                     best = (k, i, j)
@@ -336,23 +399,69 @@ def plain_tiles(p, t, least):
         if k < least:
             return tiles
         for x in range(k):
-            mp[i + x] = mt[j + x] = True
-        tiles += k
+            free_p[i + x] = free_t[j + x] = False
+        tiles.append((i, j, k))
+
+
+def plain_cover(p, t, least):
+    """Tokens that plain tiling covers, from a table of all diagonal runs."""
+    free_p, free_t, have = np.ones(len(p), dtype=bool), np.ones(len(t), dtype=bool), 0
+    while True:
+        run, best = np.zeros(len(t) + 1, dtype=np.int64), (0, 0, 0)
+        for i in range(len(p) - 1, -1, -1):
+            run = np.append(np.where((t == p[i]) & free_t & free_p[i], run[1:] + 1, 0), 0)
+            j = int(run.argmax())
+            if run[j] >= best[0]:
+                best = (int(run[j]), i, j)
+        k, i, j = best
+        if k < least:
+            return have
+        free_p[i:i + k] = free_t[j:j + k] = False
+        have += k
 
 
-def test_tiling_covers_as_much_as_brute_force():
+def test_tiling_equals_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        p = rng.integers(0, 6, rng.integers(3, 30)).astype(np.uint64)
-        t = np.concatenate([rng.integers(0, 6, 5), p[len(p) // 2:], rng.integers(0, 6, 4), p[:len(p) // 2]]).astype(np.uint64)
-        least = min(3, len(p))
-        got = decontaminate.tile(p, t, least, start=4)
-        for a, b, k in got:
-            assert (p[a:a + k] == t[b:b + k]).all() and k >= least
-        for side in (0, 1):
-            spots = [x for g in got for x in range(g[side], g[side] + g[2])]
-            assert len(spots) == len(set(spots))
-        assert abs(sum(g[2] for g in got) - plain_tiles(p.tolist(), t.tolist(), least)) <= 3
+    for _ in range(200):
+        p = rng.integers(0, rng.integers(1, 6), rng.integers(1, 25)).astype(np.uint64)
+        t = np.concatenate([rng.integers(0, 6, 5).astype(np.uint64), p[len(p) // 2:], rng.integers(0, 6, 4).astype(np.uint64), p[:len(p) // 2]])
+        least = int(rng.integers(1, 5))
+        assert decontaminate.tile(p, t, least) == plain_tiles(p.tolist(), t.tolist(), least)
+
+
+def test_tiling_of_repetitive_texts_ends():
+    rng = np.random.default_rng(3)
+    p, t = np.tile(np.arange(3, dtype=np.uint64), 700), np.tile(np.arange(3, dtype=np.uint64), 33_000)
+    assert sum(k for _, _, k in decontaminate.tile(p, t, 5)) == len(p)
+    p, t = rng.integers(0, 2, 800).astype(np.uint64), rng.integers(0, 2, 100_000).astype(np.uint64)
+    assert sum(k for _, _, k in decontaminate.tile(p, t, 5)) > 0.9 * len(p)
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id, r.covered) for r in decontaminate.op10_decontamination(spark, DATA).collect()}
+    items = {r.item_id: decontaminate.token_hashes(r.text) for r in bench.collect()}
+    least = {i: min(5, len(p)) for i, p in items.items()}
+    runs = {i: {p[k:k + least[i]].tobytes() for k in range(len(p) - least[i] + 1)} for i, p in items.items()}
+    want = set()
+    for r in docs.collect():
+        t = decontaminate.token_hashes(r.text)
+        seen = {w: {t[k:k + w].tobytes() for k in range(len(t) - w + 1)} for w in set(least.values())}
+        for i, p in items.items():
+            if len(p) and runs[i] & seen[least[i]]:
+                have = plain_cover(p, t, least[i])
+                if have >= 0.5 * len(p):
+                    want.add((r.doc_id, i, have))
+    assert want and got == want
+
+
+def test_decontamination_with_hot_seeds_and_equal_names(spark):
+    """One run stands in all documents and items; only what covers an item is found."""
+    hot = "which of the following is"
+    rows = [(i, f"{hot} own{i} words{i} here{i} and{i} there{i} so{i} on{i} for{i} ever{i} more{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("seed", F.lit(1))
+    got = {(r.id, r.item_id, r.covered) for r in decontaminate.contaminated(df, df, id_col="id", item_col="id").collect()}
+    assert got == {(i, i, 15) for i in range(60)}
 
 
 def test_decontamination_finds_contained_items(spark, docs):
@@ -488,6 +597,9 @@ def test_neighbours_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df, df.where("vec_id % 100 = 0"), k=3).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 100, 0.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 0.0)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [2.0, 0.0]), (200, [3.0]), (7, [5.0]), (300, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(twice, twice.where("vec_id % 100 = 0"), k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [(0, 1, 1, 1.0), (200, 1, 7, 2.0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -501,6 +613,22 @@ def test_quality_held_out(spark):
     assert n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) > 0.8
 
 
+def test_quality_scores_equal_plain_votes(spark, docs):
+    """Cosines, nearest by (cosine, order), and votes, one by one."""
+    import math
+
+    texts = [r.text for r in docs.orderBy("doc_id").limit(300).collect()]
+    rows = [(t, int(len(t) % 3 > 0)) for t in texts[:120]]
+    m = quality.fit([*rows, *rows[:20]])  # repeated rows are equally near
+    got = m.scores(texts[120:160])
+    for t, score in zip(texts[120:160], got, strict=True):
+        v = m.embed(quality.term_counts(t)[None])[0]
+        cos = [(float(np.float32(c)), i) for i, c in enumerate((v[None] @ m.vectors.T)[0])]
+        near = sorted(cos, key=lambda x: (-x[0], x[1]))[:15]
+        votes = [(max(c, 0.0) ** m.power * m.weight[i], m.labels[i]) for c, i in near]
+        assert math.isclose(score, sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs_tol=1e-4)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1), (4, 0), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
     model = quality.fit_quality(odd, labels, held_out_mod=10**9)
@@ -514,6 +642,30 @@ def test_language_held_out(spark, docs):
     assert rows.where("lang = lang_pred").count() / rows.count() > 0.98
 
 
+def test_language_margins_equal_plain_kernels(spark, docs):
+    """Presence kernels of sets of hashed n-grams, one pair at a time."""
+    rows = [(r.text[:400], r.lang) for r in docs.where("lang is not null and length(text) > 0").orderBy("doc_id").limit(80).collect()]
+    m = language.fit(rows, landmarks=5)
+
+    def grams(text):
+        c, out = [ord(x) for x in f" {text.lower()} "], set()
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for x in c[i:i + n]:
+                    h = (h * 0x01000193 + x) % 2**32
+                out.add((h * int(language.SALTS[n]) % 2**32) >> 14)
+        return out
+
+    marks = [grams(t) for name in m.names for t in [t for t, y in rows if y == name][:5]]
+    texts = [r.text for r in docs.orderBy(F.desc("doc_id")).limit(25).collect()]
+    got = m.margins(texts)
+    for t, row in zip(texts, got, strict=True):
+        x = grams(t)
+        kernel = np.array([len(x & z) / (len(x) ** 0.5 * len(z) ** 0.5) for z in marks])
+        assert np.allclose(kernel @ m.weights, row, atol=2e-3)
+
+
 def test_language_odd_rows(spark, odd):
     model = language.fit_language(odd, modulus=10**9, held_out=-1)
     rows = {r.doc_id: r for r in language.identify(odd, model).collect()}
