@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from graintable.llm.decontaminate import op10_decontamination
 from graintable.llm.language import op8_language
 from graintable.llm.line_dedup import op4_line_dedup
@@ -19,6 +18,13 @@ from graintable.llm.simhash import op9_simhash
 from graintable.llm.toxicity import op5_toxicity
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline of the repository's top folder, over documents."""
+    import corpus_pipeline  # it stands beside this package and uses it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -31,7 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
