@@ -17,13 +17,19 @@ from graintable.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go. The model is fit on the labelled rows of the input tables."""
+    """Documents with a toxicity score of 0.5 or more go. The model is fit on the labelled rows of the input tables.
+
+    Null and empty texts stay, repeated rows go or stay together; an empty table gives an empty one.
+    """
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("tox_score < 0.5").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; a document with nothing left goes too."""
+    """Lines of recurring templates go from all documents but the first; a document with nothing left goes too.
+
+    Null and blank texts stay as they are. n_chars is that of the text that is left.
+    """
     done = dedup_lines(docs)
     left = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     kept = done.where((F.col("n_dropped_") == 0) | left)
@@ -31,14 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays; rows without an id stay."""
+    """Of each component of near copies the document with the smallest id stays; rows without an id stay.
+
+    Equal rows (id and text) become one. An id that stands for several texts goes or stays as a whole: it is one document.
+    """
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id", "text"]).join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover half of a test item's tokens or more go."""
+    """Documents that cover half of a test item's tokens or more go, with all rows of their id. Null and empty texts cover nothing and stay."""
     hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
 
@@ -58,7 +67,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL can't express the learned grammar, the string tiling and the piece lattice; tests hold run() to brute force.
+#: SQL can't express the learned grammar, the string tiling and the piece lattice; tests hold each stage to a plain computation on small tables.
 ORACLE_SQL = None
 
 
