@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graintable.llm.common import materialize, materialize_bucketed, table
 
 SPACE = "▁"
-#: An edge of the lattice is one long: end (32 bits), length (7 bits), piece id (24 bits). A step is its lower 31 bits.
+#: An edge of the lattice has a weight and a long: end (32 bits), length (7 bits), piece id (24 bits). A step is the long's lower 31 bits.
 LEN_BITS, ID_BITS = 7, 24
 #: Characters of a unit that are taken at once: few units are longer, and for those neither a row nor an accumulator holds the whole.
 WINDOW, SHORT = 256, 64
@@ -100,8 +100,7 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         if self.longest >= 1 << LEN_BITS or size >= OTHER:
             raise ValueError("pieces are too long or too many")
-        #: Weight by id; a character without a piece weighs ten less than the least piece, as in the library.
-        self.weights = [self.score.get(p, 0.0) if self.ids.get(p) == i else 0.0 for i, p in enumerate(self.text)]
+        #: A character without a piece weighs ten less than the least piece, as in the library.
         self.without = min(self.score.values(), default=0.0) - 10.0
         pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         chars = sorted({c for ab in pairs for c in ab})
@@ -135,16 +134,17 @@ def unit_key(word: Column) -> Column:
 def unit_lattice(words: DataFrame, pieces: Pieces, short: bool) -> DataFrame:
     """places and parts for each row of words (key, group, word, places; no key and group twice).
 
-    Parts hold the edges (sorted longs: end, length, piece id) that end in the first WINDOW characters, the next, and so on.
+    Parts hold the edges (sorted structs: end, length and piece id in a long, weight) that end in the first WINDOW characters, the next, and so on.
     Substrings of up to the longest piece's length are exploded and equi-joined to the piece table, which the model
     bounds; a single character without a piece is an edge with its code point above OTHER. Edges are grouped by key;
     rows hold a window of a unit, never the whole of a long one, and only a unit's first row holds its places.
     short: all words fit into a window, so each has one part.
     """
-    known = words.sparkSession.createDataFrame([(p, i) for p, i in pieces.ids.items()], "piece string, id int")
+    known = words.sparkSession.createDataFrame([(p, i, pieces.score[p]) for p, i in pieces.ids.items()], "piece string, id int, weight double")
     size, longest = F.lit(WINDOW), F.lit(pieces.longest)
     end = (F.col("base") + F.col("s") + F.col("k") - 1).cast("long")
-    edge = F.shiftleft(end, LEN_BITS + ID_BITS) + F.shiftleft(F.col("k").cast("long"), ID_BITS) + F.coalesce("id", F.lit(OTHER) + F.ascii("piece"))
+    at = F.shiftleft(end, LEN_BITS + ID_BITS) + F.shiftleft(F.col("k").cast("long"), ID_BITS) + F.coalesce("id", F.lit(OTHER) + F.ascii("piece"))
+    edge = F.struct(at.alias("e"), F.coalesce("weight", F.lit(pieces.without)).alias("w"))
     one = (F.col("base") == 0) & (F.col("s") == 1) & (F.col("k") == 1)
     edges = (
         words.select("key", "group", "places", F.translate("word", " ", SPACE).alias("_w"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, size)).alias("base"))
@@ -160,32 +160,30 @@ def unit_lattice(words: DataFrame, pieces: Pieces, short: bool) -> DataFrame:
         return (edges.groupBy("key", "group").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("places").alias("places"))
                 .select(F.flatten("places").alias("places"), F.array("edges").alias("parts")))
     return (
-        edges.groupBy("key", "group", F.floor((F.shiftright("edge", LEN_BITS + ID_BITS) - 1) / WINDOW).alias("part"))
+        edges.groupBy("key", "group", F.floor((F.shiftright("edge.e", LEN_BITS + ID_BITS) - 1) / WINDOW).alias("part"))
         .agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("places").alias("places"))
         .groupBy("key", "group").agg(F.sort_array(F.collect_list(F.struct("part", "edges"))).alias("parts"), F.flatten(F.flatten(F.collect_list("places"))).alias("places"))
         .select("places", F.col("parts.edges").alias("parts"))
     )
 
 
-def best_steps(parts: Column, pieces: Pieces) -> Column:
+def best_steps(parts: Column) -> Column:
     """Viterbi as a fold over edges sorted by end: for each position from 1 the step (length, piece id) of the best path to it, in parts.
 
     A path's value is the sum of its pieces' weights; of equal ones that with the longer last piece wins, then the larger id.
     An inner fold runs over a part's edges, an outer one over the parts, as Spark copies an accumulator at each step.
     Both hold `done`, value and step of the positions from `first` on, and `last`, those of the position behind them.
     """
-    weights = F.expr(f"cast(split('{','.join(map(str, pieces.weights))}', ',') as array<double>)")
     keep = 1 << LEN_BITS
 
     def step(acc: Column, edge: Column) -> Column:
-        e = F.shiftright(edge, LEN_BITS + ID_BITS).cast("int")
-        taken = edge.bitwiseAND((1 << (LEN_BITS + ID_BITS)) - 1).cast("int")
+        e = F.shiftright(edge["e"], LEN_BITS + ID_BITS).cast("int")
+        taken = edge["e"].bitwiseAND((1 << (LEN_BITS + ID_BITS)) - 1).cast("int")
         begin = e - F.shiftright(taken, ID_BITS)
-        weight = F.coalesce(F.get(weights, taken.bitwiseAND((1 << ID_BITS) - 1)), F.lit(pieces.without))
         done, last, first = acc["done"], acc["last"], acc["first"]
         here = first + F.size(done)  # the position of last
         before = F.when(begin == here, last["v"]).otherwise(F.get(done, begin - first)["v"])
-        found = F.struct((before + weight).alias("v"), taken.alias("t"))
+        found = F.struct((before + edge["w"]).alias("v"), taken.alias("t"))
         same = F.struct(done.alias("done"), F.greatest(last, found).alias("last"), first.alias("first"))
         more = F.struct(F.array_append(done, last).alias("done"), found.alias("last"), first.alias("first"))
         return F.when(e == here, same).otherwise(more)
@@ -242,7 +240,7 @@ def best_ids(steps: Column, pieces: Pieces) -> Column:
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
     """places, ids (array of int): the Viterbi path of each row of words (key, group, word, places), by lattice and fold."""
     def of(some: DataFrame, short: bool) -> DataFrame:
-        steps = unit_lattice(some, pieces, short).select("places", best_steps(F.col("parts"), pieces).alias("steps"))
+        steps = unit_lattice(some, pieces, short).select("places", best_steps(F.col("parts")).alias("steps"))
         return steps.select("places", best_ids(F.col("steps"), pieces).alias("ids"))
 
     return of(words.where(F.length("key") <= SHORT), True).unionByName(of(words.where(F.length("key") > SHORT), False))
@@ -328,9 +326,11 @@ def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str,
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000,
-           frequent: int = 150_000, sample_rows: int = 5_000) -> DataFrame:
+           frequent: int = 100_000, sample_rows: int = 5_000, check: bool = False) -> DataFrame:
     """id_col, n_pieces (long), ids (binary: little-endian unsigned 32-bit), text_crc32 (long) for each row of docs.
 
+    check adds round_trip (boolean): the ids are decoded again where they are made, as decode() does, and give the text.
+
     A text's pieces are those with the greatest sum of scores (ties: see best_steps), a dummy space in front, bytes for
     characters without a piece: the best path of the library's own unigram lattice. With a BPE model, for which the
     library merges pieces by rank, it is another segmentation into the same pieces, and decodes to the same text.
@@ -352,7 +352,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     words = (pairs.repartition(n, "key", "group").groupBy("key", "group").agg(F.first("long").alias("long"), F.collect_list(F.struct("block", "number")).alias("places"))
              .withColumn("word", F.coalesce("long", "key")))
     known = word_ids(words, pieces).select("ids", F.explode("places").alias("place")).select(F.col("place.block").alias("to"), F.col("place.number").alias("number"), "ids")
-    shared = spark.sparkContext.broadcast((top_lengths, top_ids))
+    shared, back = spark.sparkContext.broadcast((top_lengths, top_ids)), spark.sparkContext.broadcast(pieces.back)
+    names = [id_col, "n_pieces", "ids", "text_crc32", *["round_trip"] * check]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         lengths, values = shared.value
@@ -380,12 +381,16 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 ids = values[np.repeat(begin[at] - ends + each, each) + np.arange(total)] if n else values[:0]
                 borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * borders), pa.py_buffer(ids)])
-                parts.append(pa.table([row.column(0)[i].values, pa.array(np.diff(borders)), binary.cast(pa.binary()), row.column(2)[i].values], [id_col, "n_pieces", "ids", "text_crc32"]))
+                columns = [row.column(0)[i].values, pa.array(np.diff(borders)), binary.cast(pa.binary()), row.column(2)[i].values]
+                if check:
+                    columns.append(pa.array([zlib.crc32(t.encode()) == c for t, c in zip(back.value.decode(ids, np.diff(borders)), columns[3].to_pylist(), strict=True)], pa.bool_()))
+                parts.append(pa.table(columns, names))
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(parts) if parts else pa.table({id_col: pa.array([], left.schema.field("names").type.value_type), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "text_crc32": pa.array([], pa.int64())})
+        kinds = [left.schema.field("names").type.value_type, pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in kinds[:len(names)]], names)
 
     rows = numbered.select("block", "names", "counts", "crcs", "numbers")
-    return rows.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(finish, f"`{id_col}` {kind}, n_pieces long, ids binary, text_crc32 long")
+    return rows.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(finish, f"`{id_col}` {kind}, n_pieces long, ids binary, text_crc32 long{', round_trip boolean' * check}")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -412,7 +417,5 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents by encode and decode: doc_id, n_pieces, ids_crc32 (of the ids' bytes), round_trip (they decode to the text; null counts as empty)."""
-    done = decode(encode(table(spark, sf_dir, "documents")))
-    return done.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"),
-                       (F.crc32(F.coalesce("text_", F.lit("")).cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+    """documents encoded and decoded: doc_id, n_pieces, ids_crc32 (of the ids' bytes), round_trip (they decode to the text; null counts as empty)."""
+    return encode(table(spark, sf_dir, "documents"), check=True).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")

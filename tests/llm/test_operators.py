@@ -552,10 +552,11 @@ def test_pieces_odd_texts(spark, odd):
     p = pieces.loaded(pieces.default_model())
     texts = ["Hello  world", " lead", "trail ", "tab\there", "中文 字符 😀", "a\n\nb", "x" * 5000, "   ", "▁odd▁", "éá", "a" * 199 + " b", "\n" + "y" * 300, "\0a \0 b", "ab" * 3000, " " * 700, "꧁" * 600, None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "key", "word", "names", "n_pieces", "numbers")})
-    rows = {r.doc_id: r for r in pieces.decode(pieces.encode(df).withColumn("text_", F.lit("?"))).collect()}
+    rows = {r.doc_id: r for r in pieces.decode(pieces.encode(df, check=True).withColumn("text_", F.lit("?"))).collect()}
     for i, t in enumerate(texts):
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == plain_viterbi(p, t), t
         assert rows[i].text_ == (t or "").replace("▁", " ")
+        assert rows[i].round_trip == (rows[i].text_ == (t or ""))
     out = pieces.encode(odd).collect()
     assert len(out) == odd.count()
     assert {r.doc_id: r.n_pieces for r in out}[1] == 0
