@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graintable.llm.common import materialize, table
 from graintable.llm.decontaminate import contaminated
 from graintable.llm.line_dedup import dedup_lines
-from graintable.llm.pieces import decode, encode
+from graintable.llm.pieces import encode
 from graintable.llm.simhash import near_duplicates
 from graintable.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -54,9 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each kept document (little-endian unsigned 32-bit), their number, and whether they decode to its text."""
-    done = decode(encode(docs))
-    same = F.crc32(F.coalesce("text_", F.lit("")).cast("binary")) == F.col("text_crc32")
-    return done.select("doc_id", "n_pieces", "ids", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+    return encode(docs, check=True).select("doc_id", "n_pieces", "ids", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
 STAGES = [
