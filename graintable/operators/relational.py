@@ -244,8 +244,9 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n keys, the same for the same seed."""
-    return df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n distinct keys, the first by the md5 of key and seed as text: the same for the same seed, in any engine."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return df.select(key).distinct().orderBy(digest, key).limit(n)
 
 
 def union_align(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from graintable.operators.quantiles import quantiles
 from graintable.plans.base import query, table
 
 NUMERIC, CATEGORICAL = ["p_size", "quantity", "discount"], ["p_type"]
+_SAMPLES = "(SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_type, p_brand, quantity, discount, price FROM part JOIN (SELECT l_partkey, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey)"
 _FOLD = "CAST(('0x' || substring(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % {n} AS INTEGER)"
 
 
@@ -43,6 +44,22 @@ def ml4_fit_regressor(spark, d):
     return M.cross_validate(samples(spark, d), "price", NUMERIC, CATEGORICAL, "p_brand", 3)
 
 
+@query(f"SELECT fold, count(*) AS n, true AS finite, true AS within FROM (SELECT {_FOLD.format(k='p_brand', n=3)} AS fold FROM {_SAMPLES} WHERE price > 0) GROUP BY 1")
+def ml4_folds_within_bounds(spark, d):
+    """Each fold is predicted once, by models of the other folds' brands, within bounds."""
+    found = ml4_fit_regressor(spark, d)
+    return found.select("fold", "n", (F.col("mae") < float("inf")).alias("finite"), F.col("log_r2").between(-1, 1).alias("within"))
+
+
+@query(f"SELECT count(*) AS n, true AS known_classes, true AS shares FROM {_SAMPLES}")
+def ml5_classes_within_bounds(spark, d):
+    """Every part gets a known class, with a share between that of chance and 1."""
+    types = samples(spark, d).select("p_type").distinct().count()
+    known = F.col("class").between(0, types)  # one more for unknown labels
+    sure = F.col("sure").between(1.0 / (types + 1) - 1e-6, 1)
+    return ml5_fit_classifier(spark, d).agg(F.count("*").alias("n"), F.every(known).alias("known_classes"), F.every(sure).alias("shares"))
+
+
 @query()
 def ml5_fit_classifier(spark, d):
     data = samples(spark, d)
@@ -58,7 +75,11 @@ def ml6_permutation_importance(spark, d):
     return M.permutation_importance(model, data.where("held_out").drop("held_out"), "price", NUMERIC, CATEGORICAL, ["quantity", "p_size"], 2)
 
 
-_SAMPLES = "(SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_type, p_brand, quantity, discount, price FROM part JOIN (SELECT l_partkey, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey)"
+@query("SELECT 'quantity' AS first, true AS helps")
+def ml6_driver_comes_first(spark, d):
+    """The price follows the quantity, so that column costs the most when it changes places."""
+    found = ml6_permutation_importance(spark, d)
+    return found.agg(F.max_by("column", "importance").alias("first"), (F.max("importance") > 0).alias("helps"))
 
 
 @query()
@@ -144,6 +165,14 @@ def ml12_most_uncertain_sigma(spark, d):
     return M.most_uncertain_sigma(out, ["p0", "p1", "p2"], 20, "p_partkey").select("p_partkey", "sigma", "low", "high")
 
 
+@query(f"SELECT least(20, count(*)) AS n, true AS ordered, true AS spread FROM {_SAMPLES}")
+def ml12_sigma_within_bounds(spark, d):
+    """Twenty parts, their bounds around the mean by one spread, which isn't negative."""
+    found = ml12_most_uncertain_sigma(spark, d)
+    width = F.abs(F.log(F.col("high") / F.col("low")) - 2 * F.col("sigma")) < 1e-9
+    return found.agg(F.count("*").alias("n"), F.every((F.col("low") <= F.col("high")) & width).alias("ordered"), F.every(F.col("sigma") >= 0).alias("spread"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(1.0 / (abs(l_quantity - 25) + 1e-3) / (l_discount + 1e-3), 4) AS score FROM lineitem")
 def ml13_closeness_score(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(M.closeness_score(F.col("l_quantity"), F.col("l_discount"), 25.0), 4).alias("score"))
@@ -154,6 +183,13 @@ def ml14_tune(spark, d):
     return M.tune(samples(spark, d), "price", NUMERIC, "p_brand", {"regParam": [0.0, 0.1, 1.0]})
 
 
+@query(f"SELECT unnest(['regParam=0.0', 'regParam=0.1', 'regParam=1.0']) AS point, true AS within FROM (SELECT stddev_pop(ln(price)) AS s FROM {_SAMPLES} WHERE price > 0)")
+def ml14_points_within_bounds(spark, d):
+    """Every grid point has an error, and none is much worse than the spread of the target itself."""
+    spread = samples(spark, d).where("price > 0").agg(F.stddev_pop(F.log("price"))).first()[0]
+    return ml14_tune(spark, d).select("point", F.col("rmse").between(0, 1.5 * spread).alias("within"))
+
+
 @query("SELECT l_returnflag, count(*) AS n, round(quantile_cont(abs(l_extendedprice - l_quantity * 1000), 0.9), 4) AS half FROM lineitem GROUP BY 1")
 def ml15_conformal_interval(spark, d):
     given = table(spark, d, "lineitem").withColumn("p", F.col("l_quantity") * 1000)

@@ -11,12 +11,12 @@ from graintable.plans.base import query, table
 
 
 def part_orders(spark, d):
-    """Orders with their first line's fields: null where an order has no line."""
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    """Orders with the fields of each of their lines: null where an order has no line."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
     return table(spark, d, "orders").join(lines, "o_orderkey", "left")
 
 
-PO = "(SELECT o.*, l_quantity, l_discount, l_tax, l_returnflag FROM orders o LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) l ON o_orderkey = l_orderkey)"
+PO = "(SELECT o.*, l_quantity, l_discount, l_tax, l_returnflag FROM orders o LEFT JOIN lineitem l ON o_orderkey = l_orderkey)"
 
 
 @query(f"SELECT o_orderkey, CASE WHEN l_discount BETWEEN 0.05 AND 1 THEN l_discount WHEN l_tax IS NOT NULL THEN l_tax WHEN o_totalprice IS NOT NULL THEN o_totalprice END AS v, CASE WHEN l_discount BETWEEN 0.05 AND 1 THEN 'discount' WHEN l_tax IS NOT NULL THEN 'tax' WHEN o_totalprice IS NOT NULL THEN 'price' END AS source FROM {PO}")
@@ -346,7 +346,7 @@ def st3_top_k(spark, d):
     return R.top_k(table(spark, d, "lineitem"), 50, F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query()
+@query("SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5(o_custkey || ':7'), o_custkey LIMIT 100")
 def st4_sample_keys(spark, d):
     return R.sample_keys(table(spark, d, "orders"), "o_custkey", 100, 7)
 

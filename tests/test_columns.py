@@ -14,7 +14,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(v for _, v in values.values())], schema).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("text, want", [("about 5", 5.0), ("<5", 5.0), (".5", 0.5), ("5-9", 7.0), ("1.25–1.5", 1.38), ("5 nm", 5.0), ("n/a", None), ("", None), (None, None), ("~ 12 h", 12.0)])
+@pytest.mark.parametrize("text, want", [("about 5", 5.0), ("<5", 5.0), (".5", 0.5), ("5-9", 7.0), ("1.25–1.5", 1.38), ("5 miles", 5.0), ("unknown", None), ("", None), (None, None), ("~ 18 weeks", 18.0)])
 def test_parse_measure(spark, text, want):
     assert one(spark, C.parse_measure(F.col("t")), t=("string", text)) == want
 
@@ -30,29 +30,31 @@ def test_canonical_scalar(spark):
 
 
 def test_tokens_do_not_cross(spark):
-    rules = [("ammonium nitrate", ("nh4.*no3",)), ("other salt", ("so4",))]
-    assert one(spark, C.classify_tokens(F.lower("t"), rules), t=("string", "NH4Cl; KNO3; Ce(SO4)2")) == "other salt"
+    """A pattern's halves in two tokens are no hit."""
+    rules = [("red wool", ("red.*wool",)), ("any cotton", ("cotton",))]
+    assert one(spark, C.classify_tokens(F.lower("t"), rules), t=("string", "Red silk; green wool; white cotton")) == "any cotton"
+    assert one(spark, C.classify_tokens(F.lower("t"), rules), t=("string", "red lamb wool; cotton")) == "red wool"
     assert one(spark, C.classify_tokens(F.lower("t"), rules), t=("string", None)) is None
 
 
 def test_symbol_case_and_word_boundary(spark):
-    c = C.fill_by_pattern(F.lit(None).cast("string"), F.col("t"), [("cobalt", (r"\bCo(?i:-doped)",))])
-    assert one(spark, c, t=("string", "Co-Doped oxide")) == "cobalt"
-    assert one(spark, c, t=("string", "co-doped oxide with Sm")) is None
-    assert one(spark, C.topic_mask([F.col("t")], ["ceric"]), t=("string", "Glyceric acid")) is False
-    assert one(spark, C.topic_mask([F.col("t")], ["ceric"]), t=("string", "Ceric ammonium nitrate")) is True
+    c = C.fill_by_pattern(F.lit(None).cast("string"), F.col("t"), [("indium", (r"\bIn(?i:-plated)",))])
+    assert one(spark, c, t=("string", "an In-Plated wire")) == "indium"
+    assert one(spark, c, t=("string", "wires kept in-plated boxes")) is None
+    assert one(spark, C.topic_mask([F.col("t")], ["harm"]), t=("string", "A pharmacy of charms")) is False
+    assert one(spark, C.topic_mask([F.col("t")], ["harm"]), t=("string", "Harm to fish")) is True
 
 
 def test_staged_values(spark):
-    df = spark.createDataFrame([(1, "The precipitate was dried at 80 C for 12 h and then calcined at 500 C for 3 h."), (2, "The powder was calcined at 500 C for 3 h."), (3, None)], "id long, t string")
-    rows = {r.id: (r.dried, r.calcined) for r in X.extract_staged(df, "id", "t", [("dried", "dried"), ("calcined", "calcined")], r"([0-9]+) C").collect()}
-    assert rows == {1: (80.0, 500.0), 2: (None, 500.0)}
+    df = spark.createDataFrame([(1, "Loaves were proofed at 30 C for one hour and then baked at 220 C until brown."), (2, "Rolls were baked at 190 C."), (3, None)], "id long, t string")
+    rows = {r.id: (r.proofed, r.baked) for r in X.extract_staged(df, "id", "t", [("proofed", "proofed"), ("baked", "baked")], r"([0-9]+) C").collect()}
+    assert rows == {1: (30.0, 220.0), 2: (None, 190.0)}
 
 
 def test_context_look_back(spark):
-    df = spark.createDataFrame([(1, "Morphology was analyzed by TEM. The mean particle size was 12 nm."), (2, "DLS measurements showed a diameter of 150 nm by TEM.")], "id long, t string")
-    found = X.extract_in_context(df, "id", "t", r"([0-9.]+) nm", [("tem", "TEM"), ("sem", "SEM")], "DLS").collect()
-    assert [(r.id, r.kind, r.value) for r in found] == [(1, "tem", 12.0)]
+    df = spark.createDataFrame([(1, "We used the long ruler. It had been cleaned. Every board measured 44 cm."), (2, "By guess and with the long ruler, one board measured 51 cm.")], "id long, t string")
+    found = X.extract_in_context(df, "id", "t", r"([0-9.]+) cm", [("ruler", "ruler"), ("tape", "tape")], "guess").collect()
+    assert [(r.id, r.kind, r.value) for r in found] == [(1, "ruler", 44.0)]
 
 
 def test_patch(spark):

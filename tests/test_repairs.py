@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graintable.functions import columns as C
+from graintable.functions import sql
 from graintable.operators import aggregates as A
 from graintable.operators import extract as X
 from graintable.operators import modelling as M
@@ -132,3 +133,23 @@ def test_aliases_count_as_present(spark):
     df = frame(spark, [("cetyl bromide (CTAB) was used", "surfactant x")], "t string, v string")
     bare = C.bare_text(F.col("t"))
     assert df.select(C.presence(bare, F.col("v")).alias("a"), C.presence(bare, F.col("v"), aliases={"Surfactant X": ["CTAB"]}).alias("b")).first() == (False, True)
+
+
+def test_sql_functions_equal_the_builders(spark):
+    names = sql.register(spark)
+    assert len(names) == len(set(names)) == len(sql.FUNCTIONS)
+    rows = [(" 5.5 ", 2.0, 4.0, True), ("nan", None, 0.0, False), ("N/A", 9.0, None, None), ("", -1.0, 2.0, True), (None, 3.0, 1.0, False), ("https://doi.org/10.1/X; b", 0.5, 0.5, True)]
+    df = frame(spark, rows, "s string, x double, y double, f boolean")
+    df.createOrReplaceTempView("odd_values")
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    pairs = {
+        "grain_to_number(s)": C.to_number(s), "grain_null_outside(x, 1, 5)": C.null_outside(x, 1, 5), "grain_clean_null(s, array('n/a'))": C.clean_null(s, ["N/A"]),
+        "grain_normalize_key(s, 'https://doi.org/')": C.normalize_key(s, ["https://doi.org/"]), "grain_first_token(s)": C.first_token(s), "grain_bare_text(s)": C.bare_text(s),
+        "grain_safe_ratio(x, y, 0.1, 9)": C.safe_ratio(x, y, 0.1, 9), "grain_log_clip(x, 1)": C.log_clip(x), "grain_null_if_inconsistent(x, y, 2)": C.null_if_inconsistent(x, y, 2),
+        "grain_norm_categorical(s)": C.norm_categorical(s), "grain_resolve_range(x, f, 1, y)": C.resolve_range(x, F.col("f"), F.lit(1.0), y), "grain_within_chars(s, 'doi', 'x', 9)": C.within_chars(s, "doi", "x", 9),
+        "grain_closeness(y, 2, 0.3)": M.closeness(y, 2.0),
+    }
+    assert len(pairs) == len(names)
+    for text, builder in pairs.items():
+        a = [r[0] for r in spark.sql(f"SELECT {text} FROM odd_values").collect()]
+        assert a == [r[0] for r in df.select(builder).collect()], text
