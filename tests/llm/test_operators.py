@@ -686,6 +686,25 @@ def test_secrets_held_out(spark):
     assert plain.where("is_secret").count() / plain.count() < 0.02
 
 
+def test_secrets_of_other_forms(spark):
+    """Assigned passwords without a digit or of few characters are candidates; placeholders, digests and addresses are turned down."""
+    rows = [(1, "the password = kXwQpLmVtR! and more"), (2, 'api_key: "Zq8#vT1$"'), (3, "commit 3f786850e387550fdab836ed7e6dc881de23001b of the file"), (4, "password = changeme for now"), (5, "write to anna.bell22@mail.com soon"),
+            (6, "token = 9f86d081884c7d659a2feaa0c55ad015"), (7, "no secrets in this line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r.is_secret for r in secrets.scan(df).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    folder = [r for r in secrets.scan(df).columns]
+    assert "secret_" not in folder and "before" not in folder
+
+
+def test_secrets_learn_from_reviewed_findings(spark):
+    rows = [(i, f"ticket number {10**11 + 7919 * i}x is open") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    reviewed = df.select("doc_id", F.lit(14).cast("long").alias("start"), F.lit(1).alias("label"))
+    assert secrets.scan(df, reviewed).where("held_out and is_secret").count() > 0
+    assert secrets.scan(df).where("held_out and is_secret").count() == 0
+
+
 def test_secrets_odd_rows(spark, odd):
     assert secrets.scan(odd).count() == 0
     assert secrets.scan(odd.limit(0)).count() == 0
