@@ -48,3 +48,19 @@ def drop_by_prefix(df: DataFrame, column: str, prefixes: Sequence[str]) -> DataF
 def extract_dictionary(df: DataFrame, column: str, rules: Mapping[str, Sequence[str]]) -> DataFrame:
     """df with labels: the sorted distinct names whose terms occur in the text."""
     return df.withColumn("labels", F.array_sort(C.tag_keywords(F.col(column), list(rules.items()))))
+
+
+def extract_named(df: DataFrame, column: str, entries: Sequence[tuple[str, str, Sequence[str]]], endings: str) -> DataFrame:
+    """df with labels and names (sorted distinct arrays) of the entries (label, name, patterns) found in a text, in any case.
+
+    The name is put together from what was found: if the first pattern's match holds one of the endings (a pattern of one group), the entry's first word
+    and that ending; else the entry's own name. Null texts give empty arrays. For dictionaries of any size in a table, see phrase_spans().
+    """
+    text = F.coalesce(F.col(column), F.lit(""))
+    cells = []
+    for label, name, patterns in entries:
+        found = F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in patterns])
+        ending = F.nullif(F.lower(F.regexp_extract(found, f"(?i){endings}", 1)), F.lit(""))
+        cells.append(F.when(found.isNotNull(), F.struct(F.lit(label).alias("label"), F.coalesce(F.concat(F.lit(name.split()[0] + " "), ending), F.lit(name)).alias("name"))))
+    hits = F.array_compact(F.array(*cells))
+    return df.withColumns({"labels": F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["label"]))), "names": F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["name"])))})

@@ -197,3 +197,13 @@ def mp15_extract_dictionary(spark, d):
     rules = {"apache license": ["apache license"], "mit license": ["mit license"], "public license": ["general public license"], "creative commons": ["cc by"]}
     found = reshape.extract_dictionary(table(spark, d, "documents"), "text", rules)
     return found.where(F.size("labels") > 0).select("doc_id", F.array_join("labels", "; ").alias("labels"))
+
+
+@query("""WITH m AS (SELECT doc_id, regexp_extract(lower(text), 'licen[sc]e(?:d)?(?: (?:version|under|terms))?', 0) AS a, regexp_extract(lower(text), 'password(?: (?:hash|reset))?|token', 0) AS b FROM documents),
+n AS (SELECT doc_id, CASE WHEN a = '' THEN NULL WHEN regexp_matches(a, 'version|under|terms') THEN 'license ' || regexp_extract(a, 'version|under|terms', 0) ELSE 'license text' END AS x, CASE WHEN b = '' THEN NULL WHEN regexp_matches(b, 'hash|reset') THEN 'password ' || regexp_extract(b, 'hash|reset', 0) ELSE 'password word' END AS y FROM m)
+SELECT doc_id, concat_ws('; ', CASE WHEN x IS NOT NULL THEN 'legal' END, CASE WHEN y IS NOT NULL THEN 'secret' END) AS labels, concat_ws('; ', x, y) AS names FROM n""")
+def mp15_extract_named(spark, d):
+    """Names put together from the words found."""
+    entries = [("legal", "license text", ["licen[sc]e(?:d)?(?: (?:version|under|terms))?"]), ("secret", "password word", ["password(?: (?:hash|reset))?|token"])]
+    found = reshape.extract_named(table(spark, d, "documents"), "text", entries, r"\b(version|under|terms|hash|reset)\b")
+    return found.select("doc_id", F.array_join("labels", "; ").alias("labels"), F.array_join("names", "; ").alias("names"))

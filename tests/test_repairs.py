@@ -12,6 +12,7 @@ from graintable.operators import aggregates as A
 from graintable.operators import extract as X
 from graintable.operators import modelling as M
 from graintable.operators import relational as R
+from graintable.operators import reshape
 from graintable.operators.quantiles import quantiles
 from graintable.sources import files as S
 from graintable.streaming import incremental as I
@@ -153,3 +154,10 @@ def test_sql_functions_equal_the_builders(spark):
     for text, builder in pairs.items():
         a = [r[0] for r in spark.sql(f"SELECT {text} FROM odd_values").collect()]
         assert a == [r[0] for r in df.select(builder).collect()], text
+
+
+def test_names_are_put_together_from_what_was_found(spark):
+    entries = [("A", "oak board", [r"oak (?:board|beam)s?", "quercus"]), ("B", "pine board", [r"pine (?:board|beam)s?"])]
+    df = frame(spark, [(1, "Oak beams on pine boards"), (2, "quercus"), (3, None), (4, "oaken")], "k int, t string")
+    got = {r.k: (r.labels, r.names) for r in reshape.extract_named(df, "t", entries, "(board|beam)").collect()}
+    assert got == {1: (["A", "B"], ["oak beam", "pine board"]), 2: (["A"], ["oak board"]), 3: ([], []), 4: ([], [])}
