@@ -166,8 +166,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.col("_row")[text_col]
     joined = here.join(right, F.col("_row")[id_col].eqNullSafe(F.col("_gid")) & (F.col("_gt") == F.col("_gth")), "left")
     parts = F.split(body, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))  # by a hash set, in order
-    rest = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+    # positions by a hash set, in order; in a lambda, so that a text is split once and not for each line
+    left = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: F.get(p, i))
+    rest = F.array_join(F.transform(F.array(parts), left)[0], "\n")
     text = F.when(F.col("_gone").isNull(), body).otherwise(rest)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept_columns if c not in ("n_lines_", "n_dropped_")],
