@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +79,20 @@ def one_text(docs: DataFrame, id_col: str, text_col: str, max_chars: int) -> Dat
     """id_col, _t: one text an id among those of at most max_chars characters, that with the least hash; an id that is repeated very often stays one row."""
     rows = docs.select(id_col, F.col(text_col).alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
     return rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("_t"), F.col("_t"))).alias("_x")).select(id_col, F.col("_x._t").alias("_t"))
+
+
+def release() -> None:
+    """Give what a worker has freed back to the system: workers live on, and others of their executor need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and release() at its end."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole

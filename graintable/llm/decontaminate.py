@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graintable.llm.common import materialize, table
+from graintable.llm.common import giving_back, materialize, table
 
 TOKEN = re.compile(r"\w+")
 #: Bits of the seed filter: 8 MB, whatever the benchmark's size. It only spares work; a fuller one lets more through.
@@ -198,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(ids, whole.schema.field(0).type), pa.array(toks, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], ["_id", "tokens", "hits"])
 
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).where("_t is not null")
-    near = materialize(source.mapInArrow(search, f"_id {id_type}, tokens binary, hits array<long>")
+    near = materialize(source.mapInArrow(giving_back(search), f"_id {id_type}, tokens binary, hits array<long>")
                        .withColumn("_doc", F.xxhash64("_id", "tokens")), "decon-hits").dropDuplicates(["_doc"])
     hits = near.select("_doc", F.explode("hits").alias("seed"))
     spread = hits.groupBy("seed").agg(F.count("*").alias("docs"))

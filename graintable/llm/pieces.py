@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import materialize, materialize_bucketed, table
+from graintable.llm.common import giving_back, materialize, materialize_bucketed, release, table
 
 SPACE = "▁"
 #: An edge of the lattice has a weight and a long: end (32 bits), length (7 bits), piece id (24 bits). A step is the long's lower 31 bits.
@@ -322,7 +322,7 @@ def number_units(docs: DataFrame, pieces: Pieces, known: list[str], id_col: str,
                 yield some(names, texts, part, kind_)
                 have += size
 
-    return source.mapInArrow(run, f"block long, names array<{kind}>, counts array<long>, crcs array<long>, numbers binary, first int, units array<string>")
+    return source.mapInArrow(giving_back(run), f"block long, names array<{kind}>, counts array<long>, crcs array<long>, numbers binary, first int, units array<string>")
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000,
@@ -385,7 +385,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 if check:
                     columns.append(pa.array([zlib.crc32(t.encode()) == c for t, c in zip(back.value.decode(ids, np.diff(borders)), columns[3].to_pylist(), strict=True)], pa.bool_()))
                 parts.append(pa.table(columns, names))
-        pa.default_memory_pool().release_unused()
+        release()
         kinds = [left.schema.field("names").type.value_type, pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in kinds[:len(names)]], names)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import bounded_sample, materialize, table
+from graintable.llm.common import bounded_sample, giving_back, materialize, table
 from graintable.llm.components import connected_components
 
 BITS = 64
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(x.as_py(), width) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), schema)
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:

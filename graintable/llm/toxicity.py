@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintable.llm.common import bounded_sample, id_crc, one_text, table
+from graintable.llm.common import bounded_sample, giving_back, id_crc, one_text, table
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 # Closed word classes of the grammar; insults are learned from the labels.
@@ -239,7 +239,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                                                  [*names, "tox_score", "tox_clauses"])
 
     schema = docs.withColumns({"tox_score": F.lit(0.0), "tox_clauses": F.lit(0).cast("long")}).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
