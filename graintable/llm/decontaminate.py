@@ -232,4 +232,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents that cover items of benchmark, one row a pair; odd rows: see contaminated."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

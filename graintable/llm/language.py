@@ -129,6 +129,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with held_out, lang_pred and score; odd rows: see identify."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language(docs)
     return identify(docs.select("doc_id", "text"), model).select(

@@ -177,5 +177,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their kept lines, n_lines and n_dropped; odd rows: see dedup_lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).withColumnsRenamed({"n_lines_": "n_lines", "n_dropped_": "n_dropped"})

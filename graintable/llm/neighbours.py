@@ -207,5 +207,6 @@ def nearest_of_length(fine: DataFrame, asked: DataFrame, k: int, trees: int, sam
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of embeddings for each whose vec_id is divisible by 100; odd rows: see nearest."""
     base = table(spark, sf_dir, "embeddings")
     return nearest(base, base.where("vec_id % 100 = 0"))

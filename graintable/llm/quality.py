@@ -141,6 +141,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with held_out, score and predicted (0.3 or more); odd rows: see score_quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select(

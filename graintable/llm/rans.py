@@ -430,6 +430,7 @@ def read_ids(spark: SparkSession, folder: str, id_col: str = "doc_id", with_ids:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of documents written and read back: doc_id, start, n_tokens, ids_crc32 (nulls, ties and repeated rows: see write_ids)."""
     folder = new_path(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), folder)
     return read_ids(spark, folder, with_ids=False)

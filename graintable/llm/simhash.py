@@ -254,5 +254,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with fingerprint (16 hex digits) and component_id; odd rows: see near_duplicates."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -243,6 +243,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with held_out, score, predicted (0.5 or more) and n_clauses; odd rows: see score_toxicity."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select(
