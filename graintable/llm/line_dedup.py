@@ -83,8 +83,6 @@ def templates(members: DataFrame, similarity: float, lead: int) -> DataFrame:
         found = step if found is None else found.unionByName(step)
         rest = rest.join(step, ["k1", "k2"], "left_anti")
         rest = materialize(rest.select(*members.columns), "line-rest")
-        several = materialize(rest.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"), "line-leaves")
-        rest = materialize(rest.join(several, "leaf", "left_semi").select(*members.columns), "line-rest")
         parts = materialize(line_parts(rest, similarity, lead), "line-parts")
         crowded = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
         rows, pairs = crowded.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
