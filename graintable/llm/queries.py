@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graintable.llm import urls
 from graintable.llm.decontaminate import op10_decontamination
 from graintable.llm.language import op8_language
 from graintable.llm.line_dedup import op4_line_dedup
@@ -16,6 +17,7 @@ from graintable.llm.rans import op1_token_ids
 from graintable.llm.secrets import op3_secrets
 from graintable.llm.simhash import op9_simhash
 from graintable.llm.toxicity import op5_toxicity
+from graintable.llm.urls import op12_url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +39,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op12_url_filter": op12_url_filter,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_url_filter": urls.SQL}
