@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graintable.llm import urls
+from graintable.llm import conversations, urls
+from graintable.llm.conversations import op11_conversation_repair
 from graintable.llm.decontaminate import op10_decontamination
 from graintable.llm.language import op8_language
 from graintable.llm.line_dedup import op4_line_dedup
@@ -39,10 +40,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_url_filter": op12_url_filter,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_url_filter": urls.SQL}
+    return {"op11_conversation_repair": conversations.SQL, "op12_url_filter": urls.SQL}
