@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graintable.llm import conversations, urls
+from graintable.llm import conversations, lexical, urls
 from graintable.llm.conversations import op11_conversation_repair
 from graintable.llm.decontaminate import op10_decontamination
 from graintable.llm.language import op8_language
+from graintable.llm.lexical import op13_lexical_search
 from graintable.llm.line_dedup import op4_line_dedup
 from graintable.llm.neighbours import op6_neighbours
 from graintable.llm.pieces import op7_sentencepiece
@@ -42,9 +43,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_url_filter": op12_url_filter,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_conversation_repair": conversations.SQL, "op12_url_filter": urls.SQL}
+    return {"op11_conversation_repair": conversations.SQL, "op12_url_filter": urls.SQL, "op13_lexical_search": lexical.SQL}
