@@ -48,12 +48,13 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, x: a row for each value of the columns, as double."""
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_")).select("_.*")
+    """column, x: a row for each value of the columns, as double; NaN is missing, as null is."""
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("x")) for c in columns])).alias("_")).select("_.*")
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """column, n, mean, median, q1, q3, least, greatest, deviation; quantiles are exact at any size (see quantiles())."""
+    """column, n, mean, median, q1, q3, least, greatest, deviation; NaN is missing, as null is. Quantiles are exact at any size (see quantiles())."""
     rows = long_form(df, columns)
     stats = rows.groupBy("column").agg(F.count("x").alias("n"), F.round(F.avg("x"), digits).alias("mean"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.round(F.stddev_samp("x"), digits).alias("deviation"))
     q = quantiles(rows, "x", [0.25, 0.5, 0.75], ["column"])

@@ -14,11 +14,11 @@ from graintable.sources.files import materialize
 def numbered_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """by, column, _n, _before, _total: each distinct value's count, the rows of its group below it, and all rows of its group.
 
-    Nulls don't count. Values are dealt by range; only one number per group and range meets in a task, so neither a large group nor many
+    Nulls and NaN don't count. Values are dealt by range; only one number per group and range meets in a task, so neither a large group nor many
     distinct values gather. The dealt counts are written once, so all that follows sees the same borders.
     """
     by = list(by)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    counts = df.where(known(df, column)).groupBy(*by, column).agg(F.count("*").alias("_n"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = materialize(counts.repartitionByRange(n, *by, column).withColumn("_p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_p", *by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
@@ -29,6 +29,12 @@ def numbered_values(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
     return own.join(sizes.withColumnRenamed("_p", "_q"), (F.col("_p") == F.col("_q")) & _same(by)).select(*by, column, "_n", (F.col("_base") + F.col("_own")).alias("_before"), "_total")
 
 
+def known(df: DataFrame, column: str) -> Column:
+    """Whether a value counts: null and NaN are missing ones."""
+    c = F.col(column)
+    return c.isNotNull() & ~F.isnan(c) if df.select(column).schema[0].dataType.typeName() in ("float", "double") else c.isNotNull()
+
+
 def _same(by: Sequence[str]) -> Column:
     out = F.lit(True)
     for i, c in enumerate(by):

@@ -137,14 +137,16 @@ def flag_in(df: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
 def recover(df: DataFrame, key: str, column: str, cache: DataFrame, texts: DataFrame, tags: DataFrame, by_section: Column, by_text: Column, common: Sequence[str] = ()) -> DataFrame:
     """Value 'other' is replaced by the cache's, else the section rule's, else the whole text's, else a single tag, else 'unidentified'.
 
-    A whole text names `common` values for many reasons: such a hit counts only where no tag is known. Keys that occur
-    several times in cache, texts or tags count once, by the greatest value.
+    by_section and by_text are columns of texts. A whole text names `common` values for many reasons: such a hit counts only where no tag
+    is known. Keys that occur several times in cache, texts or tags count once, by the greatest value.
     """
     caches = one_per_key(cache, key, ["value"]).withColumnRenamed("value", "_cache")
     tagged = one_per_key(tags, key, ["tag"]).withColumnRenamed("tag", "_tag")
-    joined = df.join(caches, key, "left").join(one_per_key(texts, key, [c for c in texts.columns if c != key]), key, "left").join(tagged, key, "left")
-    distinctive = F.when(by_text.isin(list(common)), F.lit(None)).otherwise(by_text) if common else by_text
-    found = F.coalesce("_cache", by_section, distinctive, "_tag", by_text, F.lit("unidentified"))
+    # the rules are worked out where the texts are read; labels, not texts, go into the aggregation
+    ruled = one_per_key(texts.select(key, by_section.alias("_section"), by_text.alias("_text")), key, ["_section", "_text"])
+    joined = df.join(caches, key, "left").join(ruled, key, "left").join(tagged, key, "left")
+    distinctive = F.when(F.col("_text").isin(list(common)), F.lit(None)).otherwise(F.col("_text")) if common else F.col("_text")
+    found = F.coalesce("_cache", "_section", distinctive, "_tag", "_text", F.lit("unidentified"))
     return joined.withColumn(column, F.when(F.col(column) == "other", found).otherwise(F.col(column))).select(*df.columns)
 
 
@@ -191,21 +193,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def dedup_two_keys(df: DataFrame, first: str, second: str, order: Sequence[Column], junk: Column | None = None) -> DataFrame:
-    """First row of each first key, then of each non-empty second key; rows without the second key stay. Rows that are junk go first, so they never claim a key.
-
-    The second key may be a long text: rows are compared by its 128-bit digest.
-    """
-    if junk is not None:
-        df = df.where(~F.coalesce(junk, F.lit(False)))
-    once = first_per_key(df, [first], order)
-    empty = F.coalesce(F.col(second), F.lit("")) == ""
-    return first_per_key(once.where(~empty).withColumn("_k2", F.md5(F.col(second).cast("string"))), ["_k2"], order).drop("_k2").unionByName(once.where(empty))
-
-
 def dedup_by_title(df: DataFrame, title: str, order: Sequence[Column]) -> DataFrame:
-    """First row of each title, compared by its letters and digits in lower case."""
-    return first_per_key(df.withColumn("_h", F.md5(F.regexp_replace(F.lower(title), "[^a-z0-9]", ""))), ["_h"], order).drop("_h")
+    """First row of each title, compared by its letters and digits of all scripts in lower case; rows whose title has none, or is null, all stay."""
+    bare = F.coalesce(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    keyed = df.withColumn("_h", F.when(bare != "", F.md5(bare)))
+    return first_per_key(keyed.where("_h is not null"), ["_h"], order).unionByName(keyed.where("_h is null")).drop("_h")
 
 
 def diverse_top_k(df: DataFrame, score: Column, groups: Sequence[str], per: int, k: int, tie: str) -> DataFrame:

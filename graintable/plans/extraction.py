@@ -52,16 +52,6 @@ def tx5_extract_in_context(spark, d):
     return X.extract_in_context(docs(spark, d), "doc_id", "text", "([0-9]{3,16})", [("mail", "example"), ("plain", "the|der|le")], "AKIA")
 
 
-@query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS dried, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS calcined FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1""")
-def tx6_extract_staged(spark, d):
-    two = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(
-        F.max(F.when(F.col("l_linenumber") == 1, F.col("l_quantity").cast("int"))).alias("a"), F.max(F.when(F.col("l_linenumber") == 2, F.col("l_quantity").cast("int"))).alias("b"))
-    text = F.concat(F.lit("One batch, dried at "), F.coalesce(F.col("a").cast("string"), F.lit("some")), F.lit(" C overnight"),
-                    F.when(F.col("b").isNotNull(), F.concat(F.lit("; calcined at "), F.col("b").cast("string"), F.lit(" C."))).otherwise("."))
-    found = X.extract_staged(two.select("l_orderkey", text.alias("t")), "l_orderkey", "t", [("dried", "dried"), ("calcined", "calcined")], r"([0-9]+) C")
-    return found
-
-
 @query("SELECT l_orderkey, arg_min(CAST(l_quantity AS INTEGER), (l_linenumber, l_quantity)) FILTER (l_linenumber % 2 = 1)::DOUBLE AS proofed, arg_min(CAST(l_quantity AS INTEGER), (l_linenumber, l_quantity)) FILTER (l_linenumber % 2 = 0)::DOUBLE AS baked FROM lineitem GROUP BY 1")
 def tx6_staged_of_all_lines(spark, d):
     """All lines of an order in one text, a clause each; the first clause of a stage counts."""
@@ -102,15 +92,9 @@ def rebuilt(texts):
     return index.select("doc_id", F.md5(C.reconstruct_text(F.col("m"))).alias("rebuilt"))
 
 
-@query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r]+') IF x <> ''], ' ')) AS rebuilt FROM documents WHERE n_chars < 3000")
-def tx10_reconstruct_text(spark, d):
-    """Built from the words' positions and put together again; short documents have the inverted index of a record's abstract."""
-    return rebuilt(docs(spark, d).where("n_chars < 3000"))
-
-
 @query("SELECT doc_id, md5(array_to_string([x FOR x IN string_split_regex(lower(text), '[ \\t\\n\\r]+') IF x <> ''], ' ')) AS rebuilt FROM documents")
 def tx10_reconstruct_whole_text(spark, d):
-    """As tx10_reconstruct_text, over documents of all lengths."""
+    """Built from the words' positions, as the inverted index of a record's abstract has them, and put together again."""
     return rebuilt(docs(spark, d))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graintable.functions import columns as C
 from graintable.operators import aggregates as A
 from graintable.operators import relational as R
+from graintable.operators.dedup import dedup_two_keys
 from graintable.plans.base import query, table
 
 
@@ -282,7 +283,19 @@ def jn17_encode(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 OR text = ''")
 def wn1_dedup_two_keys(spark, d):
-    return R.dedup_two_keys(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", [F.col("doc_id")]).select("doc_id")
+    return dedup_two_keys(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ["doc_id"]).select("doc_id")
+
+
+_ROUND = """SELECT a, b, o, CASE WHEN o = m1 AND (b IS NULL OR o = m2) THEN 1 ELSE 0 END AS kept FROM (SELECT *, min(o) OVER (PARTITION BY a) AS m1, min(o) OVER (PARTITION BY b) AS m2 FROM {open})"""
+
+
+@query(f"""WITH RECURSIVE pairs AS (SELECT l_partkey AS a, CASE WHEN l_discount > 0 THEN l_suppkey END AS b, row_number() OVER (ORDER BY min((l_orderkey, l_linenumber, l_suppkey)), l_partkey) AS o FROM lineitem GROUP BY 1, 2),
+rounds AS (SELECT a, b, o, 0 AS kept FROM pairs UNION ALL SELECT a, b, o, kept FROM (SELECT *, max(kept) OVER (PARTITION BY a) AS gone1, CASE WHEN b IS NULL THEN 0 ELSE max(kept) OVER (PARTITION BY b) END AS gone2 FROM ({_ROUND.format(open="(SELECT a, b, o FROM rounds WHERE kept = 0)")})) WHERE kept = 1 OR gone1 + gone2 = 0)
+SELECT a AS l_partkey, b AS claimed FROM rounds WHERE kept = 1""")
+def wn1_greedy_two_keys(spark, d):
+    """Parts and suppliers matched in the order of lines: each part once, each supplier once; lines without a discount name no supplier."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_discount") > 0, F.col("l_suppkey")).alias("claimed"))
+    return dedup_two_keys(lines, "l_partkey", "claimed", ["l_orderkey", "l_linenumber", "l_suppkey"], small=1_000).select("l_partkey", "claimed")
 
 
 @query("SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 2 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
@@ -326,7 +339,7 @@ def wn8_upsert(spark, d):
     return R.upsert(daily, daily.join(least, "event_type", "left_semi").withColumn("n", F.lit(-1).cast("long")), ["date", "event_type"])
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query(r"SELECT doc_id FROM (SELECT doc_id, bare, row_number() OVER (PARTITION BY bare ORDER BY doc_id) AS r FROM (SELECT doc_id, coalesce(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), '') AS bare FROM documents)) WHERE r = 1 OR bare = ''")
 def wn9_dedup_by_title(spark, d):
     return R.dedup_by_title(table(spark, d, "documents").select("doc_id", "text"), "text", [F.col("doc_id")]).select("doc_id")
 

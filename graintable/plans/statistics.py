@@ -60,13 +60,6 @@ def ag8_histogram(spark, d):
     return A.histogram(table(spark, d, "events"), "value", [0, 20, 40, 60, 80, 100])
 
 
-@query("""WITH c AS (SELECT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS period, count(*) AS n FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1), s AS (SELECT CAST(unnest(range((SELECT min(period) FROM c), (SELECT max(period) FROM c) + 1)) AS INTEGER) AS period)
-SELECT period, coalesce(n, 0) AS n, period = (SELECT period FROM c ORDER BY n DESC, period LIMIT 1) AS peak FROM s LEFT JOIN c USING (period)""")
-def ag9_counts_with_gaps(spark, d):
-    orders = table(spark, d, "orders").where("o_custkey % 10 = 0")
-    return A.counts_with_gaps(orders, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")))
-
-
 @query("""WITH c AS (SELECT CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS period, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(range((SELECT min(period) FROM c), (SELECT max(period) FROM c) + 1)) AS INTEGER) AS period)
 SELECT period, coalesce(n, 0) AS n, period = (SELECT period FROM c ORDER BY n DESC, period LIMIT 1) AS peak FROM s LEFT JOIN c USING (period)""")
 def ag9_counts_of_all_orders(spark, d):
@@ -164,12 +157,6 @@ def ag22_interval_coverage(spark, d):
     return A.interval_coverage(lines(spark, d).withColumns({"lo": F.col("l_quantity") * 500, "hi": F.col("l_quantity") * 1500}), "l_extendedprice", "lo", "hi")
 
 
-@query("WITH c AS (SELECT l_partkey % 97 % 60 AS g FROM lineitem WHERE l_orderkey % 11 = 0), n AS (SELECT g, count(*) AS n FROM c GROUP BY 1) SELECT CASE WHEN n < 10 THEN 'other' ELSE CAST(g AS VARCHAR) END AS class, count(*) AS n FROM c JOIN n USING (g) GROUP BY 1 HAVING count(*) >= 10")
-def ag23_fold_rare(spark, d):
-    classes = lines(spark, d).where("l_orderkey % 11 = 0").select((F.col("l_partkey") % 97 % 60).cast("string").alias("class"))
-    return A.fold_rare(classes, "class", 10).groupBy("class").agg(F.count("*").alias("n"))
-
-
 @query("WITH n AS (SELECT l_partkey AS g, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN n < 30 THEN 'other' ELSE CAST(g AS VARCHAR) END AS class, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1")
 def ag23_fold_rare_parts(spark, d):
     """All lines by part: a part has 30 lines on the average at any size, those below fold."""

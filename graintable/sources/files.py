@@ -25,6 +25,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Successive:
+    """A table that is replaced round by round: each version is written and read back, then the one before goes, so a long run doesn't fill the shared folder."""
+
+    def __init__(self, tag: str):
+        self.tag, self.path = tag, ""
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = work_path(spark, self.tag)
+        df.write.parquet(self.path)
+        if old:
+            remove(spark, old)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of working files wherever Spark can write."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and unparsable ones are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -81,7 +102,7 @@ def read_latest(spark: SparkSession, pattern: str, fmt: str = "parquet") -> Data
 
 
 def write_corpus(df: DataFrame, path: str, key: str, text: str, *folders: str) -> None:
-    """A file a row, in folders named by folders and key, written by Spark's tasks; the file ends with a line end of its own."""
+    """A file a row, in folders named by folders and key, written by Spark's tasks; the file ends with a line end of its own. For fixtures: a folder a row suits no large table."""
     df.select(*folders, F.col(key), F.col(text).alias("value")).write.partitionBy(*folders, key).text(path)
 
 
