@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graintable.operators.intervals import overlaps
+
 SENTENCE = r"(?<=[.!?])\s+"
 
 
@@ -57,10 +59,28 @@ def spans(text: Column, pattern: str) -> Column:
     Matches are marked in place by two control characters (those of the text count as spaces) and cut there, so positions are those of the matches themselves.
     """
     marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), pattern, "\x01$0\x02")
-    parts = F.split(marked, "[\x01\x02]")
-    ends = F.aggregate(parts, F.expr("cast(array() as array<int>)"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
-    cells = F.zip_with(parts, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("stop"), x.alias("matched")))
-    return F.filter(cells, lambda x, i: i % 2 == 1)
+
+    def placed(parts: Column) -> Column:
+        cells = F.zip_with(parts, running_sums(F.transform(parts, lambda x: F.length(x))), lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("stop"), x.alias("matched")))
+        return F.filter(cells, lambda x, i: i % 2 == 1)
+
+    return F.transform(F.array(F.split(marked, "[\x01\x02]")), placed)[0]  # in a lambda, so that a text is split once
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's members up to each, in stretches of the root of its length, so that a long array isn't copied for each of its members."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def grown(acc: Column, x: Column) -> Column:
+        return F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)
+
+    def whole(a: Column) -> Column:
+        w = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        inner = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), w), lambda i: F.aggregate(F.slice(a, i + 1, w), none, grown))
+        before = lambda sums: F.aggregate(F.transform(sums, lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0))), F.array(F.lit(0)), grown)
+        return F.transform(F.array(inner(w)), lambda sums: F.flatten(F.zip_with(sums, F.slice(before(sums), 1, F.size(sums)), lambda s, o: F.transform(s, lambda x: x + o))))[0]
+
+    return F.transform(F.array(numbers), whole)[0]
 
 
 def typed_spans(df: DataFrame, id_col: str, text_col: str, kinds: Mapping[str, str]) -> DataFrame:
@@ -74,8 +94,19 @@ def typed_spans(df: DataFrame, id_col: str, text_col: str, kinds: Mapping[str, s
             F.regexp_extract(x["matched"], pattern, 1).try_cast("double").alias("value"), F.regexp_extract(x["matched"], pattern, 2).alias("unit")))
 
     found = F.flatten(F.array(*[of(i, k, p) for i, (k, p) in enumerate(kinds.items())]))
-    free = F.filter(F.col("_s"), lambda x: ~F.exists(F.col("_s"), lambda y: (y["rank"] < x["rank"]) & (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
-    return df.select(id_col, found.alias("_s")).select(id_col, F.explode(free).alias("x")).select(id_col, "x.type", "x.value", "x.unit", "x.start", "x.stop", "x.raw")
+    rows = df.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")).select(id_col, "_row", F.explode(found).alias("x")).select(id_col, "_row", "x.*")
+    if len(kinds) > 1:
+        # matches of a type don't overlap one another: of each earlier type only the last to start before and the next to start count
+        # (a frame that begins at the row and ends with the partition would be gone through for each row, so the line is taken backwards for it)
+        line, back = Window.partitionBy("_row").orderBy("start", "rank"), Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("rank"))
+        behind, ahead = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (line, back))
+        taken = F.lit(False)
+        for k in range(len(kinds) - 1):
+            own = lambda c: F.when(F.col("rank") == k, F.col(c))  # noqa: E731, B023
+            hit = F.coalesce(F.max(own("stop")).over(behind) > F.col("start"), F.lit(False)) | F.coalesce(F.min(own("start")).over(ahead) < F.col("stop"), F.lit(False))
+            taken = taken | ((F.col("rank") > k) & hit)
+        rows = rows.withColumn("_taken", taken).where(~F.col("_taken"))
+    return rows.select(id_col, "type", "value", "unit", "start", "stop", "raw")
 
 
 def ratio_spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
@@ -194,6 +225,7 @@ LINK_VALUE_FIRST, LINK_NAME_FIRST = 0.18, 0.10
 LINK_STOP, LINK_JOIN, LINK_OF, LINK_BRACKETS = -0.35, -0.12, 0.08, 0.12
 LINK_CLASS, LINK_SOLUTION = 0.06, 0.08
 LINK_LEAST = 0.45
+LINK_STOPS, LINK_JOINS, LINK_OFS, LINK_SOLUTIONS = r"[.;]", r"\b(and|or|then|after|before|while|which|that|with)\b", r"\bof\b", r"(?i)\bsolution\b"
 
 
 def scored_links(quantities: DataFrame, names: DataFrame, texts: DataFrame, id_col: str, text_col: str, dissolved: Sequence[str] = ("concentration",), classes: Sequence[str] = ()) -> DataFrame:
@@ -201,29 +233,38 @@ def scored_links(quantities: DataFrame, names: DataFrame, texts: DataFrame, id_c
 
     quantities(id_col, type, start, stop, ...) and names(id_col, name, category, start, stop) are spans with positions from 0; texts(id_col, text_col) has one text an id.
     A score falls with the distance, with stops and joining words between, and rises with "of", brackets and, for `dissolved` types,
-    with a category among classes and the word solution. Ties go to the name that starts closest behind the value, then to the first. Spans meet in an
-    equi-join on the id and the place's bucket, so no pair further apart than the greatest distance and a span's length arises.
+    with a category among classes and the word solution. Ties go to the name that starts closest behind the value, then to the first. What stands in and around a
+    span is cut from its text once; spans then meet by id and place, each in bins of its own size, so a long one widens no other's.
     """
+    reach = F.lit(LINK_DISTANCE)
     once = quantities.distinct()
-    size = F.greatest(F.max(F.col("stop") - F.col("start")), F.lit(1))
-    longest = max(once.agg(size).first()[0] or 1, names.agg(size).first()[0] or 1)
-    width = LINK_DISTANCE + int(longest)
-    q = once.select(id_col, F.struct(*once.columns).alias("q"), F.explode(F.array(*[F.floor(F.col("start") / width) + i for i in (-1, 0, 1)])).alias("_b"))
-    c = names.distinct().select(id_col, F.struct("name", "category", "start", "stop").alias("c"), F.floor(F.col("start") / width).alias("_b"))
+
+    def cut(spans: DataFrame, around: bool) -> DataFrame:
+        """With own, the span's text, and what stands up to the greatest distance before and after it."""
+        t, start, stop = F.col("_text"), F.col("start"), F.col("stop")
+        sides = {"_before": F.substring(t, F.greatest(start - reach, F.lit(0)) + 1, F.least(reach, start)), "_after": F.substring(t, stop + 1, reach)} if around else {}
+        return spans.join(texts.select(id_col, F.col(text_col).alias("_text")), id_col).select(*spans.columns, F.substring(t, start + 1, stop - start).alias("_own"), *[c.alias(n) for n, c in sides.items()])
+
+    q = cut(once, True).withColumns({"_from": F.col("start") - reach, "_to": F.col("stop") + reach})
+    c = cut(names.select(id_col, "name", "category", "start", "stop").distinct(), False)
     before, behind = F.col("c.start") - F.col("q.stop"), F.col("q.start") - F.col("c.stop")
-    pairs = q.join(c, [id_col, "_b"]).withColumn("distance", F.greatest(before, behind, F.lit(0))).where(F.col("distance") <= LINK_DISTANCE)
+    pairs = overlaps(q, c, [id_col], ("_from", "_to"), ("start", "stop")).select(id_col, F.col("a").alias("q"), F.col("b").alias("c"))
+    pairs = pairs.withColumn("distance", F.greatest(before, behind, F.lit(0)))
     pairs = pairs.withColumn("direction", F.when(before >= 0, "value first").when(behind >= 0, "name first").otherwise("overlap"))
-    pairs = pairs.join(texts.select(id_col, F.col(text_col).alias("_t")), id_col)
-    cut = lambda a, b: F.substring("_t", a + 1, F.greatest(b - a, F.lit(0)))
-    pairs = pairs.withColumns({"_between": F.lower(cut(F.least("q.stop", "c.stop"), F.greatest("q.start", "c.start"))), "_whole": cut(F.least("q.start", "c.start"), F.greatest("q.stop", "c.stop"))}).drop("_t")
+    gap = F.when(before >= 0, F.substring("q._after", 1, before)).when(behind >= 0, F.substring(F.col("q._before"), F.length("q._before") - behind + 1, behind)).otherwise("")
+    longer = lambda x, y: F.concat(F.col(f"{x}._own"), F.when(F.col(f"{y}.stop") > F.col(f"{x}.stop"), F.substring(F.col(f"{y}._own"), F.col(f"{x}.stop") - F.col(f"{y}.start") + 1, F.col(f"{y}.stop") - F.col(f"{x}.stop"))).otherwise(""))
+    whole = (F.when(before >= 0, F.concat("q._own", "_gap", "c._own")).when(behind >= 0, F.concat("c._own", "_gap", "q._own"))
+             .when(F.col("q.start") <= F.col("c.start"), longer("q", "c")).otherwise(longer("c", "q")))
+    pairs = pairs.withColumn("_gap", gap).withColumns({"_between": F.lower("_gap"), "_whole": whole})
     add = lambda rule, x: F.when(rule, x).otherwise(0.0)
     fits = F.col("q.type").isin(list(dissolved))
     score = (1.0 - F.col("distance") / LINK_DISTANCE * LINK_FAR + add(F.col("direction") == "value first", LINK_VALUE_FIRST) + add(F.col("direction") == "name first", LINK_NAME_FIRST)
-             + add(F.col("_between").rlike("[.;]"), LINK_STOP) + add(F.col("_between").rlike(r"\b(and|or|then|after|before|while|which|that|with)\b"), LINK_JOIN) + add(F.col("_between").rlike(r"\bof\b"), LINK_OF)
-             + add(F.contains("_whole", F.lit("(")) & F.contains("_whole", F.lit(")")), LINK_BRACKETS) + add(fits & F.col("c.category").isin(list(classes)), LINK_CLASS) + add(fits & F.col("_whole").rlike(r"(?i)\bsolution\b"), LINK_SOLUTION))
+             + add(F.col("_between").rlike(LINK_STOPS), LINK_STOP) + add(F.col("_between").rlike(LINK_JOINS), LINK_JOIN) + add(F.col("_between").rlike(LINK_OFS), LINK_OF)
+             + add(F.contains("_whole", F.lit("(")) & F.contains("_whole", F.lit(")")), LINK_BRACKETS) + add(fits & F.col("c.category").isin(list(classes)), LINK_CLASS) + add(fits & F.col("_whole").rlike(LINK_SOLUTIONS), LINK_SOLUTION))
     pairs = pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= LINK_LEAST)
+    own = F.struct(*[F.col(f"q.`{x}`") for x in once.columns])
     order = F.struct((-F.col("score")).alias("s"), F.abs(F.col("c.start") - F.col("q.stop")).alias("d"), F.col("c.start"), F.col("c.name"), F.col("c.category"))
-    best = pairs.groupBy(id_col, "q").agg(F.min_by(F.struct("c.name", "c.category", "direction", "distance", "score"), order).alias("x"))
+    best = pairs.groupBy(id_col, own.alias("q")).agg(F.min_by(F.struct("c.name", "c.category", "direction", "distance", "score"), order).alias("x"))
     return best.select("q.*", "x.*")
 
 

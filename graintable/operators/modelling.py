@@ -15,9 +15,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graintable.operators.aggregates import long_form, regression_metrics, same_keys
-from graintable.operators.quantiles import quantiles
+from graintable.operators.aggregates import regression_metrics, same_keys
+from graintable.operators.intervals import overlaps
+from graintable.operators.quantiles import known, numbered_values, quantiles
 from graintable.operators.relational import assign_ids
 from graintable.sources.files import materialize
 
@@ -105,38 +107,96 @@ def permutation_importance(model: PipelineModel, held_out: DataFrame, target: st
     return spark.createDataFrame(out, "column string, importance double")
 
 
-def generate_candidates(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, low: float = 0.05, high: float = 0.95, weighted: bool = False) -> DataFrame:
-    """candidate (from 0) and n rows: numbers uniform between two quantiles, categories over all known values, uniformly or by how often they occur (weighted).
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number from 0 up to 1 that hangs on the seed and the keys only, so a task that runs again draws the same."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**53)) / F.lit(float(2**53))
+
+
+def draw_values(draws: DataFrame, df: DataFrame, column: str, by: Sequence[str] = (), u: str = "u", weighted: bool = False, top: int | None = None, extra: str | None = None) -> DataFrame:
+    """draws(by, u, ...) with a value of df's column for each, null if the group has none; u is uniform from 0 up to 1.
+
+    Each distinct value of the draw's group is as likely as another, or as often as it occurs (weighted); only the `top` most frequent ones count if given (ties by
+    value), and `extra` is one value more that is as likely as each of them (or, weighted, as one row). NaN and null are no values, a null group has none.
 
-    Values are numbered in their order (by summed counts if weighted) and drawn by a join on the number, so there may be any number of them.
+    A value holds the places from those before it in its group's order up to its own count, a draw asks for one place: they meet in a join of
+    intervals, so a value costs the same however often it occurs, and no row holds its places.
     """
-    spark = df.sparkSession
-    q = {r["column"]: r["q"] for r in quantiles(long_form(df, numeric), "x", [low, high], ["column"]).collect()}  # a row a column
-    out = spark.range(n).withColumnRenamed("id", "candidate")
-    for i, c in enumerate(numeric):
-        a, b = q.get(c) or (None, None)
-        out = out.withColumn(c, F.lit(a).cast("double") + F.rand(seed + i) * (F.lit(b) - F.lit(a)) if a is not None else F.lit(None).cast("double"))
+    by = list(by)
+    has_group = F.lit(True)
+    for c in by:
+        has_group = has_group & F.col(c).isNotNull()
+    if column in draws.columns:
+        draws = draws.drop(column)
+    rows = df.where(has_group & known(df, column)).select(*by, F.col(column).alias("_value"))
+    if top is not None:
+        counts = rows.groupBy(*by, "_value").agg(F.count("*").alias("_n"))
+        if by:
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_n"), "_value"))  # of distinct values, of which each task passes on `top` at most
+            best = counts.withColumn("_r", rank).where(F.col("_r") <= top)
+        else:
+            best = counts.orderBy(F.desc("_n"), "_value").limit(top)
+        rows = rows.join(best.select(*by, "_value"), [*by, "_value"], "left_semi")
+    if extra is not None:
+        rows = rows.unionByName(draws.where(has_group).select(*by).distinct().withColumn("_value", F.lit(extra)) if by else rows.sparkSession.range(1).select(F.lit(extra).alias("_value")))
+    values = numbered_values(rows if weighted else rows.distinct(), "_value", by)
+    values = materialize(values.select(*by, "_value", F.col("_before").alias("_first"), (F.col("_before") + F.col("_n") - 1).alias("_last"), "_total"), "values")
+    totals = values.groupBy(*by).agg(F.max("_total").alias("_total"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in draws.columns])
+    asked = draws.select(*by, F.col(u).alias("_u"), whole.alias("_draw"))
+    asked = asked.join(totals, by, "left") if by else asked.crossJoin(F.broadcast(totals))  # one row
+    placed = asked.withColumn("_at", F.least(F.floor(F.col("_u") * F.col("_total")), F.col("_total") - 1).cast("long"))
+    found = overlaps(values.drop("_total"), placed.where("_at is not null"), by, ("_first", "_last"), ("_at", "_at"))
+    none = placed.where("_at is null").select("_draw.*", F.lit(None).cast(values.schema["_value"].dataType).alias(column))
+    return found.select("b._draw.*", F.col("a._value").alias(column)).unionByName(none)
+
+
+Ranges = Mapping[str, tuple[str, Mapping[str, tuple[float, float]], tuple[float, float] | None]]
+
+
+def _drawn(out: DataFrame, df: DataFrame, by: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], seed: int, low: float, high: float, weighted: bool, pools: Mapping[str, int], extra: Mapping[str, str], ranges: Ranges, choices: Mapping[str, Sequence]) -> DataFrame:
+    """out(by, candidate) with a column for each of categorical, choices, ranges and numeric."""
+    draw = lambda i: uniform(seed + i, *[F.col(c) for c in by], F.col("candidate"))
     for i, c in enumerate(categorical):
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        rows = counts.select(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") if weighted else F.lit(1).cast("long"))).alias("_u"))
-        numbered = materialize(assign_ids(rows, spark.createDataFrame([], "id long"), "id", c, "_k").select(c, "_k"), "values")
-        size = numbered.count()
-        out = out.withColumn("_k", F.floor(F.rand(seed + 100 + i) * max(size, 1)).cast("long") + 1)
-        out = materialize(out, "draws").join(numbered, "_k", "left").drop("_k")
+        out = materialize(draw_values(out.withColumn("_u", draw(100 + i)), df, c, by, "_u", weighted, pools.get(c), extra.get(c)).drop("_u"), "draws")
+    for i, (c, values) in enumerate(choices.items()):
+        out = out.withColumn(c, F.get(F.array(*[F.lit(v) for v in values]), F.floor(draw(200 + i) * len(values)).cast("int")))
+    for i, c in enumerate(numeric):
+        if c in ranges:
+            of, known_ranges, default = ranges[c]
+            ends = F.create_map(*[x for k, r in known_ranges.items() for x in (F.lit(k), F.array(F.lit(float(r[0])), F.lit(float(r[1]))))]) if known_ranges else F.lit(None).cast("map<string,array<double>>")
+            other = F.array(*[F.lit(float(x)) for x in default]) if default else F.lit(None).cast("array<double>")
+            out = out.withColumn("_q", F.coalesce(F.try_element_at(ends, F.col(of)), other))
+        else:
+            q = quantiles(df.select(*by, F.col(c).cast("double").alias("_x")), "_x", [low, high], by, "_q")
+            out = out.join(q, list(by), "left") if by else out.crossJoin(F.broadcast(q))  # one row
+        a, b = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+        out = out.withColumn(c, a + draw(i) * (b - a)).drop("_q")
     return out
 
 
-def candidate_pools(df: DataFrame, by: str, methods: DataFrame, n: int, k: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, score: Column, limit: int = 50) -> DataFrame:
-    """For each of at most `limit` methods(by): n weighted candidates from its own rows, the k with the best score (ties by number)."""
-    names = [r[0] for r in methods.select(by).distinct().orderBy(by).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} methods")
-    out = None
-    for i, m in enumerate(names):
-        pool = generate_candidates(df.where(F.col(by) == m), n, numeric, categorical, seed + 1000 * i, weighted=True).withColumn(by, F.lit(m))
-        best = pool.withColumn("score", score).orderBy(F.desc("score"), "candidate").limit(k)
-        out = best if out is None else out.unionByName(best)
-    return out
+def generate_candidates(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, low: float = 0.05, high: float = 0.95, weighted: bool = False, pools: Mapping[str, int] | None = None,
+                        extra: Mapping[str, str] | None = None, ranges: Ranges | None = None, choices: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """candidate (from 0) and n rows: numbers uniform between two quantiles, categories over all known values, uniformly or by how often they occur (weighted).
+
+    pools: a column to how many of its most frequent values are drawn from; extra: a column to one value more (see draw_values). ranges: a numeric column to (a
+    categorical column, that one's value to least and greatest, those of all other values or None), which stand for the quantiles. choices: a further column to
+    the list of its values. The same seed draws the same rows.
+    """
+    out = df.sparkSession.range(n).withColumnRenamed("id", "candidate")
+    return _drawn(out, df, [], numeric, categorical, seed, low, high, weighted, pools or {}, extra or {}, ranges or {}, choices or {})
+
+
+def candidate_pools(df: DataFrame, by: str, methods: DataFrame, n: int, k: int, numeric: Sequence[str], categorical: Sequence[str], seed: int, score: Column, pools: Mapping[str, int] | None = None,
+                    extra: Mapping[str, str] | None = None, ranges: Ranges | None = None, choices: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """For each of methods(by), as many as there are: n weighted candidates from its own rows, the k with the best score (ties by number); the rest as in generate_candidates().
+
+    All methods are drawn for at once, by joins on the method. A method without rows of its own has candidates without values; a null one has none.
+    """
+    each = methods.where(F.col(by).isNotNull()).select(by).distinct()
+    out = each.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).where(F.col("candidate").between(0, n - 1))
+    scored = _drawn(out, df, [by], numeric, categorical, seed, 0.05, 0.95, True, pools or {}, extra or {}, ranges or {}, choices or {}).withColumn("score", score)
+    best = Window.partitionBy(by).orderBy(F.desc("score"), "candidate")
+    return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
 def closeness(p: Column, target: float, width: float = 0.3) -> Column:

@@ -109,6 +109,32 @@ def ml7_candidate_pools(spark, d):
     return pools.join(own, ["p_type", "p_brand"], "left").groupBy("p_type").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
 
 
+_DRAWS = "SELECT o_orderkey, ['A', 'N', 'R'][1 + o_orderkey % 3] AS l_returnflag, (o_orderkey % 9973 + 0.5) / 9973.0 AS u FROM orders"
+
+
+def draws(spark, d):
+    """A place from 0 up to 1 within one of three groups for each order."""
+    flag = F.get(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("o_orderkey") % 3).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", flag.alias("l_returnflag"), ((F.col("o_orderkey") % 9973 + F.lit(0.5)) / F.lit(9973.0)).alias("u"))
+
+
+@query(f"""WITH d AS ({_DRAWS}), v AS (SELECT l_returnflag, l_partkey, sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_partkey) AS upto, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT l_returnflag, count(*) AS total FROM lineitem GROUP BY 1)
+SELECT o_orderkey, l_partkey FROM d JOIN t USING (l_returnflag) JOIN v ON v.l_returnflag = d.l_returnflag AND floor(u::DOUBLE * total) < upto AND floor(u::DOUBLE * total) >= upto - n""")
+def ml7_weighted_draws(spark, d):
+    """A part for each order, drawn as often as the group's lines have it."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_partkey")
+    return M.draw_values(draws(spark, d), lines, "l_partkey", ["l_returnflag"], weighted=True).select("o_orderkey", "l_partkey")
+
+
+@query(f"""WITH d AS ({_DRAWS}), c AS (SELECT l_returnflag, CAST(l_suppkey AS VARCHAR) AS supplier, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT l_returnflag, supplier FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, supplier) AS r FROM c) WHERE r <= 7
+UNION ALL SELECT DISTINCT l_returnflag, 'unknown' FROM lineitem), v AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY supplier) - 1 AS i FROM b)
+SELECT o_orderkey, supplier FROM d JOIN v ON v.l_returnflag = d.l_returnflag AND i = floor(u::DOUBLE * 8)""")
+def ml7_draws_of_the_most_frequent(spark, d):
+    """A supplier for each order from its group's seven most frequent ones and 'unknown', all as likely."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("supplier"))
+    return M.draw_values(draws(spark, d), lines, "supplier", ["l_returnflag"], top=7, extra="unknown").select("o_orderkey", "supplier")
+
+
 @query("SELECT p_partkey, round(exp(-((ln(p_retailprice) - ln(1200.0)) * (ln(p_retailprice) - ln(1200.0))) / (2 * 0.3 * 0.3)) * (p_size / 50.0), 8) AS score FROM part ORDER BY exp(-((ln(p_retailprice) - ln(1200.0)) * (ln(p_retailprice) - ln(1200.0))) / (2 * 0.3 * 0.3)) * (p_size / 50.0) DESC, p_partkey LIMIT 25")
 def ml8_inverse_design(spark, d):
     given = table(spark, d, "part").withColumn("chance", F.col("p_size") / 50.0)
