@@ -8,6 +8,7 @@ from graintable.operators.relational import assign_ids
 from graintable.plans.base import query, table
 from graintable.sources import files as S
 from graintable.streaming import incremental as I
+from graintable.streaming.keyed import KeyedTable
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -150,6 +151,36 @@ def in5_merge_batch(spark, d):
     return S.current(spark, path)
 
 
+@query("SELECT o_orderkey AS key, CAST(row_number() OVER (ORDER BY o_orderkey % 4 = 0, o_orderkey) AS BIGINT) AS id FROM orders")
+def in5_keyed_merge(spark, d):
+    """As in5_merge_batch, into a table in key buckets: each batch writes what it adds, and its repeats are found by the filter."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    path = S.work_path(spark, "keyed")
+    found = KeyedTable(spark, f"{path}/table", "key")
+    later = orders.where("key % 4 = 0 or key % 8 = 1")
+    middle = later.agg((F.max("key") / 2).cast("long").alias("m")).first()["m"] or 0
+    for batch in (orders.where("key % 4 <> 0"), later.where(F.col("key") <= middle), later.where(F.col("key") > middle)):
+        batch.write.mode("append").parquet(f"{path}/in")
+        found.merge_stream(spark.readStream.schema(orders.schema).parquet(f"{path}/in"), "key", f"{path}/work")
+    return found.read()
+
+
+@query("SELECT event_id, event_type FROM events")
+def in1_pulls_with_overlap(spark, d):
+    """Three pulls, each from a day before the one before ended: what an earlier pull took comes again and is known by its key."""
+    events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    found = KeyedTable(spark, S.work_path(spark, "pulls"), "event_id")
+    ends = events.agg(*[F.date_format(F.max("ts") - F.make_dt_interval(F.lit(days)), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(str(days)) for days in (20, 10, 0)]).first()
+    last = None
+    for end in ends:
+        if end is not None:
+            since = F.lit(True) if last is None else F.col("ts") >= I.since(last, end)
+            found.merge(events.where(since & (F.col("ts") <= F.lit(end).cast("timestamp"))), "event_id", end)
+            last = end
+    taken = found.read()
+    return (events.limit(0) if taken is None else taken).select("event_id", "event_type")
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def in6_sessions(spark, d):

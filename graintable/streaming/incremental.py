@@ -58,8 +58,12 @@ def reset_failed(ledger: DataFrame, results: DataFrame, key: str) -> DataFrame:
 
 
 def merge_batch(base: DataFrame, batch: DataFrame, key: str, id_col: str, order: str) -> DataFrame:
-    """base and the batch's new keys (first of each), numbered on from base's ids."""
-    fresh = first_per_key(batch.join(base.select(key), key, "left_anti"), [key], [F.col(order)])
+    """base and the batch's new keys (first of each), numbered on from base's ids; rows without a key are rows of their own and all stay.
+
+    The whole table is read and given back; KeyedTable (streaming.keyed) grows by what a batch adds.
+    """
+    fresh = first_per_key(batch.where(F.col(key).isNotNull()).join(base.select(key), key, "left_anti"), [key], [F.col(order)])
+    fresh = fresh.unionByName(batch.where(F.col(key).isNull()))
     return base.unionByName(assign_ids(fresh, base, id_col, order, id_col), allowMissingColumns=True)
 
 
