@@ -9,6 +9,7 @@ from graintable.plans.base import query, table
 from graintable.sources import files as S
 from graintable.streaming import incremental as I
 from graintable.streaming.keyed import KeyedTable
+from graintable.streaming.quiescence import complete_groups, keyed_state
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -188,6 +189,17 @@ def in6_sessions(spark, d):
     return found.select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
+def in6_complete_groups(spark, d):
+    """The sessions that are over by the newest event, given out by a stream's timers once its watermark is there."""
+    path, stream = I.staged(spark, table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "in6")
+    found = complete_groups(stream, "ts", "6 hours", "user_id")
+    with keyed_state(spark):
+        done = I.run_available(found, path)
+    return done.select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
 @query("SELECT CAST(epoch(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, count(*) AS n FROM events GROUP BY 1")
 def in7_per_period(spark, d):
     return I.per_period(table(spark, d, "events").select("ts"), "ts", "7 days").select(F.unix_timestamp("start").alias("start"), "n")

@@ -21,8 +21,8 @@ class Groups(StatefulProcessor):
     groups. By arrival it is complete when the clock is a pause behind its last batch of rows.
     """
 
-    def __init__(self, pause: int, by_event: bool):
-        self.pause, self.by_event = pause, by_event
+    def __init__(self, names: list[str], pause: int, by_event: bool):
+        self.names, self.pause, self.by_event = names, pause, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -66,7 +66,7 @@ class Groups(StatefulProcessor):
         due = expiredTimerInfo.getExpiryTimeInMs() * 1000
         done = [g for g in groups if g[1] + self.pause <= due] if self.by_event else groups
         self._keep([g for g in groups if g not in done])
-        return iter([Row(*key, *g) for g in sorted(done)])
+        return iter([Row(**dict(zip(self.names, [*key, *g], strict=True))) for g in sorted(done)])
 
     def close(self) -> None:
         pass
@@ -86,7 +86,7 @@ def complete_groups(stream: DataFrame, ts: str, pause: str, by: str, delay: str
     rows = timed.withWatermark(ts, delay) if clock == "event" else timed
     rows = rows.select(by, ts, F.unix_micros(ts).alias("_at"))
     schema = StructType([rows.schema[by], *OPEN.fields])
-    found = rows.groupBy(by).transformWithState(Groups(int(seconds * 1_000_000), clock == "event"), schema, "Append", "EventTime" if clock == "event" else "ProcessingTime")
+    found = rows.groupBy(by).transformWithState(Groups(schema.names, int(seconds * 1_000_000), clock == "event"), schema, "Append", "EventTime" if clock == "event" else "ProcessingTime")
     return found.select(by, F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n")
 
 

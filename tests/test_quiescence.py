@@ -48,11 +48,11 @@ def test_each_group_comes_once_over_restarts(spark, tmp_path):
 
 
 def test_a_late_row_joins_two_open_groups(spark, tmp_path):
-    first, late = [("a", 0.0), ("a", 100.0), ("b", 120.0)], [("a", 50.0)]
-    for part in (first, late, [("b", 1000.0)]):
+    first, late = [("a", 2000.0), ("a", 2100.0), ("b", 2120.0)], [("a", 2050.0)]
+    for part in (first, late, [("b", 3000.0)]):
         write(spark, str(tmp_path), part)
         got = run(spark, str(tmp_path), "1 minute 30 seconds", "10 minutes")
-    assert got == [("a", 0, 100, 3), ("b", 120, 120, 1)]
+    assert got == [("a", 2000, 2100, 3), ("b", 2120, 2120, 1)]
 
 
 def test_by_arrival(spark, tmp_path):
