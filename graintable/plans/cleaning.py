@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graintable.functions import columns as C
+from graintable.operators import dictionary as D
 from graintable.operators import reshape
 from graintable.plans.base import query, table
 
@@ -148,6 +149,32 @@ def mp6_tag_keywords(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(C.tag_keywords(F.col("text"), TOPICS), "; ").alias("tags"))
 
 
+_WORDS = "SELECT DISTINCT word AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS word FROM benchmark) WHERE length(word) BETWEEN 3 AND 9"
+
+
+def item_words(spark, d):
+    """The words of the test items with three to nine letters, as a dictionary that is a table."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿß]+"), F.lit(0))).alias("term"))
+    return words.where(F.length("term").between(3, 9)).distinct()
+
+
+@query(f"WITH t AS ({_WORDS}) SELECT doc_id, coalesce(max(n), 0) AS n, max(least_term) AS least_term, max(greatest_term) AS greatest_term FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, min(term) AS least_term, max(term) AS greatest_term FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1) h USING (doc_id) GROUP BY 1")
+def mp6_tags_of_a_table(spark, d):
+    """All words of the test items that stand in a document, inside words too."""
+    words = item_words(spark, d)
+    found = D.all_labels(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", words.withColumn("label", F.col("term")))
+    return found.select("doc_id", F.size("tags").cast("long").alias("n"), F.get("tags", F.lit(0)).alias("least_term"), F.get("tags", F.size("tags") - 1).alias("greatest_term"))
+
+
+@query(f"""WITH t AS ({_WORDS}), h AS (SELECT doc_id, term FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents) JOIN t USING (term))
+SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good' END, min(term) FILTER (length(term) = longest)) AS label FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT *, max(length(term)) OVER (PARTITION BY doc_id) AS longest FROM h) USING (doc_id) GROUP BY d.doc_id, l.quality""")
+def mp4_fill_from_a_table(spark, d):
+    """Documents without the label get the longest of these words that stands in them as a word."""
+    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    words = item_words(spark, d).select("term", F.col("term").alias("label"), (-F.length("term")).alias("priority"))
+    return D.first_label(docs.withColumn("label", F.when(F.col("quality") == 1, "good")), "doc_id", "text", words, "label", whole_word=True).select("doc_id", "label")
+
+
 @query(f"SELECT doc_id, nullif({_TAGS}, '') AS tags FROM documents")
 def mp7_fill_multilabel(spark, d):
     return table(spark, d, "documents").select("doc_id", C.fill_multilabel(F.lit(None).cast("string"), F.col("text"), TOPICS).alias("tags"))
