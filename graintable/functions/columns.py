@@ -89,17 +89,21 @@ def decode_entities(c: Column) -> Column:
     """HTML entities decoded once: all names of the HTML standard, decimal and hexadecimal numbers; unknown ones stay. No-break spaces become spaces."""
     named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
     entity = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    outside = F.split(c, entity)
-    inside = F.regexp_extract_all(c, F.lit(entity), F.lit(1))
 
     def one(x: Column) -> Column:
+        common = F.when(x == "amp", "&").when(x == "lt", "<").when(x == "gt", ">").when(x == "quot", '"').when(x == "nbsp", "\xa0").when(x == "apos", "'")
         number = F.when(F.lower(x).startswith("#x"), F.conv(F.substring(x, 3, 6), 16, 10)).when(x.startswith("#"), F.substring(x, 2, 7)).try_cast("int")
         code = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), number)
         wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.coalesce(F.when(x.startswith("#"), wide).otherwise(F.try_element_at(named, x)), F.concat(F.lit("&"), x, F.lit(";")))
+        # a map is gone through name by name: the common ones are told before
+        return F.coalesce(common, F.when(x.startswith("#"), wide).otherwise(F.try_element_at(named, x)), F.concat(F.lit("&"), x, F.lit(";")))
 
-    joined = F.array_join(F.zip_with(outside, F.transform(inside, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.translate(F.when(F.size(inside) > 0, joined).otherwise(c), "\xa0", " ")
+    def decoded(t: Column) -> Column:
+        outside, inside = F.split(t, entity), F.regexp_extract_all(t, F.lit(entity), F.lit(1))
+        return F.array_join(F.zip_with(outside, F.transform(inside, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    # in a lambda, so that only texts that may have an entity are split
+    return F.translate(F.when(F.contains(c, F.lit("&")), F.transform(F.array(c), decoded)[0]).otherwise(c), "\xa0", " ")
 
 
 def clean_html(c: Column) -> Column:
