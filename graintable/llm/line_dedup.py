@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graintable.llm.common import materialize, table
 from graintable.sources.files import Successive
@@ -37,8 +38,10 @@ def template_lines(docs: DataFrame, id_col: str, text_col: str, lead: int) -> Da
     )
 
 
-#: Lines of a group that are compared pair by pair; a larger group is cut further.
-SMALL = 32
+#: Candidate pairs that are compared at once, whatever the size of the input.
+FEW_PAIRS = 1_000_000
+#: How many of a leaf's greatest lines are settled together in its second round, and how many times as many in each further one.
+BATCH, GROWTH = 64, 8
 
 
 def differ_at_most(n: Column, similarity: float) -> Column:
@@ -46,94 +49,97 @@ def differ_at_most(n: Column, similarity: float) -> Column:
     return (n - F.ceil(F.lit(similarity) * n)).cast("int")
 
 
-def close_groups(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(group, members: array of (line, toks), greatest line first) of SMALL lines at most, and (group, line) of groups all of whose lines agree with one another.
+def agreement(a: Column, b: Column) -> Column:
+    """Number of positions at which two masked lines have the same token."""
+    return F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
 
-    Any two lines of a leaf that agree are together in one of these groups. Groups begin as leaves. In a group that is larger, the positions in which its lines
-    vary are looked up; if they are no more than two lines may differ in, all its lines agree. Else those positions are cut into one part more
-    than that: two lines that agree are alike in one of the parts, so a line goes on in a group for each part, with the rest of the
-    varying positions. Each cut leaves fewer positions, so a group that stays large ends as one whose lines all agree.
+
+def line_parts(lines: DataFrame, similarity: float, lead: int) -> DataFrame:
+    """k1, k2, part (long): lines of a leaf that agree share a part.
+
+    They differ in at most n - ceil(similarity * n) positions, all behind the leading tokens; cut into one
+    more part than that, those positions leave a part without a difference.
     """
-    spark = members.sparkSession
-    toks = F.transform(F.split("masked", " "), lambda x: F.xxhash64(x))
-    rows = members.select(F.struct("docs", "k1", "k2").alias("line"), toks.alias("toks"), F.col("leaf").alias("group")).withColumn("free", F.sequence(F.lit(0), F.size("toks") - 1))
-    table, small, whole = Successive("line-groups"), None, None
-    while True:
-        sizes = rows.groupBy("group").agg(F.count("*").alias("c")).where("c > 1")
-        # written first, so that the join deals its two sides by itself and a hot group's lines can be split
-        sizes = materialize(sizes, "line-sizes")
-        rows = table.put(rows.join(sizes, "group"))
-        few = rows.where(F.col("c") <= SMALL).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("line", "toks")), asc=False).alias("members"))  # SMALL at most
-        large = rows.where(F.col("c") > SMALL)
-        few = materialize(few, "line-small")
-        small = few if small is None else small.unionByName(few)
-        if large.isEmpty():
-            whole = whole if whole is not None else spark.createDataFrame([], rows.select("group", "line").schema)
-            return small, whole
-        heads = materialize(large.groupBy("group").agg(F.any_value("toks").alias("head")), "line-heads")
-        others = F.filter("free", lambda p: F.get("toks", p) != F.get("head", p))
-        vary = large.join(heads, "group").select("group", F.explode(others).alias("p")).distinct().groupBy("group").agg(F.sort_array(F.collect_set("p")).alias("vary"))
-        vary = materialize(vary, "line-vary")
-        cut = large.join(vary, "group").withColumn("d", differ_at_most(F.size("toks"), similarity))
-        alike = materialize(cut.where(F.size("vary") <= F.col("d")).select("group", "line"), "line-whole")
-        whole = alike if whole is None else whole.unionByName(alike)
-        start = lambda i: F.floor(i * F.size("vary") / (F.col("d") + 1)).cast("int")
-        part = lambda i: F.slice("vary", start(i) + 1, start(i + 1) - start(i))
-        named = lambda ps, i: F.xxhash64("group", i, F.transform(ps, lambda p: F.get("toks", p)))
-        each = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(named(part(i), i).alias("group"), F.array_except("vary", part(i)).alias("free")))
-        deeper = cut.where(F.size("vary") > F.col("d")).select("line", "toks", F.explode(each).alias("x"))
-        rows = materialize(deeper.select("line", "toks", F.col("x.group").alias("group"), F.col("x.free").alias("free")), "line-deeper")
-
-
-def templates(members: DataFrame, similarity: float) -> DataFrame:
+    def cut(tokens):
+        n = F.size(tokens)
+        differ = differ_at_most(n, similarity)
+        behind = F.greatest(n - lead, F.lit(0))
+        start = lambda i: F.floor(i * behind / (differ + 1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), differ), lambda i: F.xxhash64("leaf", i, F.slice(tokens, start(i) + lead + 1, start(i + 1) - start(i))))
+        return F.when(differ >= behind, F.array("leaf")).otherwise(parts)
+
+    # in a lambda, so that a line is split once and not for each part
+    return lines.select("k1", "k2", F.explode(F.flatten(F.transform(F.array(F.split("masked", " ")), cut))).alias("part"))
+
+
+def templates(members: DataFrame, similarity: float, lead: int) -> DataFrame:
     """k1, k2, t1, t2: each line that agrees with another one, and the leader of its group.
 
     A leaf has any number of groups. Lines are taken by (docs, k1, k2), greatest first; a line joins the first
-    leader it agrees with, else it leads a group of its own. Lines are compared within the groups of close_groups(); all leaders whose
-    greater neighbours are settled are settled at once.
+    leader it agrees with, else it leads a group of its own. A leaf's first leader is compared with all its lines. Of what it leaves, the
+    lines that share a part with another one are compared; where these are few pairs, all of them at once. Else the greatest BATCH lines of
+    each leaf are settled among themselves, and the leaders among them, which come before all other lines, take what agrees with them; each further
+    batch is GROWTH times as large, so a leaf of any number of groups takes a number of rounds that grows as its logarithm.
     """
     if similarity > 1:
         return members.select("k1", "k2", F.col("k1").alias("t1"), F.col("k2").alias("t2")).limit(0)
-    small, whole = close_groups(members, similarity)
-    agrees = lambda x, y: F.size(F.filter(F.zip_with(x["toks"], y["toks"], lambda a, b: a == b), lambda a: a)) >= F.lit(similarity) * F.size(x["toks"])
-    behind = lambda x, i: F.filter(F.slice("members", i + 2, F.size("members")), lambda y: agrees(x, y))
-    pairs = F.flatten(F.transform("members", lambda x, i: F.transform(behind(x, i), lambda y: F.struct(x["line"].alias("u"), y["line"].alias("v")))))
-    return settled(materialize(small.select(F.explode(pairs).alias("x")).select("x.*").distinct(), "line-links"), whole)
-
-
-def settled(links: DataFrame, whole: DataFrame) -> DataFrame:
-    """k1, k2, t1, t2 as templates() has them, from links (u, v), u the greater line, and groups (group, line) of lines that all agree."""
-    some_whole = not whole.isEmpty()
-    rounds, rest_links, rest_whole, taken = Successive("line-round"), links, whole, None
-    link_table, whole_table = Successive("line-open"), Successive("line-open-whole")
+    # written first, so that the join below deals its two sides by itself and a hot leaf's lines can be split
+    leaders = materialize(members.groupBy("leaf").agg(F.max(F.struct("docs", "k1", "k2", "masked")).alias("lead")), "line-leaders")
+    step = (members.join(leaders, "leaf").where(agreement(F.col("masked"), F.col("lead.masked")) >= F.lit(similarity) * F.size(F.split("masked", " ")))
+            .select("k1", "k2", F.col("lead.k1").alias("t1"), F.col("lead.k2").alias("t2")))
+    found = materialize(step, "line-step")
+    rests, all_parts, batch = Successive("line-rest"), Successive("line-parts"), BATCH
+    rest = rests.put(members.join(found, ["k1", "k2"], "left_anti").select(*members.columns))
+    parts = all_parts.put(line_parts(rest, similarity, lead))
     while True:
-        now = rest_links
-        if some_whole:
-            # of a group whose lines all agree the greatest open one is the only one that can lead now
-            tops = materialize(rest_whole.groupBy("group").agg(F.max("line").alias("u")), "line-tops")
-            now = rounds.put(now.unionByName(rest_whole.join(tops, "group").where("line <> u").select("u", F.col("line").alias("v"))))
-        if now.isEmpty():
-            break
+        crowded = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
+        rows, pairs = crowded.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
+        if not rows:
+            return found
+        parts = all_parts.put(parts.join(crowded.select("part"), "part", "left_semi"))
+        rest = rests.put(rest.join(parts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(*members.columns))
+        if pairs <= max(FEW_PAIRS, 8 * rows):
+            return found.unionByName(settled(rest, parts, similarity))
+        place = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("k1"), F.desc("k2")))  # of each task's rows of a leaf the first `batch` go on
+        top = materialize(rest.withColumn("_r", place).where(F.col("_r") <= batch).select(*members.columns), "line-top")
+        among = materialize(settled(top, materialize(parts.join(top.select("k1", "k2"), ["k1", "k2"], "left_semi"), "line-top-parts"), similarity), "line-among")
+        leads = materialize(top.join(among.where("k1 <> t1 or k2 <> t2").select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", "docs", "masked"), "line-leads")
+        reach = materialize(parts.join(leads.select("k1", "k2", "docs"), ["k1", "k2"]).select("part", F.struct("docs", "k1", "k2").alias("u")), "line-reach")
+        others = parts.join(top.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        near = others.join(reach, "part").select("k1", "k2", "u").distinct()
+        texts = near.join(rest.select("k1", "k2", "masked"), ["k1", "k2"]).join(leads.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("masked").alias("lead")), (F.col("u.k1") == F.col("t1")) & (F.col("u.k2") == F.col("t2")))
+        hits = texts.where(agreement(F.col("masked"), F.col("lead")) >= F.lit(similarity) * F.size(F.split("masked", " ")))
+        taken = materialize(hits.groupBy("k1", "k2").agg(F.max("u").alias("u")).select("k1", "k2", F.col("u.k1").alias("t1"), F.col("u.k2").alias("t2")), "line-hits")
+        own = taken.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "t1", "t2").distinct()
+        found = found.unionByName(among).unionByName(taken).unionByName(own.join(among.select("k1", "k2"), ["k1", "k2"], "left_anti"))
+        gone = materialize(top.select("k1", "k2").unionByName(taken.select("k1", "k2")), "line-gone")
+        rest = rests.put(rest.join(gone, ["k1", "k2"], "left_anti").select(*members.columns))
+        parts = all_parts.put(parts.join(gone, ["k1", "k2"], "left_anti").select("k1", "k2", "part"))
+        batch *= GROWTH
+
+
+def settled(rest: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """k1, k2, t1, t2 as templates() has them, from the pairs of lines that share a part."""
+    sides = [parts.join(rest, ["k1", "k2"]).select("part", F.struct("docs", "k1", "k2").alias(x), F.col("masked").alias(f"{x}_text")) for x in ("u", "v")]
+    # most pairs of a crowded part don't agree: they are told before the same pair of several parts is made one
+    links = sides[0].join(sides[1], "part").where("u > v").where(agreement(F.col("u_text"), F.col("v_text")) >= F.lit(similarity) * F.size(F.split("u_text", " ")))
+    links = materialize(links.select("u", "v").distinct(), "line-links")
+    open_links, taken = links, None
+    while not open_links.isEmpty():
         # a line without an open link to an earlier one leads; what agrees with it doesn't
-        first = now.select("u").distinct().join(now.select(F.col("v").alias("u")), "u", "left_anti")
-        hit = materialize(now.join(first, "u").select("v").distinct(), "line-taken")
+        first = open_links.select("u").distinct().join(open_links.select(F.col("v").alias("u")), "u", "left_anti")
+        hit = materialize(open_links.join(first, "u").select("v").distinct(), "line-taken")
         taken = hit if taken is None else taken.unionByName(hit)
-        left = rest_links.join(hit, "v", "left_anti").join(hit.withColumnRenamed("v", "u"), "u", "left_anti")
-        rest_links = link_table.put(left.select("u", "v"))
-        if some_whole:
-            rest_whole = whole_table.put(rest_whole.join(hit.withColumnRenamed("v", "line"), "line", "left_anti").select("group", "line"))
+        left = open_links.join(hit, "v", "left_anti").join(hit.withColumnRenamed("v", "u"), "u", "left_anti")
+        open_links = materialize(left.join(first, "u", "left_anti").select("u", "v"), "line-open")
     if taken is None:
         return links.select("u.k1", "u.k2", F.col("v.k1").alias("t1"), F.col("v.k2").alias("t2"))
-    found = links.join(taken.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v")
-    if some_whole:
-        leads = materialize(whole.join(taken.withColumnRenamed("v", "line"), "line", "left_anti").select("group", F.col("line").alias("u")), "line-leads")  # one a group at most
-        found = found.unionByName(whole.join(leads, "group").where("line < u").select("u", F.col("line").alias("v")))
-    groups = materialize(found.groupBy("v").agg(F.max("u").alias("u")), "line-grouped")
+    groups = links.join(taken.withColumnRenamed("v", "u"), "u", "left_anti").groupBy("v").agg(F.max("u").alias("u"))
     of = lambda x: [F.col(f"{x}.k1").alias("k1"), F.col(f"{x}.k2").alias("k2"), F.col("u.k1").alias("t1"), F.col("u.k2").alias("t2")]
-    return groups.select(*of("v")).unionByName(groups.select("u").distinct().select(*of("u")))
+    return groups.select(*of("v")).unionByName(groups.select(*of("u")).distinct())
 
 
-def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, similarity: float, lead: int) -> DataFrame:
     """k1, k2, first_id, docs of each masked line (keyed: lines without their text) whose template occurs in min_docs documents or more.
 
     Masked lines of a leaf that agree with a group's leading line in at least the share `similarity` of
@@ -148,7 +154,7 @@ def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, simil
     texts = (lines.where(may_differ).join(crowded.select("leaf"), "leaf", "left_semi")
              .groupBy("k1", "k2", "leaf").agg(F.first("masked").alias("masked")))
     members = materialize(texts.join(keys.select("k1", "k2", "docs"), ["k1", "k2"]), "line-members")
-    merged = materialize(templates(members, similarity), "line-merged")
+    merged = materialize(templates(members, similarity, lead), "line-merged")
     # templates of one masked line need no further work; those of several are counted anew over distinct documents
     shared = merged.where("k1 <> t1 or k2 <> t2").select("t1", "t2").distinct()
     joint = merged.join(shared, ["t1", "t2"], "left_semi")
@@ -173,7 +179,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept_columns = docs.columns
     lines = template_lines(docs, id_col, text_col, lead)
     keyed = materialize(lines.drop("masked"), "line-hashes")
-    recurring = materialize(recurring_templates(lines, keyed, min_docs, similarity), "line-recurring")
+    recurring = materialize(recurring_templates(lines, keyed, min_docs, similarity, lead), "line-recurring")
     gone = (keyed.select("_id", "_th", "pos", "k1", "k2").join(recurring, ["k1", "k2"])
             .where(~F.col("_id").eqNullSafe(F.col("first_id")))
             .groupBy("_id", "_th").agg(F.collect_set("pos").alias("_gone")))
