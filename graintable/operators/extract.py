@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -281,6 +282,62 @@ def direct_links(df: DataFrame, id_col: str, text_col: str, patterns: Mapping[st
     return pairs.groupBy(id_col, "quantity").agg(F.max(F.struct(F.length("name").alias("l"), "name", "score")).alias("x")).select(id_col, "quantity", "x.name", "x.score")
 
 
+# Fixed values of the direct forms: the units of each kind of quantity and what a form scores, by its name.
+UNITS = {"mass": ("mg", "kg", "g"), "volume": ("uL", "µL", "mL", "L"), "amount": ("mmol", "mol"), "concentration": ("mM", "M"), "fraction": ("wt%", "wt. %", "%")}
+FORMS = {
+    "quantity_of_name": ("[QC]ow*D", 0.95), "quantity_then_name": ("[QC]w*D", 0.90), "name_parenthesis_quantity": (r"D\([QC]\)", 0.95),
+    "concentration_name_solution": ("Cw*Ds", 0.95), "solution_of_concentration_name": ("soCw*D", 0.95), "name_solution_of_concentration": ("DsoC", 0.95),
+}
+
+
+def text_symbols(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, units: Mapping[str, Sequence[str]] = UNITS, most_words: int = 4) -> DataFrame:
+    """id_col, symbols: a text as an array of (pos, sym, token, name, type): Q a quantity, C a concentration, D a term of terms(term, name) (the longest at its
+    place), o "of", s "solution", ( and ), . a stop or a verb that ends a name (was, were, is, are), w any other word.
+
+    Terms are found by equi-joins of runs of words, so the dictionary may be of any size. Ids are those of single texts.
+    """
+    df = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    unit = "|".join(re.escape(u) for u in sorted((u for us in units.values() for u in us), key=len, reverse=True))
+    quantity = rf"[0-9]+(?:\.[0-9]+)?\s*(?:{unit})(?![A-Za-z])"
+    tokens = F.regexp_extract_all("_text", F.lit(rf"{quantity}|[A-Za-z]+|[().;]"), F.lit(0))
+    is_word = lambda x: x.rlike("^[A-Za-z]")
+    numbered = F.transform(F.array(tokens), lambda ts: F.arrays_zip(ts.alias("token"), running_sums(F.transform(ts, lambda x: is_word(x).cast("int"))).alias("word_no")))[0]
+    rows = df.select("_id", F.posexplode(numbered).alias("pos", "x")).select("_id", "pos", F.col("x.token").alias("token"), F.col("x.word_no").alias("word_no"))
+    rows = rows.withColumn("word_no", F.when(is_word(F.col("token")), F.col("word_no")))
+    hits = phrase_spans(df.select("_id", F.regexp_replace("_text", quantity, " 0 ").alias("_t")), "_id", "_t", terms, most_words)
+    cover = hits.select("_id", "name", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("k"), "nth").select("_id", (F.col("nth") + F.col("k")).alias("word_no"), "k", "name")
+    of = F.regexp_extract(F.col("token"), r"^[0-9.]+\s*(.+)$", 1)
+    kind = F.lit(None).cast("string")
+    for name, us in units.items():
+        kind = F.coalesce(kind, F.when(of.isin(list(us)), name))
+    low = F.lower("token")
+    sym = (F.when(F.col("k") == 0, "D").when(F.col("type") == "concentration", "C").when(F.col("type").isNotNull(), "Q").when(low == "of", "o").when(low == "solution", "s")
+           .when(low.isin("(", ")"), low).when(low.isin(".", ";", "was", "were", "is", "are"), ".").otherwise("w"))
+    marked = rows.join(cover, ["_id", "word_no"], "left").where("k is null or k = 0").withColumn("type", kind).withColumn("sym", sym)
+    return marked.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sym", "token", "name", "type"))).alias("symbols")).withColumnRenamed("_id", id_col)  # one text's
+
+
+def symbol_links(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, units: Mapping[str, Sequence[str]] = UNITS, forms: Mapping[str, tuple[str, float]] = FORMS) -> DataFrame:
+    """id_col, name, type, value, unit, form, score: quantities and names that stand in one of the forms, which are patterns over text_symbols().
+
+    A quantity's names are those of its best form (the surest, then the first by name); the same name, type, value and unit come once in a text. Null texts have no links.
+    """
+    line = F.array_join(F.transform("symbols", lambda x: x["sym"]), "")
+
+    def of_form(name: str, pattern: str, score: float) -> Column:
+        return F.transform(spans(line, pattern), lambda x: F.struct(F.lit(name).alias("form"), F.lit(score).alias("score"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+    found = [of_form(name, pattern, score) for name, (pattern, score) in forms.items()]
+    rows = text_symbols(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", terms, units).select("_id", "symbols", F.explode(F.flatten(F.array(*found))).alias("m"))
+    part = F.slice("symbols", F.col("m.start") + 1, F.col("m.stop") - F.col("m.start"))
+    one = lambda test: F.get(F.filter("part", test), F.lit(0))
+    pairs = rows.select("_id", part.alias("part"), "m.form", "m.score").select("_id", one(lambda x: x["type"].isNotNull()).alias("q"), one(lambda x: x["sym"] == "D").alias("d"), "form", "score")
+    best = pairs.groupBy("_id", F.col("q.pos").alias("at")).agg(F.min_by(F.struct("q", "d", "form", "score"), F.struct((-F.col("score")).alias("s"), "form")).alias("x"))
+    cells = best.select("_id", "at", "x.*").select(
+        "_id", F.col("d.name").alias("name"), F.col("q.type").alias("type"), F.regexp_extract("q.token", r"^[0-9.]+", 0).try_cast("double").alias("value"), F.regexp_extract("q.token", r"^[0-9.]+\s*(.+)$", 1).alias("unit"), "form", "score", "at")
+    return cells.groupBy("_id", "name", "type", "value", "unit").agg(F.min_by(F.struct("form", "score"), F.struct((-F.col("score")).alias("s"), "at")).alias("x")).select("_id", "name", "type", "value", "unit", "x.form", "x.score").withColumnRenamed("_id", id_col)
+
+
 def merge_links(direct: DataFrame, proximity: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both kinds of links: of each key the row with the best score, with all its columns (missing ones are null); ties go to the greater of the other values."""
     both = direct.unionByName(proximity, allowMissingColumns=True)

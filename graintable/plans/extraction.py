@@ -195,6 +195,22 @@ def tx20_direct_links(spark, d):
     return links.select("p_partkey", "quantity", "name", F.col("score").cast("decimal(3,2)").alias("score"))
 
 
+_SIX = (("quantity_of_name", "mass", 1, "g"), ("quantity_then_name", "volume", 2, "mL"), ("name_parenthesis_quantity", "mass", 3, "mg"), ("concentration_name_solution", "concentration", 4, "M"),
+        ("solution_of_concentration_name", "concentration", 5, "mM"), ("name_solution_of_concentration", "concentration", 6, "M"))
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, p_type AS name, '{kind}' AS type, CAST(p_size + {i} AS DOUBLE) AS value, '{unit}' AS unit, '{form}' AS form, CAST({0.9 if form == 'quantity_then_name' else 0.95} AS DOUBLE) AS score FROM part" for form, kind, i, unit in _SIX))
+def tx20_links_of_six_forms(spark, d):
+    """A text with all forms for each part; names come from a table of two-word terms, one of which begins with another."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
+    kinds = part.select("p_type").distinct()
+    terms = kinds.select(F.concat(F.lower("p_type"), F.lit(" flakes")).alias("term"), F.col("p_type").alias("name")).unionByName(kinds.select(F.lower("p_type").alias("term"), F.lit("bare").alias("name")))
+    n, q = F.concat(F.initcap("p_type"), F.lit(" Flakes")), lambda i: (F.col("p_size") + i).cast("string")
+    text = F.concat(F.lit("We took "), q(1), F.lit(" g of the dried "), n, F.lit(". Then "), q(2), F.lit("mL "), n, F.lit(" was added. "), n, F.lit(" ("), q(3), F.lit(" mg) came next. A "), q(4), F.lit(" M "), n,
+                    F.lit(" solution stood; a solution of "), q(5), F.lit(" mM "), n, F.lit(" is kept. At last "), n, F.lit(" solution of "), q(6), F.lit(" M."))
+    return X.symbol_links(part.select("p_partkey", text.alias("t")), "p_partkey", "t", terms)
+
+
 _TERM = f"WITH w AS ({_WORDS}), q AS (SELECT doc_id, nth AS qpos FROM w WHERE word = 'mail'), t AS (SELECT doc_id, nth AS tpos, word FROM w WHERE word IN ('example', 'license', 'com'))"
 
 

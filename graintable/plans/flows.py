@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graintable.operators import relational as R
 from graintable.operators.relational import assign_ids
 from graintable.plans.base import query, table
 from graintable.sources import files as S
@@ -20,6 +21,28 @@ def src1_snk1_jsonl(spark, d):
     return S.read_jsonl(spark, path, "event_id long, user_id long, event_type string").where("event_id is not null")
 
 
+@query("SELECT count(*) + count(*) FILTER (event_type = 'purchase') AS lines, count(*) FILTER (event_type = 'purchase') AS unparsable, count(*) AS kept, sum(event_id)::BIGINT AS ids FROM events")
+def src1_counted(spark, d):
+    """A broken line stands beside each purchase; they are counted by the read that drops them."""
+    path = S.work_path(spark, "jsonl-broken")
+    good = F.to_json(F.struct("event_id", "event_type"))
+    lines = table(spark, d, "events").select(F.explode(F.when(F.col("event_type") == "purchase", F.array(good, F.concat(F.substring(good, 1, 9), F.lit("\"broken")))).otherwise(F.array(good))).alias("value"))
+    lines.write.text(path)
+    rows, seen = S.read_jsonl_counted(spark, path, "event_id long, event_type string")
+    kept = rows.agg(F.count("*"), F.sum("event_id")).first()
+    return spark.createDataFrame([(seen.get["lines"], seen.get["unparsable"], kept[0], kept[1])], "lines long, unparsable long, kept long, ids long")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 4 = 0 AND o_orderpriority <> 'patched') AS changed, count(*) FILTER (o_orderpriority IS NULL) AS still_empty FROM orders")
+def jn3_patch_counted(spark, d):
+    """How many rows a patch changed, counted while the patched table is written."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    patch = orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("patched").alias("o_orderpriority"))
+    patched, seen = S.with_counts(R.apply_patch(orders, patch, "o_orderkey", ["o_orderpriority"]), rows=F.count("*"), changed=F.count_if("changed_"), still_empty=F.count_if(F.col("o_orderpriority").isNull()))
+    patched.drop("changed_").write.parquet(S.work_path(spark, "patched"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("rows", "changed", "still_empty"))], "rows long, changed long, still_empty long")
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def src2_csv_text(spark, d):
     path = S.work_path(spark, "csv")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_jsonl_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Observation]:
+    """As read_jsonl, and an observation that has `lines` (blank ones aside) and `unparsable` once a job has read the frame whole: no second scan counts them."""
+    seen = Observation()
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.observe(seen, F.count("*").alias("lines"), F.count("_broken").alias("unparsable")).where("_broken is null").drop("_broken"), seen
+
+
+def with_counts(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df and an observation that has the counts (aggregates over df's columns) once a job has gone through it, such as changed rows of a patch or rejected ones of a split."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns text."""
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
