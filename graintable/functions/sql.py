@@ -1,4 +1,4 @@
-"""The column builders that take plain values, as temporary SQL functions of a session."""
+"""Column builders that take plain values, and operators that give rows for a text, as temporary SQL functions of a session."""
 
 from __future__ import annotations
 
@@ -21,9 +21,23 @@ FUNCTIONS = (
     ("closeness", "p DOUBLE, target DOUBLE, width DOUBLE", "DOUBLE", "exp(-((ln(p) - ln(target)) * (ln(p) - ln(target))) / (2 * width * width))"),
 )
 
+#: name, parameters, columns, body: functions that give rows, for a lateral join; each the operator named, a text at a time.
+TABLE_FUNCTIONS = (
+    ("sentences", "s STRING", "pos INT, sentence STRING", r"SELECT pos, col FROM posexplode(split(s, r'(?<=[.!?])\s+'))"),  # extract.sentences
+    ("spans", "s STRING, pattern STRING", "nth INT, matched STRING, value DOUBLE",  # extract.quantity_spans: group 1 of the pattern is the number
+     "SELECT pos + 1, col.m, try_cast(col.v AS DOUBLE) FROM posexplode(zip_with(regexp_extract_all(s, pattern, 0), regexp_extract_all(s, pattern, 1), (a, b) -> named_struct('m', a, 'v', b)))"),
+    ("blocks", "s STRING, least INT, must STRING", "nth INT, block STRING",  # extract.explode_blocks, at line ends
+     r"SELECT pos + 1, col FROM posexplode(CASE WHEN s IS NOT NULL THEN CASE WHEN exists(split(s, '\n'), x -> length(x) >= least AND x RLIKE must) THEN filter(split(s, '\n'), x -> length(x) >= least AND x RLIKE must) ELSE array(s) END END)"),
+    ("tags", "s STRING, rules MAP<STRING, ARRAY<STRING>>", "tag STRING",  # columns.tag_keywords
+     "SELECT key FROM explode(map_filter(rules, (k, words) -> exists(words, w -> contains(lower(coalesce(s, '')), w))))"),
+    ("words", "s STRING", "nth INT, word STRING", "SELECT pos + 1, col FROM posexplode(regexp_extract_all(lower(s), '[a-z]+', 0))"),  # extract.word_spans
+)
+
 
 def register(spark: SparkSession, prefix: str = "grain_") -> list[str]:
     """Make the functions known to a session's SQL; returns their names. They are SQL bodies, which Spark inlines: no Python runs."""
     for name, parameters, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {kind} RETURN {body}")
-    return [prefix + name for name, *_ in FUNCTIONS]
+    for name, parameters, columns, body in TABLE_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS TABLE({columns}) RETURN {body}")
+    return [prefix + name for name, *_ in (*FUNCTIONS, *TABLE_FUNCTIONS)]

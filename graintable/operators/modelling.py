@@ -57,12 +57,12 @@ def predict(model: PipelineModel, df: DataFrame, numeric: Sequence[str], categor
     return model.transform(with_missing(df, numeric, categorical)).withColumn("p", F.exp("log_p")).select(*df.columns, "p")
 
 
-def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: str, k: int) -> DataFrame:
+def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: str, k: int, **learner: int) -> DataFrame:
     """fold and regression metrics of out-of-fold predictions with folds by key; k is small and fixed, one model each."""
     folded = materialize(assign_group_folds(df.where(F.col(target) > 0), key, k), "folds")  # read by every pass of every fold
     out = None
     for i in range(k):
-        model = fit_regressor(folded.where(F.col("fold") != i), target, numeric, categorical)
+        model = fit_regressor(folded.where(F.col("fold") != i), target, numeric, categorical, **learner)
         part = predict(model, folded.where(F.col("fold") == i), numeric, categorical)
         out = part if out is None else out.unionByName(part)
     return regression_metrics(out, target, "p", ["fold"])
@@ -291,6 +291,37 @@ def tune(df: DataFrame, target: str, numeric: Sequence[str], key: str, grid: Map
     return df.sparkSession.createDataFrame([(", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name)), float(s)) for point, s in zip(built, scores, strict=True)], "point string, rmse double")
 
 
+def halving(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: str, grid: Sequence[Mapping[str, int]], k: int = 3, shares: Sequence[int] = (25, 50, 100)) -> DataFrame:
+    """rung (from 1), point, rows, score, kept: boosted trees tried by successive halving over folds of keys.
+
+    A rung takes a growing percentage of the keys (the same ones at each size, and those of the rung before) and scores every point of the grid that is left
+    (settings of fit_regressor) by the mean error of the log over k folds of these keys. The better half, rounded up, goes on; of the last rung the best is kept (ties: the
+    earlier point). The grid is a stated list; each point costs k fits a rung, the rows stay on the executors.
+    """
+    parted = materialize(assign_group_folds(df.where(F.col(target) > 0), key, 100, "_part"), "rungs")
+    alive, out = list(range(len(grid))), []
+    name = lambda i: ", ".join(f"{c}={grid[i][c]}" for c in sorted(grid[i]))
+    for rung, share in enumerate(shares, 1):
+        rows = parted.where(F.col("_part") < share).drop("_part")
+        n = rows.count()
+        scored = sorted((out_of_fold_error(rows, target, numeric, categorical, key, k, grid[i]), i) for i in alive)
+        kept = [i for _, i in scored[:1 if rung == len(shares) else math.ceil(len(scored) / 2)]]
+        out += [(rung, name(i), n, s, i in kept) for s, i in scored]
+        alive = sorted(kept)
+    return df.sparkSession.createDataFrame(out, "rung int, point string, rows long, score double, kept boolean")
+
+
+def out_of_fold_error(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: str, k: int, learner: Mapping[str, int]) -> float:
+    """Mean absolute error of the log of the target over all rows, each predicted by a model of the other folds."""
+    folded = assign_group_folds(df, key, k)
+    total, n = 0.0, 0
+    for i in range(k):
+        model = fit_regressor(folded.where(F.col("fold") != i), target, numeric, categorical, **learner)
+        row = predict(model, folded.where(F.col("fold") == i), numeric, categorical).agg(F.sum(F.abs(F.log("p") - F.log(target))), F.count("*")).first()
+        total, n = total + (row[0] or 0.0), n + row[1]
+    return total / n if n else float("inf")
+
+
 def conformal_interval(df: DataFrame, y: str, p: str, group: str, alpha: float) -> DataFrame:
     """group, n, half: the 1 - alpha quantile of absolute residuals of held-out predictions."""
     errors = df.select(group, F.abs(F.col(y) - F.col(p)).alias("_e"))

@@ -74,3 +74,29 @@ def test_content_dedup_is_idempotent(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     once = I.dedup_content(docs, "text", 300, "doc_id")
     assert I.dedup_content(once, "text", 300, "doc_id").count() == once.count()
+
+
+def test_halving_keeps_the_better_half(spark):
+    """The winner's error on keys that no rung saw is below the grid's median there."""
+    import statistics
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("x"), ((F.col("id") * 7) % 31).cast("double").alias("z"))
+    rows = rows.withColumn("y", F.exp(F.sin(F.col("x") / 9) + F.when(F.col("z") > 15, 1.0).otherwise(0.0)))
+    split = M.group_holdout(rows, "k", 30)
+    train, test = split.where("not held_out").drop("held_out"), split.where("held_out").drop("held_out")
+    grid = [{"rounds": 1, "depth": 1}, {"rounds": 3, "depth": 2}, {"rounds": 2, "depth": 1}, {"rounds": 8, "depth": 4}]
+    table = M.halving(train, "y", ["x", "z"], [], "k", grid, 2, (30, 60, 100)).collect()
+    assert [(sum(r.rung == i for r in table), sum(r.kept for r in table if r.rung == i)) for i in (1, 2, 3)] == [(4, 2), (2, 1), (1, 1)]
+    counts = [max(r.rows for r in table if r.rung == i) for i in (1, 2, 3)]
+    assert counts == sorted(counts) and counts[2] == train.count()
+    for i in (1, 2):
+        rung = sorted((r.score, r.kept) for r in table if r.rung == i)
+        assert all(kept == (at < len(rung) / 2) for at, (_, kept) in enumerate(rung))
+
+    def error(point):
+        model = M.fit_regressor(train, "y", ["x", "z"], [], **point)
+        return M.predict(model, test, ["x", "z"], []).agg(F.avg(F.abs(F.log("p") - F.log("y")))).first()[0]
+
+    winner = next(r.point for r in table if r.rung == 3 and r.kept)
+    errors = {", ".join(f"{c}={p[c]}" for c in sorted(p)): error(p) for p in grid}
+    assert errors[winner] <= statistics.median(errors.values())

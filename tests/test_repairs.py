@@ -139,7 +139,7 @@ def test_aliases_count_as_present(spark):
 
 def test_sql_functions_equal_the_builders(spark):
     names = sql.register(spark)
-    assert len(names) == len(set(names)) == len(sql.FUNCTIONS)
+    assert len(names) == len(set(names)) == len(sql.FUNCTIONS) + len(sql.TABLE_FUNCTIONS)
     rows = [(" 5.5 ", 2.0, 4.0, True), ("nan", None, 0.0, False), ("N/A", 9.0, None, None), ("", -1.0, 2.0, True), (None, 3.0, 1.0, False), ("https://doi.org/10.1/X; b", 0.5, 0.5, True)]
     df = frame(spark, rows, "s string, x double, y double, f boolean")
     df.createOrReplaceTempView("odd_values")
@@ -151,7 +151,7 @@ def test_sql_functions_equal_the_builders(spark):
         "grain_norm_categorical(s)": C.norm_categorical(s), "grain_resolve_range(x, f, 1, y)": C.resolve_range(x, F.col("f"), F.lit(1.0), y), "grain_within_chars(s, 'doi', 'x', 9)": C.within_chars(s, "doi", "x", 9),
         "grain_closeness(y, 2, 0.3)": M.closeness(y, 2.0),
     }
-    assert len(pairs) == len(names)
+    assert len(pairs) == len(sql.FUNCTIONS)
     for text, builder in pairs.items():
         a = [r[0] for r in spark.sql(f"SELECT {text} FROM odd_values").collect()]
         assert a == [r[0] for r in df.select(builder).collect()], text
@@ -162,3 +162,20 @@ def test_names_are_put_together_from_what_was_found(spark):
     df = frame(spark, [(1, "Oak beams on pine boards"), (2, "quercus"), (3, None), (4, "oaken")], "k int, t string")
     got = {r.k: (r.labels, r.names) for r in reshape.extract_named(df, "t", entries, "(board|beam)").collect()}
     assert got == {1: (["A", "B"], ["oak beam", "pine board"]), 2: (["A"], ["oak board"]), 3: ([], []), 4: ([], [])}
+
+
+def test_sql_table_functions_equal_the_operators(spark):
+    sql.register(spark)
+    texts = ["One 5 g. Two 7.5 g! Three", "short\na longer line with oak 3 g\nanother long line, no", "", None, "OAK\nPine 12 g"]
+    df = frame(spark, list(enumerate(texts)), "k int, t string")
+    df.createOrReplaceTempView("odd_texts")
+    same = lambda query, other: sorted(map(str, (tuple(r) for r in spark.sql(query).collect()))) == sorted(map(str, (tuple(r) for r in other.collect())))
+    number = r"([0-9]+(?:[.][0-9]+)?) g"
+    assert same("SELECT k, f.pos, f.sentence FROM odd_texts, LATERAL grain_sentences(t) f", X.sentences(df, "k", "t"))
+    assert same(f"SELECT k, f.nth, f.matched, f.value FROM odd_texts, LATERAL grain_spans(t, '{number}') f", X.quantity_spans(df, "k", "t", number))
+    assert same("SELECT k, f.nth, f.word FROM odd_texts, LATERAL grain_words(t) f", X.word_spans(df, "k", "t"))
+    blocks = X.explode_blocks(df, "k", "t", 10, "line").select("k", F.substring_index("block_id", "EXP", -1).cast("int").alias("nth"), "block")
+    assert same("SELECT k, f.nth, f.block FROM odd_texts, LATERAL grain_blocks(t, 10, 'line') f", blocks)
+    tags = df.select("k", F.explode(C.tag_keywords(F.col("t"), [("wood", ["oak", "pine"]), ("mass", [" g"])])).alias("tag"))
+    assert same("SELECT k, f.tag FROM odd_texts, LATERAL grain_tags(t, map('wood', array('oak', 'pine'), 'mass', array(' g'))) f", tags)
+    assert "Python" not in spark.sql("SELECT k, f.word FROM odd_texts, LATERAL grain_words(t) f")._jdf.queryExecution().toString()
