@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graintable.operators.intervals import overlaps
+from graintable.sources.files import materialize
 
 SENTENCE = r"(?<=[.!?])\s+"
 
@@ -246,8 +247,9 @@ def scored_links(quantities: DataFrame, names: DataFrame, texts: DataFrame, id_c
         sides = {"_before": F.substring(t, F.greatest(start - reach, F.lit(0)) + 1, F.least(reach, start)), "_after": F.substring(t, stop + 1, reach)} if around else {}
         return spans.join(texts.select(id_col, F.col(text_col).alias("_text")), id_col).select(*spans.columns, F.substring(t, start + 1, stop - start).alias("_own"), *[c.alias(n) for n, c in sides.items()])
 
-    q = cut(once, True).withColumns({"_from": F.col("start") - reach, "_to": F.col("stop") + reach})
-    c = cut(names.select(id_col, "name", "category", "start", "stop").distinct(), False)
+    # written, as the join looks at the spans' lengths first and reads them again for each size
+    q = materialize(cut(once, True).withColumns({"_from": F.col("start") - reach, "_to": F.col("stop") + reach}), "quantity-spans")
+    c = materialize(cut(names.select(id_col, "name", "category", "start", "stop").distinct(), False), "name-spans")
     before, behind = F.col("c.start") - F.col("q.stop"), F.col("q.start") - F.col("c.stop")
     pairs = overlaps(q, c, [id_col], ("_from", "_to"), ("start", "stop")).select(id_col, F.col("a").alias("q"), F.col("b").alias("c"))
     pairs = pairs.withColumn("distance", F.greatest(before, behind, F.lit(0)))
