@@ -151,8 +151,8 @@ def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, simil
     keys = materialize(keys, "line-keys")
     may_differ = differ_at_most(F.col("n"), similarity) > 0  # shorter lines agree with themselves only
     crowded = materialize(keys.where(may_differ).groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1"), "line-leaves")
-    # distinct rows, not the first text of each key: that would sort all occurrences
-    texts = lines.where(may_differ).join(crowded.select("leaf"), "leaf", "left_semi").select("k1", "k2", "leaf", "masked").distinct()
+    # a leaf's lines have as many tokens, so all of these may differ; distinct rows, not the first text of each key: that would sort all occurrences
+    texts = lines.join(crowded.select("leaf"), "leaf", "left_semi").select("k1", "k2", "leaf", "masked").distinct()
     members = materialize(texts.join(keys.select("k1", "k2", "docs"), ["k1", "k2"]), "line-members")
     merged = materialize(templates(members, similarity, lead), "line-merged")
     # templates of one masked line need no further work; those of several are counted anew over distinct documents
