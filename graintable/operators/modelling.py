@@ -298,7 +298,9 @@ def halving(df: DataFrame, target: str, numeric: Sequence[str], categorical: Seq
     (settings of fit_regressor) by the mean error of the log over k folds of these keys. The better half, rounded up, goes on; of the last rung the best is kept (ties: the
     earlier point). The grid is a stated list; each point costs k fits a rung, the rows stay on the executors.
     """
-    parted = materialize(assign_group_folds(df.where(F.col(target) > 0), key, 100, "_part"), "rungs")
+    # dealt by another digest than folds and held-out keys are, so that rungs of a part of the keys are no part of a fold
+    named = df.where(F.col(target) > 0).withColumn("_rung", F.concat(F.col(key).cast("string"), F.lit(":rung")))
+    parted = materialize(assign_group_folds(named, "_rung", 100, "_part").drop("_rung"), "rungs")
     alive, out = list(range(len(grid))), []
     name = lambda i: ", ".join(f"{c}={grid[i][c]}" for c in sorted(grid[i]))
     for rung, share in enumerate(shares, 1):

@@ -224,7 +224,7 @@ def ml14_halving(spark, d):
     return M.halving(samples(spark, d), "price", NUMERIC, CATEGORICAL, "p_partkey", GRID, 2, (30, 100))
 
 
-@query(f"""WITH s AS (SELECT {_FOLD.format(k='p_partkey', n=100)} AS part FROM {_SAMPLES} WHERE price > 0)
+@query(f"""WITH s AS (SELECT {_FOLD.format(k="(p_partkey || ':rung')", n=100)} AS part FROM {_SAMPLES} WHERE price > 0)
 SELECT 1 AS rung, count(*) FILTER (part < 30) AS rows, 3::BIGINT AS points, 2::BIGINT AS kept, NULL AS winner FROM s UNION ALL SELECT 2, count(*), 2, 1, 'depth=3, rounds=6' FROM s""")
 def ml14_rungs(spark, d):
     """Points, rows and survivors of each rung; the price follows the quantity, so the deeper trees win."""

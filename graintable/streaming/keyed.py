@@ -98,7 +98,7 @@ class KeyedTable:
         empty = self.spark.createDataFrame([], "id long")
         new = materialize(assign_ids(fresh.unionByName(bare), empty, "id", order, "_number").withColumn(self.id_col, F.col("_number") + top).drop("_number"), "keyed-new")
         added = new.count()
-        if added or not names:
+        if added:
             self._write(new, new.where("_slot is not null"), [label] if label is not None else [], top + added, False)
         elif label is not None:
             self._log("", [label], top, False)

@@ -28,13 +28,14 @@ def frame(spark, data):
 
 def test_batches_add_what_is_new(spark, table):
     assert table.read() is None
+    assert table.merge(frame(spark, []), "v", "none") == 0 == table.merge(frame(spark, []), "v") and table.read() is None
     assert table.merge(frame(spark, [("b", 2), ("a", 1), ("a", 0), (None, 3), (None, 3)]), "v") == 4
     assert rows(table) == [(1, "a", 0), (2, "b", 2), (3, None, 3), (4, None, 3)]
     assert table.merge(frame(spark, [("c", 9), ("b", 1), ("d", 8), ("d", 7)]), "v") == 2
     assert rows(table)[4:] == [(5, "d", 7), (6, "c", 9)]
     assert table.merge(frame(spark, []), "v") == 0 and table.merge(frame(spark, [("a", 5), ("c", 1)]), "v") == 0
     table.compact()
-    assert len(table.commits()) == 1 and len(rows(table)) == 6
+    assert len(table.commits()) == 1 and len(rows(table)) == 6 and table.merge(frame(spark, [('z', 1)]), "v", "none") == 0
     assert table.merge(frame(spark, [("a", 5), ("e", 1)]), "v") == 1 and rows(table)[-1] == (7, "e", 1)
 
 
