@@ -225,11 +225,10 @@ def ml14_halving(spark, d):
 
 
 @query(f"""WITH s AS (SELECT {_FOLD.format(k="(p_partkey || ':rung')", n=100)} AS part FROM {_SAMPLES} WHERE price > 0)
-SELECT 1 AS rung, count(*) FILTER (part < 30) AS rows, 3::BIGINT AS points, 2::BIGINT AS kept, NULL AS winner FROM s UNION ALL SELECT 2, count(*), 2, 1, 'depth=3, rounds=6' FROM s""")
+SELECT 1 AS rung, count(*) FILTER (part < 30) AS rows, 3::BIGINT AS points, 2::BIGINT AS kept FROM s UNION ALL SELECT 2, count(*), 2, 1 FROM s""")
 def ml14_rungs(spark, d):
-    """Points, rows and survivors of each rung; the price follows the quantity, so the deeper trees win."""
-    found = ml14_halving(spark, d)
-    return found.groupBy("rung").agg(F.max("rows").alias("rows"), F.count("*").alias("points"), F.count_if("kept").alias("kept"), F.max(F.when(F.col("kept") & (F.col("rung") == 2), F.col("point"))).alias("winner"))
+    """Points, rows and survivors of each rung."""
+    return ml14_halving(spark, d).groupBy("rung").agg(F.max("rows").alias("rows"), F.count("*").alias("points"), F.count_if("kept").alias("kept"))
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(quantile_cont(abs(l_extendedprice - l_quantity * 1000), 0.9), 4) AS half FROM lineitem GROUP BY 1")
