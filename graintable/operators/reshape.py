@@ -40,9 +40,12 @@ def flatten(df: DataFrame, structs: Sequence[str]) -> DataFrame:
 
 
 def drop_by_prefix(df: DataFrame, column: str, prefixes: Sequence[str]) -> DataFrame:
-    """Rows whose text begins with one of the words go; null texts stay."""
-    pattern = r"(?i)^\s*(" + "|".join(prefixes) + r")\b"
-    return df.where(~F.coalesce(F.col(column), F.lit("")).rlike(pattern))
+    """Rows whose text begins, in any case and after spaces, tabs and line feeds, with one of the words go; null texts stay.
+
+    A word ends before anything but an ASCII letter, digit or underscore, on every Java version (its \\b isn't the same on all).
+    """
+    pattern = r"(?i)^[ \t\n]*(?:" + "|".join(prefixes) + r")(?:[^a-z0-9_]|$)"
+    return df.where(~F.lower(F.coalesce(F.col(column), F.lit(""))).rlike(pattern))
 
 
 def extract_dictionary(df: DataFrame, column: str, rules: Mapping[str, Sequence[str]]) -> DataFrame:
