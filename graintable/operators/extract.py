@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -138,18 +139,28 @@ def term_spans(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> D
     return word_spans(df, id_col, text_col).join(terms.select(F.lower("term").alias("word"), "name"), "word").select(id_col, "nth", "word", "name")
 
 
-def phrase_spans(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, most_words: int = 4) -> DataFrame:
+def phrase_spans(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, most_words: int = 4, part_rows: int = 500_000) -> DataFrame:
     """id_col, nth, n_words, name: terms(term, name) of up to most_words words, the longest at a place first, none over another.
 
-    Runs of words are equi-joined to the terms, so the dictionary may be of any size; of a text's hits, longer ones and then earlier ones stand.
+    Runs of words are equi-joined to the terms where they are cut: terms are broadcast in parts of part_rows at most, one part in a pass over the texts,
+    so the dictionary may be of any size and only hits are shuffled. Of a text's hits, longer ones and then earlier ones stand.
     A term with several names gives its least. Ids are those of single texts.
     """
     known = terms.select(F.array_join(F.regexp_extract_all(F.lower("term"), F.lit("[a-z]+"), F.lit(0)), " ").alias("phrase"), "name").where("phrase <> ''").groupBy("phrase").agg(F.min("name").alias("name"))
+    known = materialize(known.withColumn("size", F.size(F.split("phrase", " "))).where(F.col("size") <= most_words), "phrases")
+    stats = known.agg(F.count("*").alias("n"), F.max("size").alias("most")).first()
     words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))
-    runs = (df.select(id_col, words.alias("w")).select(id_col, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("nth")).where(F.size("w") > 0)
-            .select(id_col, "nth", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("nth") + 1))).alias("n_words"))
+    runs = (df.select(id_col, words.alias("w")).where(F.size("w") > 0).select(id_col, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("nth"))
+            .select(id_col, "nth", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(stats["most"] or 1), F.size("w") - F.col("nth") + 1))).alias("n_words"))
             .select(id_col, "nth", "n_words", F.array_join(F.slice("w", F.col("nth"), F.col("n_words")), " ").alias("phrase")))
-    hits = runs.join(known, "phrase").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("o"), "nth", "n_words", "name"))).alias("hits"))
+    parts = max(math.ceil(stats["n"] / part_rows), 1)
+    found = None
+    for i in range(parts):
+        some = (known if parts == 1 else known.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i)).select("phrase", "name")
+        # the side is named, as the size of exploded rows isn't estimated: they would be taken for the smaller side
+        hit = runs.join(F.broadcast(some), "phrase").select(id_col, "nth", "n_words", "name")
+        found = hit if found is None else found.unionByName(hit)
+    hits = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_words")).alias("o"), "nth", "n_words", "name"))).alias("hits"))
     kept = F.aggregate("hits", F.expr("cast(array() as array<struct<o:int,nth:int,n_words:int,name:string>>)"), lambda acc, x: F.when(
         F.exists(acc, lambda y: (y["nth"] < x["nth"] + x["n_words"]) & (x["nth"] < y["nth"] + y["n_words"])), acc).otherwise(F.array_append(acc, x)))
     return hits.select(id_col, F.explode(kept).alias("x")).select(id_col, "x.nth", "x.n_words", "x.name")
