@@ -87,6 +87,8 @@ def tx9_sections_with_ends(spark, d):
 
 def rebuilt(texts):
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda x: x != "")
+    # dealt by id while they are texts: both groupings find each id's words in one task, and no exploded word is shuffled
+    texts = texts.select("doc_id", "text").repartition("doc_id")
     rows = texts.select("doc_id", F.posexplode_outer(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("w", F.lit("")), "ps"))).alias("m"))
     return index.select("doc_id", F.md5(C.reconstruct_text(F.col("m"))).alias("rebuilt"))
