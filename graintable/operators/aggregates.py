@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graintable.operators.quantiles import numbered_values, quantiles
+from graintable.sources.files import materialize
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -118,6 +119,7 @@ def box_stats(df: DataFrame, group: str, y: str) -> DataFrame:
     """group, q1, median, q3, mean, low and high whisker (1.5 times the quartile range), outliers."""
     means = df.groupBy(group).agg(F.avg(y).alias("_m"))
     boxes = same_keys(means, quantiles(df, y, [0.25, 0.5, 0.75], [group], "_q"), [group]).withColumn("_i", (F.col("_q")[2] - F.col("_q")[0]) * 1.5)
+    boxes = materialize(boxes, "boxes")  # its size is known then, so few groups are broadcast and no group's rows gather in a task
     inside = F.col(y).between(F.col("_q")[0] - F.col("_i"), F.col("_q")[2] + F.col("_i"))
     return (same_keys(df, boxes, [group]).groupBy(group, "_q", "_m").agg(F.min(F.when(inside, F.col(y))).alias("low"), F.max(F.when(inside, F.col(y))).alias("high"), F.count_if(~inside).alias("outliers"))
             .select(group, *[F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.round("_m", 4).alias("mean"), "low", "high", "outliers"))
