@@ -280,7 +280,8 @@ def closeness_score(mu: Column, sigma: Column, target: float) -> Column:
 
 def tune(df: DataFrame, target: str, numeric: Sequence[str], key: str, grid: Mapping[str, Sequence], k: int = 3) -> DataFrame:
     """One row a grid point with its mean RMSE over key folds."""
-    data = assign_group_folds(with_missing(df.where(F.col(target) > 0), numeric, ()).withColumn("label", F.log(target)), key, k)
+    named = with_missing(df.where(F.col(target) > 0), numeric, ()).withColumn("label", F.log(target)).select(*dict.fromkeys([*numeric, *[f"{c}_m" for c in numeric], key, "label"]))
+    data = materialize(assign_group_folds(named, key, k), "tune")  # each fold's training and held-out rows are read again
     learner = LinearRegression(maxIter=20)
     points = ParamGridBuilder()
     for name, values in grid.items():
