@@ -118,6 +118,24 @@ def templates(members: DataFrame, similarity: float, lead: int) -> DataFrame:
         batch *= GROWTH
 
 
+#: Bits of the coarse set of leaves, 64 in a word: its 2^18 rows at most are what is broadcast, whatever the number of leaves.
+LEAF_BITS = 1 << 24
+
+
+def lines_of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf is among leaves(leaf).
+
+    Texts are what is large and few of them are wanted, so a coarse set of the leaves' hashes goes to where the lines are made; what it lets through, the
+    wanted lines and few others, is shuffled for the exact join.
+    """
+    at = F.col("leaf").bitwiseAND(LEAF_BITS - 1)  # never null, so that no check for nulls makes the masked text once more
+    word, bit = F.shiftright(at, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    coarse = leaves.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    near = lines.withColumn("_word", F.shiftright(at, 6)).join(F.broadcast(coarse), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    # written, as the optimizer would put the exact join before the coarse one
+    return materialize(near.select(*lines.columns), "line-near").join(leaves.select("leaf"), "leaf", "left_semi")
+
+
 def settled(rest: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     """k1, k2, t1, t2 as templates() has them, from the pairs of lines that share a part."""
     sides = [parts.join(rest, ["k1", "k2"]).select("part", F.struct("docs", "k1", "k2").alias(x), F.col("masked").alias(f"{x}_text")) for x in ("u", "v")]
@@ -152,7 +170,7 @@ def recurring_templates(lines: DataFrame, keyed: DataFrame, min_docs: int, simil
     may_differ = differ_at_most(F.col("n"), similarity) > 0  # shorter lines agree with themselves only
     crowded = materialize(keys.where(may_differ).groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1"), "line-leaves")
     # a leaf's lines have as many tokens, so all of these may differ; distinct rows, not the first text of each key: that would sort all occurrences
-    texts = lines.join(crowded.select("leaf"), "leaf", "left_semi").select("k1", "k2", "leaf", "masked").distinct()
+    texts = lines_of_leaves(lines.select("k1", "k2", "leaf", "masked"), crowded.select("leaf")).select("k1", "k2", "leaf", "masked").distinct()
     members = materialize(texts.join(keys.select("k1", "k2", "docs"), ["k1", "k2"]), "line-members")
     merged = materialize(templates(members, similarity, lead), "line-merged")
     # templates of one masked line need no further work; those of several are counted anew over distinct documents
