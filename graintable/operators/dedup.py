@@ -29,7 +29,7 @@ def dedup_two_keys(df: DataFrame, first: str, second: str, order: Sequence[str],
     text = F.coalesce(F.col(second).cast("string"), F.lit(""))
     has_first = F.col(first).isNotNull() & (F.col(first).cast("string") != "")
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.where(has_first).select(whole.alias("_row"), F.col(first).alias("_k1"), F.when(text != "", F.md5(text)).alias("_k2"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"))
+    rows = df.where(has_first).select(whole.alias("_row"), F.col(first).alias("_k1"), F.when(text != "", F.unhex(F.md5(text))).alias("_k2"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"))
     # with the keys behind it, the order tells any two pairs apart
     pairs = rows.groupBy("_k1", "_k2").agg(F.min("_o").alias("_a")).select("_k1", "_k2", F.struct("_a", "_k1", "_k2").alias("_o"))
     table = Successive("dedup-open")
