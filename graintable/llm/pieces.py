@@ -21,6 +21,8 @@ LEN_BITS, ID_BITS = 7, 24
 WINDOW, SHORT = 256, 64
 #: Ids from here on are code points of characters without a piece.
 OTHER = 1 << 22
+#: Units of a task of the lattice: a unit has tens of edges, which the task sorts in its executor's heap.
+TASK_UNITS = 25_000
 #: Characters of a batch that is cut at once.
 BATCH_CHARS = 500_000
 
@@ -140,7 +142,8 @@ def unit_lattice(words: DataFrame, pieces: Pieces, short: bool) -> DataFrame:
     rows hold a window of a unit, never the whole of a long one, and only a unit's first row holds its places.
     short: all words fit into a window, so each has one part.
     """
-    known = words.sparkSession.createDataFrame([(p, i, pieces.score[p]) for p, i in pieces.ids.items()], "piece string, id int, weight double")
+    # a table, not a list of rows, for which the executors would start Python workers of their own
+    known = words.sparkSession.createDataFrame(pa.table({"piece": pa.array(list(pieces.ids), pa.string()), "id": pa.array(list(pieces.ids.values()), pa.int32()), "weight": pa.array([pieces.score[p] for p in pieces.ids], pa.float64())}))
     size, longest = F.lit(WINDOW), F.lit(pieces.longest)
     end = (F.col("base") + F.col("s") + F.col("k") - 1).cast("long")
     at = F.shiftleft(end, LEN_BITS + ID_BITS) + F.shiftleft(F.col("k").cast("long"), ID_BITS) + F.coalesce("id", F.lit(OTHER) + F.ascii("piece"))
@@ -345,7 +348,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     top, top_lengths, top_ids = frequent_units(docs, pieces, text_col, frequent, sample_rows)
     numbered = materialize_bucketed(number_units(docs, pieces, top, id_col, text_col, block_chars), "block", "piece-numbers")
     rare = numbered.agg(F.sum(F.size("units"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // 100_000)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rare // TASK_UNITS))
     pairs = numbered.select("block", "first", F.posexplode("units").alias("p", "word")).select(
         unit_key(F.col("word")).alias("key"), F.shiftright("block", 34).alias("group"), F.when(F.length("word") > SHORT, F.col("word")).alias("long"),
         "block", (F.col("first") + F.col("p")).alias("number"))
