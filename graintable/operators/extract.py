@@ -275,11 +275,12 @@ def scored_links(quantities: DataFrame, names: DataFrame, texts: DataFrame, id_c
     score = (1.0 - F.col("distance") / LINK_DISTANCE * LINK_FAR + add(F.col("direction") == "value first", LINK_VALUE_FIRST) + add(F.col("direction") == "name first", LINK_NAME_FIRST)
              + add(F.col("_between").rlike(LINK_STOPS), LINK_STOP) + add(F.col("_between").rlike(LINK_JOINS), LINK_JOIN) + add(F.col("_between").rlike(LINK_OFS), LINK_OF)
              + add(F.contains("_whole", F.lit("(")) & F.contains("_whole", F.lit(")")), LINK_BRACKETS) + add(fits & F.col("c.category").isin(list(classes)), LINK_CLASS) + add(fits & F.col("_whole").rlike(LINK_SOLUTIONS), LINK_SOLUTION))
-    pairs = pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= LINK_LEAST)
+    # what scores least goes after the grouping: a filter here is moved into the join, where the score is worked out once more, and each part of it anew
+    pairs = pairs.withColumn("score", F.round(score, 4))
     own = F.struct(*[F.col(f"q.`{x}`") for x in once.columns])
     order = F.struct((-F.col("score")).alias("s"), F.abs(F.col("c.start") - F.col("q.stop")).alias("d"), F.col("c.start"), F.col("c.name"), F.col("c.category"))
     best = pairs.groupBy(id_col, own.alias("q")).agg(F.min_by(F.struct("c.name", "c.category", "direction", "distance", "score"), order).alias("x"))
-    return best.select("q.*", "x.*")
+    return best.where(F.col("x.score") >= LINK_LEAST).select("q.*", "x.*")
 
 
 def direct_links(df: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, tuple[str, float]]) -> DataFrame:
