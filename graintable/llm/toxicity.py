@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -211,16 +212,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     short = one_text(docs.join(F.broadcast(picked.select(id_col)), id_col, "left_semi"), id_col, text_col, max_chars)
     found = short.join(F.broadcast(picked), id_col).select("_t", "_y")
     counts = {r[0]: r[1] for r in known.groupBy((F.col("_y") == 1).alias("y")).count().collect()}
-    rows = [(r[0], int(r[1])) for r in found.collect()]
-    model = fit(sorted(rows, key=lambda r: (r[0] or "", r[1])))
+    model, share = fitted(found)
     if model.stems and counts.get(True) and counts.get(False):  # undo the half-and-half sample's prior
-        share = sum(y == 1 for _, y in rows) / max(len(rows), 1)
         true = counts[True] / (counts[True] + counts[False])
         if 0 < share < 1:
             model.weights[-1] += math.log(true / (1 - true)) - math.log(share / (1 - share))
     return model
 
 
+def fitted(sample: DataFrame) -> tuple[ToxicityModel, float]:
+    """fit() of a bounded sample (text, label) and its share of toxic rows; a task fits, so that the driver gets the model and not the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, int(y)) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        model = fit(sorted(rows, key=lambda r: (r[0] or "", r[1])))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, sum(y == 1 for _, y in rows) / max(len(rows), 1)))], pa.binary())], ["model"])
+
+    row = sample.repartition(1).mapInArrow(giving_back(run), "model binary").first()
+    return pickle.loads(row[0]) if row else (fit([]), 0.0)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """docs with tox_score (double, 0 to 1) and tox_clauses (matched clauses, long). Null and empty texts have no clause.
 
